@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesieve.llm import bwt, jaccard, linededup, packing, ppm
+from kinesieve.llm import bwt, jaccard, langid, linededup, packing, ppm, quality, tiling, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,25 @@ def digest_columns(lines_of: DataFrame) -> DataFrame:
     return lines_of.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(table(spark, sf_dir, "pages")), keep=("page_id",))
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(True))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(linededup.filter_lines(table(spark, sf_dir, "documents")))
 
@@ -36,6 +51,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources, paths are their languages; a fifth of the labels is left out for testing."""
+    trains = langid.remainder(F.col("doc_id"), 5) != 2
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), trains)
+
+
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tiling.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", "item_id", "coverage", F.sort_array(F.transform("leaks", lambda x: x.item_id)).alias("item_ids"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +71,83 @@ def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def _sql_decoded(text: str) -> str:
+    names = " ".join(f"WHEN {k!r} THEN chr({ord(v)})" for k, v in warc.ENTITIES.items())
+    number = r"coalesce(TRY_CAST(regexp_extract(p, '^#([0-9]{1,7});', 1) AS INTEGER), TRY_CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6});', 1) AS INTEGER))"
+    sound = f"(coalesce({number}, 0) BETWEEN 1 AND 55295 OR coalesce({number}, 0) BETWEEN 57344 AND 1114111)"
+    name = "regexp_extract(p, '^([a-z]{2,6});', 1)"
+    known = f"CASE {name} {names} END"
+    return f"""array_to_string(list_transform(string_split({text}, '&'), lambda p, i: CASE WHEN i = 1 THEN p
+      WHEN {sound} THEN chr(coalesce({number}, 32)) || regexp_replace(p, '^#[xX]?[0-9a-fA-F]{{1,7}};', '')
+      WHEN {known} IS NOT NULL THEN {known} || substr(p, length({name}) + 2) ELSE '&' || p END), '')"""
+
+
+def _sql_tidy(text: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({text}, '[ \t\r\f\x0b\x{{00A0}}]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+def _sql_visible(html: str) -> str:
+    inside = warc.INSIDE.replace("'", "''")
+    text = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for name in warc.HIDDEN:
+        text = rf"regexp_replace({text}, '(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>', ' ', 'g')"
+    text = rf"regexp_replace({text}, '[\r\n]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?(?:{warc.BREAKING})(?:[\s/]{inside}|>)', chr(10), 'g')"
+    text = f"regexp_replace({text}, '</?[a-zA-Z!?]{inside}', '', 'g')"
+    return text
+
+
+def _sql_uuid(text: str) -> str:
+    h = f"md5({text})"
+    return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
+
+
+CRLF = "chr(13) || chr(10)"
+OP1_SQL = rf"""
+WITH base AS (
+  SELECT page_id, {_sql_uuid("'response ' || coalesce(CAST(page_id AS VARCHAR), '') || ' ' || coalesce(url, '')")} AS refers_to,
+         url AS target_uri, '1970-01-01T00:00:00Z' AS date, coalesce(html, '') AS payload
+  FROM pages),
+stripped AS (SELECT *, {_sql_visible("payload")} AS bare,
+         regexp_replace(regexp_extract(payload, '(?is)<title(?:\s[^>]*)?>(.*?)</title', 1), '[\r\n]+', ' ', 'g') AS raw_title,
+         regexp_extract(payload, '(?is)<html\s[^>]*?lang\s*=\s*["'']?([a-zA-Z-]+)', 1) AS lang,
+         len(string_split_regex(lower(payload), '<a\s[^>]*href')) - 1 AS links
+  FROM base),
+texts AS (SELECT *, {_sql_tidy(_sql_decoded("bare"))} AS text, {_sql_tidy(_sql_decoded("raw_title"))} AS title,
+         'sha256:' || sha256(payload) AS source_digest FROM stripped),
+both_ AS (
+  SELECT page_id, 'metadata' AS type, refers_to, target_uri, date, 'application/warc-fields' AS content_type, source_digest,
+         'source-payload-digest: ' || source_digest || {CRLF} || 'source-content-length: ' || strlen(payload) || {CRLF}
+         || 'source-header: Content-Type: text/html; charset=utf-8' || {CRLF}
+         || CASE WHEN title <> '' THEN 'title: ' || title || {CRLF} ELSE '' END
+         || CASE WHEN lang <> '' THEN 'html-lang: ' || lang || {CRLF} ELSE '' END
+         || 'outlinks: ' || links || {CRLF} AS block FROM texts
+  UNION ALL
+  SELECT page_id, 'conversion', refers_to, target_uri, date, 'text/plain', source_digest, text FROM texts),
+out_ AS (
+  SELECT *, {_sql_uuid("type || ' ' || refers_to")} AS record_id, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM both_)
+SELECT page_id, type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest, source_digest, block,
+       'WARC/1.1' || {CRLF} || 'WARC-Type: ' || type || {CRLF} || 'WARC-Record-ID: ' || record_id || {CRLF}
+       || 'WARC-Refers-To: ' || refers_to || {CRLF} || CASE WHEN target_uri IS NOT NULL THEN 'WARC-Target-URI: ' || target_uri || {CRLF} ELSE '' END
+       || 'WARC-Date: ' || date || {CRLF} || 'WARC-Block-Digest: ' || block_digest || {CRLF}
+       || 'Content-Type: ' || content_type || {CRLF} || 'Content-Length: ' || content_length || {CRLF} AS headers
+FROM out_
+"""
+
+OP3_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -94,4 +198,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL}
+    return {"op1_warc_derivatives": OP1_SQL, "op3_ball_tree_topk": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL}
