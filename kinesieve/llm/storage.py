@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+@contextlib.contextmanager
+def made() -> Iterator[list[str]]:
+    """Inside the block, gathers the tables that are made and not yet deleted at its end."""
+    before, paths = set(_made), []
+    yield paths
+    paths += [x for x in _made if x not in before]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/kinesieve/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/kinesieve/{name}-{unique()}"
     _made.append(path)
     return path
 
@@ -48,11 +62,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by keep()."""
-    files = df.inputFiles()
-    if files:
-        drop(df.sparkSession, files[0].rpartition("/")[0])
+    folders = {x.rpartition("/")[0] for x in df.inputFiles()}
+    drop(df.sparkSession, *[x for x in _made if any(f"/{x.rpartition('/')[2]}" in f for f in folders)])
 
 
-def release(spark: SparkSession) -> None:
-    """Delete everything made so far; only after the results that read it have been written."""
-    drop(spark, *list(_made))
+def drop_part(df: DataFrame, part: str) -> None:
+    """Delete one partition folder of a table made by keep(..., partition_by=...)."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if path.endswith("/" + part):
+            drop(df.sparkSession, path)
