@@ -1,0 +1,68 @@
+"""Lens geometry as column expressions: four-coefficient fisheye and pinhole.
+
+A lens is struct<fx,fy,cx,cy,k1,k2,k3,k4>. The fisheye maps the angle theta from the axis to
+theta_d = theta * (1 + k1 theta^2 + k2 theta^4 + k3 theta^6 + k4 theta^8).
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from kinesieve.functions.rotation import vec
+
+
+def distorted(theta: Column, lens: Column) -> Column:
+    s = theta * theta
+    return theta * (1 + s * (lens.k1 + s * (lens.k2 + s * (lens.k3 + s * lens.k4))))
+
+
+def slope(theta: Column, lens: Column) -> Column:
+    s = theta * theta
+    return 1 + s * (3 * lens.k1 + s * (5 * lens.k2 + s * (7 * lens.k3 + s * 9 * lens.k4)))
+
+
+def project(ray: Column, lens: Column) -> Column:
+    """Ray to pixel; the axis itself meets the centre."""
+    r = F.sqrt(ray.x * ray.x + ray.y * ray.y)
+    tiny = r < 1e-12
+    scale = F.when(tiny, F.lit(1.0)).otherwise(distorted(F.atan2(r, ray.z), lens) / F.when(tiny, F.lit(1.0)).otherwise(r))
+    return F.struct((lens.fx * ray.x * scale + lens.cx).alias("u"), (lens.fy * ray.y * scale + lens.cy).alias("v"))
+
+
+def unproject(pixel: Column, lens: Column, steps: int = 8) -> Column:
+    """Pixel to unit ray by Newton steps on the angle."""
+    a, b = (pixel.u - lens.cx) / lens.fx, (pixel.v - lens.cy) / lens.fy
+    target = F.sqrt(a * a + b * b)
+    # Newton's steps as a fold, so that the expression does not grow with their number
+    theta = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), target, lambda t, _: t - (distorted(t, lens) - target) / slope(t, lens))
+    tiny = target < 1e-12
+    k = F.when(tiny, F.lit(1.0)).otherwise(F.sin(theta) / F.when(tiny, F.lit(1.0)).otherwise(target))
+    return vec(k * a, k * b, F.cos(theta))
+
+
+def focal_of_view(degrees: Column, width: Column) -> Column:
+    return width / 2 / F.tan(F.radians(degrees) / 2)
+
+
+def view_of_focal(focal: Column, width: Column) -> Column:
+    return F.degrees(2 * F.atan(width / 2 / focal))
+
+
+def row_time(frame_time: Column, y: Column, height: Column, readout: Column) -> Column:
+    return frame_time + readout * ((y + 0.5) / height - 0.5)
+
+
+def pixel_shift(rotation: Column, focal: float, width: int, height: int) -> Column:
+    """RMS displacement over the frame by a small rotation vector."""
+    roll = (width * width + height * height) / 12
+    return F.sqrt(focal * focal * (rotation.x * rotation.x + rotation.y * rotation.y) + roll * rotation.z * rotation.z)
+
+
+def combined_displacement(tx: Column, ty: Column, rot: Column, logs: Column, width: int, height: int) -> Column:
+    return F.sqrt(tx * tx + ty * ty + (rot * rot + logs * logs) * (width * width + height * height) / 12)
+
+
+DEGREE = math.pi / 180
