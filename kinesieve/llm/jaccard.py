@@ -208,31 +208,35 @@ def similar_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     sets = keep(fragment_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
 
     links, tested = None, None
-    current = members.groupBy("sig").agg(F.min("doc").alias("leader"), F.count("*").alias("m")).filter("m > 1")
+    heads = keep(members.groupBy("sig").agg(F.min("doc").alias("head"), F.count("*").alias("m")).filter("m > 1").select("sig", "head"), "heads")
     for turn in range(leader_rounds + 2):
+        last, any_big = turn == leader_rounds + 1, False
         if turn == 0:
-            pairs = members.drop("leader").join(current, "sig").select(F.col("doc").alias("b"), F.col("leader").alias("a"))
+            pairs = members.drop("leader").join(heads, "sig").select(F.col("head").alias("a"), F.col("doc").alias("b"))
         else:
-            labels = components(links)
+            labels = components(links) if links is not None else members.select(F.col("doc").alias("node"), F.col("doc").alias("label")).limit(0)
             placed = members.select("sig", "doc").join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
             groups = placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-            open_ = keep(placed.join(groups.select("sig", "m", "high"), "sig"), "open")
-            last = turn == leader_rounds + 1
+            open_ = keep(placed.join(groups.select("sig", "m"), "sig"), "open")
             small = open_ if last else open_.filter(F.col("m") <= SMALL_GROUP)
             one = small.select("sig", F.col("doc").alias("a"), F.col("label").alias("la"))
             two = small.select("sig", F.col("doc").alias("b"), F.col("label").alias("lb"))
             pairs = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
-            if not last:
-                big = open_.filter(F.col("m") > SMALL_GROUP)
-                # the highest label is of another component than the first leader's
-                next_ = big.filter("label = high").groupBy("sig").agg(F.min("doc").alias("head"))
-                more = big.join(next_, "sig").filter("label <> high").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"))
+            big = open_.filter(F.col("m") > SMALL_GROUP)
+            any_big = not last and not big.isEmpty()
+            if any_big:
+                fresh = big.join(heads.withColumnRenamed("head", "doc"), ["sig", "doc"], "left_anti").groupBy("sig").agg(F.min_by(F.struct("doc", "label"), "doc").alias("next"))
+                fresh = keep(fresh.select("sig", F.col("next.doc").alias("head"), F.col("next.label").alias("own")), "heads")
+                more = big.join(fresh, "sig").filter("label <> own").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"))
                 pairs = pairs.unionByName(more)
+                heads = heads.unionByName(fresh.select("sig", "head"))
         pairs = pairs.filter("a <> b").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
+            if any_big:
+                continue
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = keep(verified(pairs, sets, num, den), "links")
