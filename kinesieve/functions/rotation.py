@@ -67,9 +67,15 @@ def qdot(a: Column, b: Column) -> Column:
 
 
 def slerp(a: Column, b: Column, u: Column) -> Column:
-    """From a to b along the shorter arc, a times the exponential of u times the log between them."""
-    step = qlog(qmul(qconj(a), b))
-    return qmul(a, qexp(vec(u * step.x, u * step.y, u * step.z)))
+    """From a to b along the shorter arc. Written with weights of a and b: a product of exponential
+    and logarithm would repeat its parts thousandfold in one expression."""
+    dot = qdot(a, b)
+    angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
+    tiny = F.abs(dot) > 1 - 1e-12
+    scale = F.when(tiny, F.lit(1.0)).otherwise(F.sin(angle))
+    wa = F.when(tiny, 1 - u).otherwise(F.sin((1 - u) * angle) / scale)
+    wb = F.when(dot < 0, -1.0).otherwise(1.0) * F.when(tiny, u).otherwise(F.sin(u * angle) / scale)
+    return quat(wa * a.w + wb * b.w, wa * a.x + wb * b.x, wa * a.y + wb * b.y, wa * a.z + wb * b.z)
 
 
 def matrix_of(q: Column) -> Column:

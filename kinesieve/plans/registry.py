@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinesieve.plans import sequences
+from kinesieve.plans import geometry, matching, measures, sequences, solvers
 
-MODULES = (sequences,)
+MODULES = (sequences, matching, measures, geometry, solvers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
