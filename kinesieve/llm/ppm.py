@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kinesieve.llm.exchange import REPLY, REQUEST, aligned, bucket_count, by_hash, pack, pack_sorted, requests, text_bytes, unpack, unpack_sorted
 from kinesieve.llm.kernels import U64, blocks, first_of_runs, mix, normalise, words_of
-from kinesieve.llm.storage import drop_table, keep
+from kinesieve.llm.storage import drop_part, keep
 
 ORDER = 5
 END = b"\n"
@@ -36,6 +36,8 @@ END = b"\n"
 SHORT = 2
 PADDED = REQUEST + ", kind int"
 MAX_DOCS = 1 << 16
+#: Distinct strings whose positions are added up at a time.
+SLICE = 1 << 16
 
 
 def mask(n_bytes: int) -> np.uint64:
@@ -159,7 +161,7 @@ def chunks(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
             learned = (both & U64(0xFFFF)) < U64(n_train)
             both >>= U64(16)
             first = first_of_runs(both)
-            counts = np.add.reduceat(learned.astype(np.int64), first)
+            counts = np.add.reduceat(learned, first, dtype=np.int64)
             keys = both[first]
             del both, learned
             yield pd.DataFrame([(*r, 2) for r in requests(chunk, keys, counts, n_buckets, by_context)], columns=names)
@@ -192,7 +194,7 @@ def chunks(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
 def zstd(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.compress(data, 1)
+    return zstandard.compress(data, 5)
 
 
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,13 +206,13 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(bounds)
 
 
-def score(docs: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of doc_id modulo 7 is 2 are not learned from.
     """
     n_buckets = bucket_count(text_bytes(docs))
-    table = keep(chunks(docs, n_buckets, chunk_bytes), "chunks")
+    table = keep(chunks(docs, n_buckets, chunk_bytes), "chunks", partition_by="kind")
     spark = docs.sparkSession
 
     def sum_short(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,6 +250,8 @@ def score(docs: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
     reply = REPLY + ", kind int, words long, distinct long"
     asked = table.filter("kind >= 2").select("chunk", "bucket", "n", "keys", "vals", "kind")
     replies = keep(asked.groupBy("kind", "bucket").applyInPandas(lambda pdf: (answer_grams if pdf["kind"].iloc[0] == 2 else answer_words)(pdf), reply), "replies")
+    for kind in (2, 3):
+        drop_part(table, f"kind={kind}")
     ends = table.filter("kind = 0").select("keys").mapInPandas(count_trained, "n long").agg(F.sum("n")).first()[0] or 0
     sums = replies.agg(F.sum("words"), F.sum("distinct")).first()
     n_words, n_distinct = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
@@ -266,14 +270,16 @@ def score(docs: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
         n = len(texts)
         got = {k: {b: r for b, r in zip(x["bucket"], x["reply"])} for k, x in pdf.groupby("kind")}
         both = grams(texts)
-        doc = (both & U64(0xFFFF)).astype(np.int64)
-        both >>= U64(16)
-        first = first_of_runs(both)
-        values = aligned({b: unpack(r, np.float32) for b, r in got.get(2, {}).items()}, both[first], n_buckets, by_context)
-        runs = np.diff(np.append(first, len(both)))
+        first = first_of_runs(both >> U64(16))
+        values = aligned({b: unpack(r, np.float32) for b, r in got.get(2, {}).items()}, both[first] >> U64(16), n_buckets, by_context)
+        model = np.zeros(n)
+        for i in range(0, len(first), SLICE):
+            begin, part = first[i], first[i : i + SLICE + 1]
+            end = part[SLICE] if len(part) > SLICE else len(both)
+            runs = np.diff(np.append(part[:SLICE], end))
+            doc = (both[begin:end] & U64(0xFFFF)).astype(np.int64)
+            model += np.bincount(doc, weights=np.repeat(values[i : i + SLICE], runs), minlength=n)
         del both
-        model = np.bincount(doc, weights=np.repeat(values, runs), minlength=n)
-        del doc
         words, bounds = word_keys(texts)
         number = np.repeat(np.arange(n), np.diff(bounds))
         order = np.argsort(words, kind="stable")
