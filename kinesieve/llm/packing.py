@@ -26,7 +26,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 ASCII_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words kept in a worker's table of encoded words.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -34,7 +34,7 @@ class WordEncoder:
     """Encodes texts word by word through a table of words seen before.
 
     The tokenizer drops white space and never joins what stands on its two sides, so a text's ids
-    are those of its words in order. Only words not seen before reach the tokenizer, many at once.
+    are those of its words in order, and a word of letters and marks has the ids of both. Only words not seen before reach the tokenizer, many at once.
     """
 
     def __init__(self, path: str):
@@ -45,6 +45,7 @@ class WordEncoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _blob(self, ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
@@ -65,48 +66,60 @@ class WordEncoder:
                 first = last
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED or len(self.stems) > REMEMBERED:
-            self.known.clear()
-            self.stems.clear()
-        split, stems, other = [], {}, []
-        for w in words:
-            stem = w.rstrip(ASCII_MARKS)
-            if stem.isascii():
-                stem = stem.lower()
-            if stem.isalpha():
+        every = list(words)
+        stems = [w.rstrip(ASCII_MARKS) for w in every]
+        plain = [x.isalpha() for x in stems]
+        self._learn_stems(list({x for x, p in zip(stems, plain) if p} - self.stems.keys()))
+        known, ids = self.known, self.stems
+        for w, stem, p in zip(every, stems, plain):
+            if p:
+                if len(w) == len(stem):
+                    known[w] = ids[stem]
+                    continue
                 marks = w[len(stem) :]
-                split.append((w, stem, marks))
-                for x in (stem, marks):
-                    if x and x not in self.stems:
-                        stems[x] = None
-            else:
-                other.append(w)
-        self._learn_stems([x for x in stems if x.isalpha()])
-        for x in stems:
-            if x not in self.stems:
-                self.stems[x] = self._blob(self.tokenizer.encode(x, add_special_tokens=False).ids)
-        self.stems[""] = b""
-        for w, stem, marks in split:
-            self.known[w] = self.stems[stem] + self.stems[marks]
+                if marks not in self.marks:
+                    self.marks[marks] = self._blob(self.tokenizer.encode(marks, add_special_tokens=False).ids)
+                known[w] = ids[stem] + self.marks[marks]
+        other = [w for w, p in zip(every, plain) if not p]
         for i in range(0, len(other), 1000):
             part = other[i : i + 1000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = self._blob(e.ids)
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text. Texts in Latin-1 are lower-cased at once, which the tokenizer would do
+        word by word; elsewhere combining marks could make a difference."""
+        if any(c in text for c in SEPARATORS):
+            return text.translate(SPACES).split(" ")
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit values."""
-        texts = [x.translate(_SPACES).split(" ") if len(x) < 1 << 20 else x.translate(_SPACES).split(" ") for x in texts]
-        known = self.known
-        new = {w for words in texts for w in words if w not in known}
-        if new:
-            self.learn(new)
-            if len(known) < len(new):  # the table was emptied meanwhile
-                self.learn({w for words in texts for w in words if w not in known})
-        return [b"".join([known[w] for w in words]) for words in texts]
-
-
-#: Every white-space character of ASCII becomes a space (fixed values).
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+        split = [self.words(x) for x in texts]
+        look = self.known.get
+        found = [list(map(look, words)) for words in split]
+        missing = [i for i, x in enumerate(found) if None in x]
+        if missing:
+            if len(self.known) > REMEMBERED or len(self.stems) > REMEMBERED:
+                self.known.clear()
+                self.stems.clear()
+                self.marks.clear()
+            self.learn({w for i in missing for w, x in zip(split[i], found[i]) if x is None or w not in self.known})
+            for i in missing:
+                found[i] = map(look, split[i])
+        return [b"".join(x) for x in found]
+
+
+#: ASCII separators that are white space to Python but not to the tokenizer; and the characters of
+#: ASCII that are white space to both, as a table for translate() (fixed values).
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 
 
 def encoder(path: str) -> WordEncoder:
@@ -219,6 +232,9 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds
         out["fill"] = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)[bins]
         return out
 
+    def again(stage: int):
+        return lambda pdf: fresh(pdf, stage, True)
+
     dealt = table.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n_groups)))
     now = keep(dealt.groupBy("grp").applyInPandas(lambda pdf: fresh(pdf, 0, False), schema), "packed")
     drop_table(table)
@@ -233,7 +249,7 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds
             break
         n_groups = max(1, round(n_left / per_group))
         dealt = left.withColumn("grp", F.pmod(F.xxhash64("bin", F.lit(stage)), F.lit(n_groups)))
-        now = keep(dealt.groupBy("grp").applyInPandas(lambda pdf, s=stage: fresh(pdf, s, True), schema), "packed")
+        now = keep(dealt.groupBy("grp").applyInPandas(again(stage), schema), "packed")
     if now is not None:
         done.append(now)
     out = done[0]
