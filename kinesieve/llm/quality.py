@@ -32,7 +32,7 @@ from kinesieve.llm.kernels import U64, blocks, normalise, words_of
 from kinesieve.llm.storage import keep
 
 #: Hashed word features; shape features follow them.
-WORDS = 1 << 15
+WORDS = 60_000
 SHAPES = 8
 STEPS = 12
 FEATURES = WORDS + SHAPES * STEPS
@@ -96,7 +96,7 @@ def feature_counts(labelled: DataFrame) -> pd.DataFrame:
     return rows.groupBy("kind", "value", "feature").agg(F.sum("n").alias("n")).toPandas()
 
 
-def weights(counts: pd.DataFrame, least_z: float = 3.0) -> np.ndarray:
+def weights(counts: pd.DataFrame, least_z: float = 5.0) -> np.ndarray:
     """Log-likelihood ratios by kind and feature; those that chance explains are zero."""
     table = np.zeros((len(LABELS), 2, FEATURES + 1))
     table[counts["kind"], counts["value"], counts["feature"]] = counts["n"]
@@ -108,20 +108,30 @@ def weights(counts: pd.DataFrame, least_z: float = 3.0) -> np.ndarray:
     return np.where((z >= least_z) & (total.min(1) > 0), np.log(rate[:, 1] / rate[:, 0]), 0.0)
 
 
-def calibration(evidence: np.ndarray, truth: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression on one variable, by Newton's method with a
-    little regularisation towards slope 1."""
-    a, b = 1.0, 0.0
+def calibration(evidence: np.ndarray, truth: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression on one variable: Newton's method on the scaled
+    evidence, steps halved until the penalised loss falls, so that separable labels stay finite."""
+    if not len(evidence):
+        return 1.0, 0.0
+    scale = max(float(evidence.std()), 1e-9)
+    x = np.stack((evidence / scale, np.ones(len(evidence))), 1)
+    penalty = np.diag([ridge, 1e-3])
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, -(2 * truth - 1) * (x @ w)).sum() + 0.5 * w @ penalty @ w)
+
+    w = np.zeros(2)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * evidence + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        grad = np.array([((truth - p) * evidence).sum() - (a - 1), (truth - p).sum() - 1e-3 * b])
-        hess = np.array([[(w * evidence**2).sum() + 1, (w * evidence).sum()], [(w * evidence).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        gradient = x.T @ (p - truth) + penalty @ w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, gradient)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return float(w[0] / scale), float(w[1])
 
 
 def evidence_of(blobs, table: np.ndarray) -> np.ndarray:
