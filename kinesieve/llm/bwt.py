@@ -214,7 +214,7 @@ def shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int) -> Da
             shard = Shard.parse(texts, length)
             missing = np.array([x is None for x in ids])
             numbers = np.array([0 if x is None else x for x in ids], np.int64)
-            blob = pack(np.frombuffer(b"".join(texts), np.uint8))
+            blob = pack(np.frombuffer(b"".join(texts), np.uint8), 6)  # stored and shuffled twice
             rows = [(chunk, TEXTS, len(texts), pack(np.concatenate((numbers, missing))), blob, None), (chunk, STATE, 0, shard.state(), None, None)]
             rows += asked_rows(chunk, shard.block_names(PASSES[0], length)[2], n_buckets) if len(shard.first) else []
             return pd.DataFrame(rows, columns=NAMES)

@@ -42,8 +42,8 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(U64).ravel(), dtype=U64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+def pack(values: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), level)
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
