@@ -92,8 +92,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     runs = LineRuns(spark)
     for b in range(len(set(cuts)) + 1):
         runs.add(lines.filter(F.col("batch") == b).select("doc_id", "h1", "h2"))
-    frequent = runs.merged(runs.rows()).filter(F.col("n_docs") >= min_docs)
-    lost = lines.join(frequent, ["h1", "h2"]).filter(F.col("doc_id") < F.col("keeper"))
+    # written, so that the join below reads plain shuffles, of which Spark can split a frequent line's
+    frequent = keep(runs.merged(runs.rows()).filter(F.col("n_docs") >= min_docs), "frequent")
+    lost = lines.join(frequent.hint("merge"), ["h1", "h2"]).filter(F.col("doc_id") < F.col("keeper"))
     out = keep(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys")), "lost")
     for level in runs.levels.values():
         drop(spark, *level)
@@ -106,7 +107,8 @@ def filter_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lost = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
     lines = text_lines(F.col("text"))
     stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__keys"), key_hash(line_key(x))))
-    out = docs.join(lost, F.col("doc_id") == F.col("__doc"), "left")
+    # the same plan at every size: the table of lost lines grows with the corpus
+    out = docs.join(lost.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
     out = out.withColumn("__stay", F.when(F.col("__keys").isNotNull(), stay)).withColumn("n_lines", F.size(lines).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__stay"), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col("__stay").isNull(), F.col("text")).otherwise(F.array_join("__stay", "\n")))
