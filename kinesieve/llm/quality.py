@@ -11,7 +11,8 @@ the rates between groups (method of moments), also by grouped sums: sites with f
 their parent. A labelled document's own label is taken out of its site's sums before it is scored.
 
 The posterior adds the site's shift against the global rate to the document's log-odds. A document is
-kept if quality is at least and toxicity below one half.
+kept unless its quality is under `least_quality` (one in four) or its toxicity `most_toxic` (one in
+two) or more; the lower bar for quality keeps clean documents that merely look unusual.
 
 Defined cases: null or empty text has the shape features of emptiness only; a null host or path is a
 site of its own; unlabelled documents take part in all but the sums; several labels of a doc_id count
@@ -173,7 +174,7 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, trains: Column | None = None, calibration_docs: int = 20_000) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, trains: Column | None = None, calibration_docs: int = 20_000, least_quality: float = 0.25, most_toxic: float = 0.5) -> DataFrame:
     """Per row: doc_id, doc_quality and doc_toxic (own evidence), host_quality, path_quality, host_toxic
     and path_toxic (shrunk rates), quality and toxic (posteriors), keep. Labels of documents for which
     `trains` (on doc_id) is false are not used."""
@@ -215,5 +216,5 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, train
         out = out.withColumn(f"path_{x}", (less(f"k_{x}", mine) + s_path * F.col(f"host_{x}")) / (less(f"n_{x}", one) + s_path))
         odds = F.col(f"odds.{x}") + logit(F.col(f"path_{x}")) - F.lit(float(np.log(rates[x] / (1 - rates[x]))))
         out = out.withColumn(f"doc_{x}", 1 / (1 + F.exp(-F.col(f"odds.{x}")))).withColumn(f"p_{x}", 1 / (1 + F.exp(-odds)))
-    good = F.coalesce(F.col("p_quality") >= 0.5, F.lit(True)) & F.coalesce(F.col("p_toxic") < 0.5, F.lit(True))
+    good = F.coalesce(F.col("p_quality") >= least_quality, F.lit(True)) & F.coalesce(F.col("p_toxic") < most_toxic, F.lit(True))
     return out.select("doc_id", "doc_quality", "doc_toxic", "host_quality", "path_quality", "host_toxic", "path_toxic", F.col("p_quality").alias("quality"), F.col("p_toxic").alias("toxic"), good.alias("keep"))
