@@ -3,7 +3,8 @@
 Equal shingle sets are one class, and only its representative takes part. The order of all shingle
 hashes is cut into fragments. Sets of sizes up to r that are similar enough differ in at most
 d(r) shingles, so of d(r)+1 fragments they agree on one entirely: that fragment's hash finds the
-candidates. Size classes fix r, and a set near its class's upper end also enters the next one.
+candidates. Size classes fix r, and a set near its class's upper end also enters the next one. The
+signatures of a chunk of documents go to buckets, each once, so a frequent one makes no hot task.
 
 Every group with equal fragments compares its members with one leader, not with each other. Members
 that a link has joined need no further comparison; the members outside the leader's component get
@@ -19,18 +20,18 @@ without doc_id are left out; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinesieve.llm.components import components
-from kinesieve.llm.exchange import REQUEST, aligned, answer, bucket_count, pack, pack_sorted, requests, text_bytes, unpack, unpack_sorted
+from kinesieve.llm.exchange import bucket_count, cut, pack, pack_sorted, text_bytes, unpack, unpack_sorted
 from kinesieve.llm.kernels import U64, blocks, chain_hashes, first_of_runs, mix, normalise, words_of
-from kinesieve.llm.storage import keep
+from kinesieve.llm.storage import drop_part, keep
 
 #: Ratio between the bounds of neighbouring size classes.
 CLASS_RATIO = 1.4
@@ -40,7 +41,6 @@ SMALL_GROUP = 24
 FRAGMENTS = 8
 #: Cuts tried until no fragment of a set is empty.
 CUTS = 8
-ALONE = np.iinfo(np.int64).min
 
 
 def class_bounds(largest: int) -> np.ndarray:
@@ -64,11 +64,18 @@ def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
     return out
 
 
+def allowance(c: int, d: int, cut: int, bounds: np.ndarray) -> int:
+    """Fragments beyond d + 1 that a cut of class c has: as many may be empty in both sets."""
+    usual = int(1 + 2 * (d + 1) * math.exp(-bounds[c] / CLASS_RATIO / (d + 1)))
+    return usual * (cut + 1)
+
+
 def signatures(one: np.ndarray, num: int, den: int, bounds: np.ndarray) -> np.ndarray:
     """Fragment hashes of a set for its own size class and, where partners can be there, the next.
 
-    Two similar sets agree on a fragment. If that is an empty one, both sets have an empty fragment
-    and both go on to another cut of the hashes, until a cut leaves no fragment empty.
+    With d + 1 + a fragments, similar sets agree on a + 1 of them, so on one that is not empty if at
+    most a are empty in one of the sets. A set with more empty fragments goes on to another cut with
+    more of them; of two sets the one that stops first vouches for that cut, which both have made.
     """
     n, out = len(one), []
     own = int(np.searchsorted(bounds, n))
@@ -77,42 +84,49 @@ def signatures(one: np.ndarray, num: int, den: int, bounds: np.ndarray) -> np.nd
             break
         d = int(2 * bounds[c]) * (den - num) // (den + num)
         for cut in range(CUTS):
+            spare = allowance(c, d, cut, bounds)
+            m = d + 1 + spare
             order = one if not cut else np.sort(mix(one ^ U64(cut)))
-            place = ((order >> U64(32)) * U64(d + 1)) >> U64(32)
-            first = np.searchsorted(place, np.arange(d + 2, dtype=U64))
+            place = ((order >> U64(32)) * U64(m)) >> U64(32)
+            first = np.searchsorted(place, np.arange(m + 1, dtype=U64))
             sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(order), dtype=U64)))
             part = sums[first[1:]] - sums[first[:-1]]
-            keys = mix(part ^ mix(np.arange(d + 1, dtype=U64) + U64((c << 40) + (cut << 32) + 1)))
+            keys = mix(part ^ mix(np.arange(m, dtype=U64) + U64((c << 40) + (cut << 32) + 1)))
             full = first[1:] > first[:-1]
             out.append(keys if cut == CUTS - 1 else keys[full])
-            if full.all():
+            if m - full.sum() <= spare:
                 break
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
 def sign(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Rows of three kinds: documents (bucket -1), a chunk's signatures by document (bucket -2) and
-    the chunk's requests for the leaders of its signatures."""
-    schema = REQUEST + ", doc_id long, n_shingles long, set_1 long, set_2 long"
+    """Rows of three kinds: 0 documents; 1 a chunk's signatures by bucket, each with its smallest
+    document and whether the chunk has more of them; 2 those others."""
+    schema = "kind int, bucket int, n long, keys binary, vals binary, doc_id long, n_shingles long, set_1 long, set_2 long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, ordinal = TaskContext.get().partitionId(), 0
         held: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def close() -> pd.DataFrame:
-            chunk = (pid << 24) + ordinal
             docs_of = np.repeat(np.array([d for d, _ in held], np.int64), [len(s) for _, s in held])
-            keys = np.concatenate([s for _, s in held]) if held else np.zeros(0, U64)
+            keys = np.concatenate([s for _, s in held])
             order = np.lexsort((docs_of, keys))
             keys, docs_of = keys[order], docs_of[order]
             first = first_of_runs(keys)
-            least = docs_of[first] if len(first) else docs_of
-            most = docs_of[np.append(first[1:], len(keys)) - 1] if len(first) else docs_of
-            vals = np.stack((least, most), 1) if len(first) else np.zeros((0, 2), np.int64)
-            rows = list(requests(chunk, keys[first], vals, n_buckets))
-            rows.append((chunk, -2, len(keys), pack_sorted(keys), pack(docs_of)))
+            last = np.append(first[1:], len(keys)) - 1
+            more = docs_of[first] != docs_of[last]
+            distinct, least = keys[first], docs_of[first]
+            order, bounds = cut(distinct, n_buckets)
+            rows = []
+            for b in range(n_buckets):
+                at = order[bounds[b] : bounds[b + 1]]
+                if len(at):
+                    rows.append((1, b, len(at), pack_sorted(distinct[at]), pack(np.concatenate((least[at].view(np.uint8), more[at].view(np.uint8))))))
+            others = np.repeat(more, last - first + 1)
+            others[first] = False
+            rows.append((2, -1, int(others.sum()), pack_sorted(keys[others]), pack(docs_of[others])))
             return pd.DataFrame([(*r, None, None, None, None) for r in rows], columns=names)
 
         for pdf in batches:
@@ -121,48 +135,52 @@ def sign(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, chunk_
                 bounds = class_bounds(max(map(len, sets), default=1) * 2)
                 rows = []
                 for doc, one, text in zip(part["doc_id"].tolist(), sets, part["text"]):
-                    mixed = mix(one)
-                    rows.append((0, -1, 0, None, None, doc, len(one), int(one.sum(dtype=U64).view(np.int64)), int(mixed.sum(dtype=U64).view(np.int64))))
+                    rows.append((0, -1, 0, None, None, doc, len(one), int(one.sum(dtype=U64).view(np.int64)), int(mix(one).sum(dtype=U64).view(np.int64))))
                     if len(one):
                         held.append((doc, signatures(one, num, den, bounds)))
                     size += len(text) if text else 0
                 yield pd.DataFrame(rows, columns=names)
-                if size >= chunk_bytes:
+                if size >= chunk_bytes and held:
                     yield close()
-                    ordinal, held, size = ordinal + 1, [], 0
+                    held, size = [], 0
         if held:
             yield close()
 
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
-def leaders(keys: np.ndarray, which: np.ndarray, vals: np.ndarray) -> np.ndarray:
-    """The smallest document of each group, or -2**63 where the group has but one."""
-    vals = vals.reshape(-1, 2)
-    low = np.full(len(keys), np.iinfo(np.int64).max)
-    high = np.full(len(keys), np.iinfo(np.int64).min)
-    np.minimum.at(low, which, vals[:, 0])
-    np.maximum.at(high, which, vals[:, 1])
-    return np.where(low < high, low, ALONE)
+MEMBERS = "sig long, doc long"
+
+
+def shared_signatures(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket, the signatures that two documents or more have, each chunk's smallest one."""
+    keys, least, more = [], [], []
+    for n, k, v in zip(pdf["n"], pdf["keys"], pdf["vals"]):
+        raw = unpack(v, np.uint8)
+        keys.append(unpack_sorted(k))
+        least.append(raw[: 8 * n].view(np.int64))
+        more.append(raw[8 * n :] > 0)
+    keys, least, more = (np.concatenate(x) for x in (keys, least, more))
+    order = np.argsort(keys, kind="stable")
+    keys, least, more = keys[order], least[order], more[order]
+    first = first_of_runs(keys)
+    size = np.diff(np.append(first, len(keys)))
+    many = np.logical_or.reduceat(more, first) | (np.minimum.reduceat(least, first) < np.maximum.reduceat(least, first))
+    many = np.repeat(many, size)
+    return pd.DataFrame({"sig": keys[many].view(np.int64), "doc": least[many]})
 
 
-def group_members(signed: DataFrame, n_buckets: int) -> DataFrame:
-    """(sig, doc, leader) for all groups of two documents or more."""
-    replies = answer(signed.filter("bucket >= 0").select("chunk", "bucket", "n", "keys", "vals"), np.int64, leaders)
-    own = signed.filter("bucket = -2").select("chunk", "bucket", "keys", "vals", F.lit(None).cast("binary").alias("reply"))
-    both = own.unionByName(replies.select("chunk", "bucket", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("vals"), "reply"))
+def other_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k, v in zip(pdf["keys"], pdf["vals"]):
+            yield pd.DataFrame({"sig": unpack_sorted(k).view(np.int64), "doc": unpack(v, np.int64)})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["bucket"] == -2].iloc[0]
-        keys, docs_of = unpack_sorted(mine["keys"]), unpack(mine["vals"], np.int64)
-        got = pdf[pdf["bucket"] >= 0]
-        first = first_of_runs(keys)
-        found = aligned({b: unpack(r, np.int64) for b, r in zip(got["bucket"], got["reply"])}, keys[first], n_buckets, dtype=np.int64)
-        leader = np.repeat(found, np.diff(np.append(first, len(keys))))
-        many = leader != ALONE
-        return pd.DataFrame({"sig": keys[many].view(np.int64), "doc": docs_of[many], "leader": leader[many]})
 
-    return both.groupBy("chunk").applyInPandas(run, "sig long, doc long, leader long")
+def group_members(signed: DataFrame) -> DataFrame:
+    """(sig, doc) of all groups of two documents or more. A bucket's task gets each signature once
+    per chunk; a chunk's further documents are members without passing through it."""
+    firsts = signed.filter("kind = 1").select("bucket", "n", "keys", "vals").groupBy("bucket").applyInPandas(shared_signatures, MEMBERS)
+    return firsts.unionByName(signed.filter("kind = 2").select("keys", "vals").mapInPandas(other_members, MEMBERS)).distinct()
 
 
 def fragment_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -196,14 +214,16 @@ def similar_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     """(doc_id, n_shingles, component_id) for every row with a doc_id; similar are two sets with
     den * intersection >= num * union."""
     n_buckets = bucket_count(text_bytes(docs))
-    signed = keep(sign(docs, width, num, den, n_buckets), "signed")
-    rows = signed.filter("bucket = -1").select("doc_id", "n_shingles", "set_1", "set_2")
+    signed = keep(sign(docs, width, num, den, n_buckets), "signed", partition_by="kind")
+    rows = signed.filter("kind = 0").select("doc_id", "n_shingles", "set_1", "set_2")
     same = ["n_shingles", "set_1", "set_2"]
     classes = keep(rows.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # copies stand in the same groups as their representative and are told apart by it
-    every = group_members(signed, n_buckets)
+    every = group_members(signed)
     copies = classes.filter("copies > 1").join(rows, same).filter("doc_id <> rep").select(F.col("doc_id").alias("doc")).distinct()
     members = keep(every.join(copies, "doc", "left_anti"), "members")
+    for kind in (1, 2):
+        drop_part(signed, f"kind={kind}")
     involved = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = keep(fragment_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
 
@@ -212,7 +232,7 @@ def similar_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     for turn in range(leader_rounds + 2):
         last, any_big = turn == leader_rounds + 1, False
         if turn == 0:
-            pairs = members.drop("leader").join(heads, "sig").select(F.col("head").alias("a"), F.col("doc").alias("b"))
+            pairs = members.join(heads, "sig").select(F.col("head").alias("a"), F.col("doc").alias("b"))
         else:
             labels = components(links) if links is not None else members.select(F.col("doc").alias("node"), F.col("doc").alias("label")).limit(0)
             placed = members.select("sig", "doc").join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
@@ -249,7 +269,7 @@ def similar_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
 
 
-def in_blocks(pdf: pd.DataFrame, limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
+def in_blocks(pdf: pd.DataFrame, limit: int = 1 << 18) -> Iterator[pd.DataFrame]:
     sizes = pdf["text"].map(lambda x: len(x) if x else 0).to_numpy()
     for i, j in blocks(sizes, limit):
         yield pdf.iloc[i:j]
