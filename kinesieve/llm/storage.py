@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Spark hand texts to Python in small batches: a batch of its usual 10,000 long texts takes
+    more of a worker's memory than what the operators hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def unique() -> str:
     return uuid.uuid4().hex
 
