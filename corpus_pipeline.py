@@ -26,6 +26,7 @@ _scratch: list[str] = []
 
 def stage(function: Callable) -> Callable:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.small_batches(spark)
         storage.drop(spark, *_scratch)
         with storage.made() as paths:
             out = function(spark, docs, sf_dir)
@@ -71,8 +72,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their place in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Token pieces of all documents with their place in sequences of 2048 tokens. The workers go on
+    to other stages, so they keep a small table of words only."""
+    return packing.pack_documents(docs, tokenizer_path(), remembered=250_000)
 
 
 STAGES = [

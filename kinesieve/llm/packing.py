@@ -25,7 +25,7 @@ from kinesieve.llm.storage import drop_table, keep
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 ASCII_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words kept in a worker's table of encoded words.
+#: Words in a worker's table of encoded words, beyond which it is emptied.
 REMEMBERED = 1_500_000
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -46,6 +46,7 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.limit = REMEMBERED
 
     def _blob(self, ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
@@ -86,6 +87,13 @@ class WordEncoder:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = self._blob(e.ids)
 
+    def forget(self, limit: int) -> None:
+        """Empty the table if it has more than `limit` words."""
+        if len(self.known) > limit:
+            self.known.clear()
+            self.stems.clear()
+            self.marks.clear()
+
     def words(self, text: str) -> list[str]:
         """The words of a text. Texts in Latin-1 are lower-cased at once, which the tokenizer would do
         word by word; elsewhere combining marks could make a difference."""
@@ -106,10 +114,7 @@ class WordEncoder:
         found = [list(map(look, words)) for words in split]
         missing = [i for i, x in enumerate(found) if None in x]
         if missing:
-            if len(self.known) > REMEMBERED or len(self.stems) > REMEMBERED:
-                self.known.clear()
-                self.stems.clear()
-                self.marks.clear()
+            self.forget(self.limit)
             self.learn({w for i in missing for w, x in zip(split[i], found[i]) if x is None or w not in self.known})
             for i in missing:
                 found[i] = map(look, split[i])
@@ -128,11 +133,13 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, block: int = 1 << 20) -> DataFrame:
-    """Token pieces of every document: (doc_id, piece, start, length, ids_crc32)."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, block: int = 1 << 20, remembered: int = REMEMBERED) -> DataFrame:
+    """Token pieces of every document: (doc_id, piece, start, length, ids_crc32). A worker's table of
+    words, which it keeps from task to task, has `remembered` at most when a task ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer_path)
+        enc.limit = remembered
         tail = np.asarray([end_id], "<u4").tobytes()
         step = 4 * capacity
         for pdf in batches:
@@ -151,6 +158,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                         out.append((doc, p, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 first = last
+        enc.forget(remembered)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
 
@@ -258,5 +266,5 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    return pack(pieces(docs, tokenizer_path, capacity), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, remembered: int = REMEMBERED) -> DataFrame:
+    return pack(pieces(docs, tokenizer_path, capacity, remembered=remembered), capacity)
