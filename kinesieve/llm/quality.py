@@ -178,11 +178,11 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, train
     """Per row: doc_id, doc_quality and doc_toxic (own evidence), host_quality, path_quality, host_toxic
     and path_toxic (shrunk rates), quality and toxic (posteriors), keep. Labels of documents for which
     `trains` (on doc_id) is false are not used."""
-    table = keep(features(docs, host, path), "features")
     means = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.round(F.avg(x)).cast("int").alias(x) for x in LABELS))
     if trains is not None:
         means = means.filter(trains)
-    full = keep(table.join(means, "doc_id", "left"), "labelled")
+    # the same plan at every size: features are made once and meet the labels by merge
+    full = keep(features(docs, host, path).join(means.hint("merge"), "doc_id", "left"), "labelled")
     labelled = full.filter(F.coalesce(*LABELS).isNotNull())
     model = weights(feature_counts(labelled))
     n = labelled.count()
