@@ -62,8 +62,10 @@ def tidy(text: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for name in HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", " ")
+    # in one pass; the head last, as scripts in it may quote its end
+    *plain, last = HIDDEN
+    text = F.regexp_replace(text, rf"(?is)<({'|'.join(plain)})(?:\s[^>]*)?>.*?</\1\s*>", " ")
+    text = F.regexp_replace(text, rf"(?is)<{last}(?:\s[^>]*)?>.*?</{last}\s*>", " ")
     text = F.regexp_replace(text, r"[\r\n]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})(?:[\s/]{INSIDE}|>)", "\n")
     text = F.regexp_replace(text, rf"</?[a-zA-Z!?]{INSIDE}", "")
@@ -115,7 +117,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.array_join(F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), "\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("source-header: "), F.btrim(x), F.lit(CRLF))), ""),
         line("title", F.when(title != "", title)),
         line("html-lang", F.when(found != "", found)),
-        line("outlinks", F.size(F.split(F.lower("payload"), r"<a\s[^>]*href", -1)) - 1),
+        line("outlinks", F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href"))),
     )
     record = lambda kind, mime, block: F.struct(F.lit(kind).alias("type"), F.lit(mime).alias("content_type"), block.alias("block"))
     both = base.select("*", F.explode(F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("text")))).alias("r"))
