@@ -47,6 +47,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, a query's shuffle files go when it ends, not when the driver next happens to
+    collect its garbage: operators of many steps would hold those of all steps at once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends there, and a lost
     executor costs only what was running on it."""
@@ -55,7 +71,8 @@ def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with shuffles_dropped(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
