@@ -200,11 +200,14 @@ def fragment_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps counted by fragment, then summed per pair."""
-    left = sets.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    """The pairs (a, b) that link: partial overlaps counted by fragment, then summed per pair. Only
+    pairs whose sizes allow it bring in their sets."""
+    left = sets.select(F.col("doc").alias("a"), "fragment", F.col("shingles").alias("s_a"))
+    right = sets.select(F.col("doc").alias("b"), "fragment", F.col("shingles").alias("s_b"))
+    size = sets.filter("fragment = 0").select("doc", "n")
+    sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
     near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    both = pairs.join(left, "a").join(right, ["b", "fragment"]).filter(near)
+    both = sized.filter(near).join(left, "a").join(right, ["b", "fragment"])
     part = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
     total = part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     return total.filter(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
