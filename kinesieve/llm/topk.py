@@ -6,8 +6,9 @@ query visits the child with the higher bound first, and leaves a node whose boun
 score so far. That score is shared: a first round sends every query down to one leaf of each shard,
 Spark takes the kth best of all shards per query, and the second round starts from it everywhere.
 
-Equal vectors are one point of the tree that keeps its k+1 smallest ids, the only ones that ties can
-choose (one of them may be the query itself).
+Equal vectors are one point of the tree that keeps its k+1 smallest different ids, the only ones that
+ties can choose (one of them may be the query itself). Repeated rows are dropped before the table is
+written, and a search counts an id once at each score, so that no row takes another's place.
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component, or a row
 without vec_id, takes no part; queries meet candidates of their own dimension only; rows that repeat
@@ -38,6 +39,10 @@ class BallTree:
         order = np.argsort(ids, kind="stable")
         points, ids = points[order], ids[order]
         self.points, which = np.unique(points, axis=0, return_inverse=True)
+        _, once = np.unique(np.stack((which.ravel(), ids)), axis=1, return_index=True)
+        once.sort()
+        ids, which = ids[once], which.ravel()[once]
+        self.repeats = len(np.unique(ids)) < len(ids)
         by_point = np.argsort(which.ravel(), kind="stable")
         first = np.searchsorted(which.ravel()[by_point], np.arange(len(self.points) + 1))
         self.ids = [ids[by_point[i : min(j, i + k + 1)]] for i, j in zip(first[:-1], first[1:])]
@@ -111,7 +116,14 @@ class Search:
         scores = np.where(flat[None, :] == self.query_ids[at][:, None], -np.inf, scores)
         all_scores = np.concatenate((self.score[at], scores), 1)
         all_ids = np.concatenate((self.id[at], np.broadcast_to(flat, scores.shape)), 1)
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
+        order = np.lexsort((all_ids, -all_scores), axis=1)
+        if self.tree.repeats:  # an id's vectors with the same score count once: the later ones go last
+            s, i = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+            again = np.zeros(s.shape, bool)
+            again[:, 1:] = (s[:, 1:] == s[:, :-1]) & (i[:, 1:] == i[:, :-1])
+            np.put_along_axis(all_scores, order, np.where(again, -np.inf, s), 1)
+            order = np.take_along_axis(order, np.argsort(again, axis=1, kind="stable"), 1)
+        order = order[:, : self.k]
         self.score[at] = np.take_along_axis(all_scores, order, 1)
         self.id[at] = np.take_along_axis(all_ids, order, 1)
 
@@ -121,11 +133,11 @@ class Search:
 
 
 def integer_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_id, v, dim) of the rows that take part."""
+    """(vec_id, v, dim) of the rows that take part, repeated ones once."""
     x = F.transform(F.col(column), lambda c: F.floor(F.lit(256) * c.cast("double")).cast("double"))
     sound = F.forall(F.col(column), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     out = vectors.filter(F.col(id_column).isNotNull() & F.coalesce((F.size(column) > 0) & sound, F.lit(False)))
-    return out.select(F.col(id_column).cast("long").alias("vec_id"), x.alias("v"), F.size(column).alias("dim"))
+    return out.select(F.col(id_column).cast("long").alias("vec_id"), x.alias("v"), F.size(column).alias("dim")).dropDuplicates(["vec_id", "v"])
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -139,10 +151,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = 16_
     vec_id) picks; candidates are all rows of another id."""
     table = keep(integer_vectors(vectors), "vectors")
     n_shards = max(1, -(-table.count() // shard_rows))
-    shards = table.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int"))
+    shards = table.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_shards)).cast("int"))
     asked = table.filter(queries)
     n_blocks = max(1, -(-asked.count() // query_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_blocks)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(n_blocks)).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> tuple[bytes, bytes]:
         return np.stack(pdf["v"]).astype("<f8").tobytes(), pdf["vec_id"].to_numpy("<i8").tobytes()

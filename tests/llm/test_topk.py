@@ -40,3 +40,28 @@ def test_bounds_hold():
     norms = np.sqrt((queries**2).sum(1))
     for node, (i, j) in enumerate(tree.span):
         assert ((queries @ tree.points[tree.order[i:j]].T).max(1) <= tree.bounds(node, queries, norms)).all()
+
+
+@pytest.mark.parametrize("times", [2, 10])
+@pytest.mark.parametrize("shards", [100_000, 60])
+def test_repeated_rows(spark, times, shards):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.2, 8).astype(np.float32).tolist()) for i in range(200)]
+    rows += [(1000 + i, rows[7][1]) for i in range(12)]
+    df = spark.createDataFrame(rows * times, SCHEMA)
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows=shards, query_rows=16)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 20, 5)
+
+
+@pytest.mark.parametrize("shards", [100_000, 30])
+def test_hot_id_with_equal_scores(spark, shards):
+    # id 1 has 60 vectors that all score the same, and best, for the query
+    rows = [(0, [1.0, 0.0]), *[(1, [3.0, float(i)]) for i in range(60)], *[(i, [2.0, float(i)]) for i in range(2, 30)]]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0, 5, shard_rows=shards)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 100, 5)
+
+
+def test_repeated_ids_of_a_point():
+    points = np.array([[1.0, 2.0]] * 9)
+    tree = topk.BallTree(points, np.array([4] * 6 + [5, 6, 7]), 3)
+    assert [x.tolist() for x in tree.ids] == [[4, 5, 6, 7]]
