@@ -34,15 +34,17 @@ def weighted_integrate(spark, sf_dir):
 
 
 def velocity_reconstruct(spark, sf_dir):
-    """Errors are taken as missing steps; low frequencies come from the direct values."""
-    df = seq.interpolate(gappy(spark, sf_dir), KEYS, ORDER, "value", "value2").withColumn("segment_id", F.lit(0))
+    """Two measurements: the values are the direct estimate, the steps of k are the changes. Neither is
+    measured at errors, so a change misses there and at the row after."""
+    return rebuilt(gappy(spark, sf_dir))
 
-    def rebuild(x):
-        import numpy as np
-
-        return solve.rebuilt_velocity(x, np.diff(x, prepend=x[0]), 0.1, 1.0)
 
-    return solve.by_segment(df, GROUP, ORDER, "value2", "velocity", rebuild).select("clip_id", "event_id", "velocity")
+def rebuilt(df):
+    df = seq.segments(df, KEYS, ORDER, high=5.0)
+    k = F.when(F.col("event_type") != "error", F.col("k"))
+    df = df.withColumn("change", (k - F.lag(k).over(seq.ordered(GROUP, ORDER))).cast("double"))
+    out = solve.by_segment(df, GROUP, ORDER, ["value", "change"], "velocity", lambda x, d: solve.rebuilt_velocity(x, d, 0.1, 1.0))
+    return out.select("clip_id", "event_id", "velocity")
 
 
 def smooth_path(spark, sf_dir):
