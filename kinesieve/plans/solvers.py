@@ -17,20 +17,29 @@ def segmented(spark, sf_dir):
 
 def highpass_rms(spark, sf_dir):
     """RMS of what a zero-phase low-pass of a tenth of the sampling rate leaves over."""
-    df = solve.by_segment(segmented(spark, sf_dir), GROUP, ORDER, "value", "low", lambda x: solve.zero_phase(x, 0.1, 1.0))
+    return rms_by_segment(segmented(spark, sf_dir))
+
+
+def rms_by_segment(df):
+    """Missing rows are interpolated for the filter and take no part in the RMS."""
+    df = solve.by_segment(df, GROUP, ORDER, "value", "low", lambda x: solve.zero_phase(solve.filled(x), 0.1, 1.0))
     return df.groupBy(*GROUP).agg(F.count("*").alias("n"), seq.rms(F.col("value") - F.col("low")).alias("rms"))
 
 
 def weighted_integrate(spark, sf_dir):
-    """Path of the centred values, held near zero by a weak anchor."""
+    """Path of the centred values, each trusted by its k (of 100)."""
+    return integrated(segmented(spark, sf_dir))
+
 
-    def path(x):
+def integrated(df):
+    def path(x, k):
         import numpy as np
 
-        v = x - x.mean()
-        return solve.anchored_integral(v, np.ones(len(v)), 1e-3)[1:]
+        mean = x[np.isfinite(x)].mean() if np.isfinite(x).any() else 0.0
+        return solve.weighted_integral(x - mean, solve.pair_weights(k / 100))[1:]
 
-    return solve.by_segment(segmented(spark, sf_dir), GROUP, ORDER, "value", "path", path).select("clip_id", "event_id", "path")
+    out = solve.by_segment(df, GROUP, ORDER, ["value", "k"], "path", path)
+    return out.select("clip_id", "event_id", "path")
 
 
 def velocity_reconstruct(spark, sf_dir):
