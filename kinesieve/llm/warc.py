@@ -3,8 +3,16 @@
 Every response gives a metadata record (application/warc-fields: the source's digest, length, type,
 HTTP headers, title, language and number of links) and a conversion record (its visible text). Both
 refer to the response's WARC-Record-ID, keep its target URI and date, and carry block digests of
-their own. Everything is a column expression; files are only read and written by read_records() and
-serialise().
+their own. derive() is column expressions only; read_records(), response_rows() and serialise() handle
+bytes in Python.
+
+The source's digests are kept: derive() takes WARC-Payload-Digest and WARC-Block-Digest and the body's
+bytes from the optional columns source_payload_digest, source_block_digest and source_body, as
+response_rows() gives them. Digest and length of the source are those of its bytes; source_digest is
+the one the source declares, else the body's SHA-256. A body's text is decoded by its declared
+charset (UTF-8 if there is none or an unknown one) after its declared transfer and content encodings
+(chunked, gzip, deflate); bytes that do not decode become U+FFFD, and a body whose encoding is broken
+or another one is decoded as it stands.
 
 Defined cases: a null or empty payload gives both records, the conversion with an empty block; null
 URI, date or headers leave those lines out; a null record_id leaves WARC-Refers-To out, and the
@@ -14,7 +22,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import gzip
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -105,15 +115,21 @@ def responses_of(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFr
 def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two records for each response(record_id, target_uri, date, http_headers, payload), with the
     columns named in `keep` beside them: type, record_id, refers_to, target_uri, date, content_type,
-    content_length, block_digest, source_digest, headers (the WARC header block) and block."""
+    content_length, block_digest, source_digest, headers (the WARC header block) and block. Optional
+    columns: source_body (binary), source_payload_digest and source_block_digest."""
+    given = [x for x in ("source_body", "source_payload_digest", "source_block_digest") if x in responses.columns and x not in keep]
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    base = responses.select(*keep, "record_id", "target_uri", "date", "http_headers", payload.alias("payload"))
-    base = base.withColumn("source_digest", digest(F.col("payload"))).withColumn("text", visible_text(F.col("payload")))
+    base = responses.select(*keep, *given, "record_id", "target_uri", "date", "http_headers", payload.alias("payload"))
+    body = F.coalesce(F.col("source_body"), F.col("payload").cast("binary")) if "source_body" in base.columns else F.col("payload")
+    declared = F.col("source_payload_digest") if "source_payload_digest" in base.columns else None
+    base = base.withColumn("source_digest", digest(body) if declared is None else F.coalesce(declared, digest(body))).withColumn("text", visible_text(F.col("payload")))
     found = F.regexp_extract("payload", r"""(?is)<html\s[^>]*?lang\s*=\s*["']?([a-zA-Z-]+)""", 1)
     title = title_of(F.col("payload"))
     fields = F.concat(
         line("source-payload-digest", F.col("source_digest")),
-        line("source-content-length", F.octet_length("payload")),
+        *([line("source-body-digest", F.when(declared.isNotNull(), digest(body)))] if declared is not None else []),
+        *([line("source-block-digest", F.col("source_block_digest"))] if "source_block_digest" in base.columns else []),
+        line("source-content-length", F.octet_length(body)),
         F.array_join(F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), "\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("source-header: "), F.btrim(x), F.lit(CRLF))), ""),
         line("title", F.when(title != "", title)),
         line("html-lang", F.when(found != "", found)),
@@ -183,10 +199,65 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
+def dechunked(body: bytes) -> bytes:
+    """The data of a chunked body; ValueError if it is not one."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].partition(b";")[0], 16)
+        if size < 0 or end + 2 + size > len(body):
+            raise ValueError("chunk size")
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def text_of(head: str, body: bytes) -> str:
+    """The body's text by its HTTP headers, as the module's docstring defines it."""
+    fields: dict[str, str] = {}
+    for x in re.split("\r?\n", head):
+        name, _, value = x.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    try:
+        data = dechunked(body) if "chunked" in fields.get("transfer-encoding", "").lower() else body
+    except ValueError:
+        data = body
+    for kind in reversed(fields.get("content-encoding", "").lower().replace(" ", "").split(",")):
+        try:
+            if kind in ("gzip", "x-gzip"):
+                data = gzip.decompress(data)
+            elif kind == "deflate":
+                try:
+                    data = zlib.decompress(data)
+                except zlib.error:
+                    data = zlib.decompress(data, -15)
+        except (OSError, EOFError, zlib.error):
+            break
+    found = re.search(r"""(?i)charset\s*=\s*["']?([^\s;"']+)""", fields.get("content-type", ""))
+    try:
+        return codecs.decode(data, found[1] if found else "utf-8", "replace")
+    except (LookupError, TypeError, ValueError):
+        return data.decode("utf-8", "replace")
+
+
 def response_rows(records: DataFrame) -> DataFrame:
-    """The responses of read_records() as derive() takes them: HTTP headers apart from the payload."""
-    text = F.decode(F.col("block"), "UTF-8")
-    at = F.instr(text, "\r\n\r\n")
-    head = F.when(at > 0, F.regexp_replace(F.substr(text, F.lit(1), at - 1), r"^HTTP/[^\r\n]*\r?\n", ""))
-    body = F.when(at > 0, F.substr(text, at + 4)).otherwise(text)
-    return records.filter("type = 'response'").select("record_id", "target_uri", "date", head.alias("http_headers"), body.alias("payload"))
+    """The responses of read_records() as derive() takes them: HTTP headers apart from the payload,
+    with the source's digests and the body's bytes."""
+
+    @F.pandas_udf("http_headers string, payload string, source_body binary")
+    def parts(block: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in block:
+            head, split, body = (b"", b"", None) if x is None else bytes(x).partition(b"\r\n\r\n")
+            if body is not None and not split:
+                head, body = b"", head
+            head = re.sub(r"\AHTTP/[^\r\n]*(\r?\n|\Z)", "", head.decode("utf-8", "replace"))
+            text = None if body is None else text_of(head, body)
+            # lone surrogates, which some charsets decode to, are not text
+            rows.append((head if split else None, text and text.encode("utf-8", "replace").decode(), body))
+        return pd.DataFrame(rows, columns=["http_headers", "payload", "source_body"])
+
+    digests = [F.try_element_at("headers", F.lit(f"warc-{x}-digest")).alias(f"source_{x}_digest") for x in ("payload", "block")]
+    out = records.filter("type = 'response'").select("record_id", "target_uri", "date", *digests, parts("block").alias("p"))
+    return out.select("record_id", "target_uri", "date", "p.*", "source_payload_digest", "source_block_digest")

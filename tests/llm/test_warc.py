@@ -65,3 +65,31 @@ def test_http_responses(spark, tmp_path):
     rows = warc.derive(warc.response_rows(warc.read_records(spark, str(tmp_path)))).collect()
     assert {r.type: r.block for r in rows}["conversion"] == "hi" and rows[0].refers_to == "<urn:uuid:9>"
     assert "source-header: Content-Type: text/html" in rows[0].block
+
+
+def test_source_bytes_and_digests(spark, tmp_path):
+    page = "<title>Café</title><p>déjà vu</p>"
+    zipped = gzip.compress(page.encode(), mtime=0)
+    chunks = b"%x\r\n%s\r\n0\r\n\r\n" % (len(zipped), zipped)
+    bodies = {
+        "latin": ("Content-Type: text/html; charset=ISO-8859-1", page.encode("latin-1"), "Content"),
+        "binary": ("Content-Type: image/png", bytes(range(128, 256)) + b"\r\n\r\n\x00\xff", None),
+        "gzip": ("Content-Type: text/html\r\nContent-Encoding: gzip", zipped, None),
+        "chunked": ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks, None),
+        "broken": ("Content-Type: text/html; charset=no-such\r\nContent-Encoding: gzip", b"<p>a\xffb</p>", None),
+    }
+    out = b""
+    for name, (head, body, declared) in bodies.items():
+        block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body
+        digests = "WARC-Payload-Digest: sha1:ABC\r\nWARC-Block-Digest: sha1:DEF\r\n" if declared else ""
+        out += f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\n{digests}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(out)
+    got = {(r.refers_to.strip("<>"), r.type): r for r in warc.derive(warc.response_rows(warc.read_records(spark, str(tmp_path)))).collect()}
+    assert len(got) == 2 * len(bodies)
+    for name, (_, body, declared) in bodies.items():
+        own, meta = "sha256:" + hashlib.sha256(body).hexdigest(), got[name, "metadata"]
+        assert meta.source_digest == ("sha1:ABC" if declared else own)
+        assert f"source-content-length: {len(body)}\r\n" in meta.block and own in meta.block
+        assert ("source-block-digest: sha1:DEF\r\n" in meta.block) == bool(declared)
+    assert all(got[x, "conversion"].block == "Café\ndéjà vu" and "title: Café\r\n" in got[x, "metadata"].block for x in ("latin", "gzip", "chunked"))
+    assert got["broken", "conversion"].block == "a\ufffdb"
