@@ -1,21 +1,27 @@
 """Jaccard self-join on word shingles by vertical partitioning of the global shingle order.
 
-Equal shingle sets are one class, and only its representative takes part. The order of all shingle
-hashes is cut into fragments. Sets of sizes up to r that are similar enough differ in at most
-d(r) shingles, so of d(r)+1 fragments they agree on one entirely: that fragment's hash finds the
-candidates. Size classes fix r, and a set near its class's upper end also enters the next one. The
-signatures of a chunk of documents go to buckets, each once, so a frequent one makes no hot task.
-
-Every group with equal fragments compares its members with one leader, not with each other. Members
-that a link has joined need no further comparison; the members outside the leader's component get
-leaders of their own in further rounds, and small groups compare what is left at once.
-
-A candidate pair is decided exactly: both sets are cut into fragments, Spark joins them by set and
-fragment, counts the overlap of each fragment separately and sums the counts per pair.
+1. A shingle that no other document has can't be shared. Chunks of documents send a fixed part of
+   the hash space of their shingles to buckets, which tell how many of each document's shingles
+   occur nowhere else. A document with more of those than the similarity leaves room for is alone;
+   that is a bound, not a sample of documents, and only the others go on.
+2. Equal sets are one class. The classes' shingles are counted exactly and ordered by frequency,
+   rarest first; those of one class only are dropped, but their number is kept.
+3. Similar sets share one of the rarest shingles that a set may not do without (its prefix), and
+   their sizes are in the same or neighbouring size classes: classes with both in common are a group.
+4. A group compares its members with one leader, the one nearest to what they have in common. What
+   the leader says about its members bounds every other pair: with delta shingles of difference from
+   the leader, u of them nobody else's, x and y differ in at least u_x + u_y + |(delta_x - u_x) -
+   (delta_y - u_y)|. Members that this bound, or a common component, settles leave the group; what is
+   left gets another leader, and after the last round the pairs that no bound has settled are compared.
+5. A pair is decided exactly. The frequency order is cut into fragments; Spark joins both sets by
+   fragment, counts the overlap of each separately and sums the counts per pair.
+
+A leader of very many pairs is salted; its set is repeated once for each salt.
 
 Defined cases: null text or one without words has an empty set and no links; fewer words than a
-shingle give one shingle of all words; rows that repeat a doc_id share that id's component; rows
-without doc_id are left out; an empty table gives no rows.
+shingle give one shingle of all words; rows that repeat a doc_id are documents of their own, rows
+that repeat a text are copies; rows without doc_id are left out; an empty table gives no rows; other
+columns are not read. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,30 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinesieve.llm.components import components
-from kinesieve.llm.exchange import bucket_count, cut, pack, pack_sorted, text_bytes, unpack, unpack_sorted
+from kinesieve.llm.exchange import aligned, answer, bucket_count, cut, pack, pack_sorted, requests, text_bytes, unpack, unpack_sorted
 from kinesieve.llm.kernels import U64, blocks, chain_hashes, first_of_runs, mix, normalise, words_of
-from kinesieve.llm.storage import drop_part, keep
+from kinesieve.llm.storage import drop_part, drop_table, keep
 
-#: Ratio between the bounds of neighbouring size classes.
-CLASS_RATIO = 1.4
-#: A group of at most so many members compares all that no link has joined after the first round.
-SMALL_GROUP = 24
-#: Fragments in which overlaps are counted.
+#: Fragments of the frequency order, each two powers of two wide.
 FRAGMENTS = 8
-#: Cuts tried until no fragment of a set is empty.
-CUTS = 8
-
-
-def class_bounds(largest: int) -> np.ndarray:
-    """Upper bounds of the size classes, up to one that holds `largest`."""
-    out = [1]
-    while out[-1] < largest:
-        out.append(max(out[-1] + 1, int(out[-1] * CLASS_RATIO)))
-    return np.array(out + [max(out[-1] + 1, int(out[-1] * CLASS_RATIO))])
+#: Pairs of one leader that share a salt.
+PER_SALT = 20_000
+#: Bits of a row's number that count the rows of its chunk, and of a chunk's that count those of a task.
+ROW_BITS, CHUNK_BITS = 20, 14
+SEVERAL = np.uint32(0xFFFFFFFF)
+WIRE = "kind int, chunk long, bucket int, n long, keys binary, vals binary"
+NAMES = [x.split()[0] for x in WIRE.split(", ")]
 
 
 def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
@@ -64,215 +64,334 @@ def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
     return out
 
 
-def allowance(c: int, d: int, cut: int, bounds: np.ndarray) -> int:
-    """Fragments beyond d + 1 that a cut of class c has: as many may be empty in both sets."""
-    usual = int(1 + 2 * (d + 1) * math.exp(-bounds[c] / CLASS_RATIO / (d + 1)))
-    return usual * (cut + 1)
+def set_hashes(one: np.ndarray) -> tuple[int, int]:
+    return int(one.sum(dtype=U64).view(np.int64)), int(mix(one).sum(dtype=U64).view(np.int64))
 
 
-def signatures(one: np.ndarray, num: int, den: int, bounds: np.ndarray) -> np.ndarray:
-    """Fragment hashes of a set for its own size class and, where partners can be there, the next.
+def asked_part(num: int, den: int) -> np.uint64:
+    """Shingles with hashes below it are asked for in the first step: two and a half times the part
+    that similar sets may differ in."""
+    return U64(min((1 << 64) - 1, (1 << 64) * 5 * (den - num) // (2 * den)))
 
-    With d + 1 + a fragments, similar sets agree on a + 1 of them, so on one that is not empty if at
-    most a are empty in one of the sets. A set with more empty fragments goes on to another cut with
-    more of them; of two sets the one that stops first vouches for that cut, which both have made.
-    """
-    n, out = len(one), []
-    own = int(np.searchsorted(bounds, n))
-    for c in range(own, own + 2):
-        if c > own and n * den // num <= bounds[c - 1]:
-            break
-        d = int(2 * bounds[c]) * (den - num) // (den + num)
-        for cut in range(CUTS):
-            spare = allowance(c, d, cut, bounds)
-            m = d + 1 + spare
-            order = one if not cut else np.sort(mix(one ^ U64(cut)))
-            place = ((order >> U64(32)) * U64(m)) >> U64(32)
-            first = np.searchsorted(place, np.arange(m + 1, dtype=U64))
-            sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(order), dtype=U64)))
-            part = sums[first[1:]] - sums[first[:-1]]
-            keys = mix(part ^ mix(np.arange(m, dtype=U64) + U64((c << 40) + (cut << 32) + 1)))
-            full = first[1:] > first[:-1]
-            out.append(keys if cut == CUTS - 1 else keys[full])
-            if m - full.sum() <= spare:
-                break
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
-
-
-def sign(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Rows of three kinds: 0 documents; 1 a chunk's signatures by bucket, each with its smallest
-    document and whether the chunk has more of them; 2 those others."""
-    schema = "kind int, bucket int, n long, keys binary, vals binary, doc_id long, n_shingles long, set_1 long, set_2 long"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, np.ndarray]] = []
-        size = 0
-
-        def close() -> pd.DataFrame:
-            docs_of = np.repeat(np.array([d for d, _ in held], np.int64), [len(s) for _, s in held])
-            keys = np.concatenate([s for _, s in held])
-            order = np.lexsort((docs_of, keys))
-            keys, docs_of = keys[order], docs_of[order]
-            first = first_of_runs(keys)
-            last = np.append(first[1:], len(keys)) - 1
-            more = docs_of[first] != docs_of[last]
-            distinct, least = keys[first], docs_of[first]
-            order, bounds = cut(distinct, n_buckets)
-            rows = []
-            for b in range(n_buckets):
-                at = order[bounds[b] : bounds[b + 1]]
-                if len(at):
-                    rows.append((1, b, len(at), pack_sorted(distinct[at]), pack(np.concatenate((least[at].view(np.uint8), more[at].view(np.uint8))))))
-            others = np.repeat(more, last - first + 1)
-            others[first] = False
-            rows.append((2, -1, int(others.sum()), pack_sorted(keys[others]), pack(docs_of[others])))
-            return pd.DataFrame([(*r, None, None, None, None) for r in rows], columns=names)
-
-        for pdf in batches:
-            for part in in_blocks(pdf):
-                sets = shingle_sets(part["text"].tolist(), width)
-                bounds = class_bounds(max(map(len, sets), default=1) * 2)
-                rows = []
-                for doc, one, text in zip(part["doc_id"].tolist(), sets, part["text"]):
-                    rows.append((0, -1, 0, None, None, doc, len(one), int(one.sum(dtype=U64).view(np.int64)), int(mix(one).sum(dtype=U64).view(np.int64))))
-                    if len(one):
-                        held.append((doc, signatures(one, num, den, bounds)))
-                    size += len(text) if text else 0
-                yield pd.DataFrame(rows, columns=names)
-                if size >= chunk_bytes and held:
-                    yield close()
-                    held, size = [], 0
-        if held:
-            yield close()
-
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
-
-
-MEMBERS = "sig long, doc long"
-
-
-def shared_signatures(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the signatures that two documents or more have, each chunk's smallest one."""
-    keys, least, more = [], [], []
-    for n, k, v in zip(pdf["n"], pdf["keys"], pdf["vals"]):
-        raw = unpack(v, np.uint8)
-        keys.append(unpack_sorted(k))
-        least.append(raw[: 8 * n].view(np.int64))
-        more.append(raw[8 * n :] > 0)
-    keys, least, more = (np.concatenate(x) for x in (keys, least, more))
-    order = np.argsort(keys, kind="stable")
-    keys, least, more = keys[order], least[order], more[order]
-    first = first_of_runs(keys)
-    size = np.diff(np.append(first, len(keys)))
-    many = np.logical_or.reduceat(more, first) | (np.minimum.reduceat(least, first) < np.maximum.reduceat(least, first))
-    many = np.repeat(many, size)
-    return pd.DataFrame({"sig": keys[many].view(np.int64), "doc": least[many]})
-
-
-def other_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for k, v in zip(pdf["keys"], pdf["vals"]):
-            yield pd.DataFrame({"sig": unpack_sorted(k).view(np.int64), "doc": unpack(v, np.int64)})
 
+def in_blocks(pdf: pd.DataFrame, limit: int = 1 << 18) -> Iterator[pd.DataFrame]:
+    sizes = pdf["text"].map(lambda x: len(x) if x else 0).to_numpy()
+    for i, j in blocks(sizes, limit):
+        yield pdf.iloc[i:j]
 
-def group_members(signed: DataFrame) -> DataFrame:
-    """(sig, doc) of all groups of two documents or more. A bucket's task gets each signature once
-    per chunk; a chunk's further documents are members without passing through it."""
-    firsts = signed.filter("kind = 1").select("bucket", "n", "keys", "vals").groupBy("bucket").applyInPandas(shared_signatures, MEMBERS)
-    return firsts.unionByName(signed.filter("kind = 2").select("keys", "vals").mapInPandas(other_members, MEMBERS)).distinct()
 
+class Chunk:
+    """Documents of one task up to a size, numbered across the whole table."""
+
+    def __init__(self, chunk_bytes: int):
+        self.chunk_bytes, self.made = chunk_bytes, 0
+        self.start()
+
+    def start(self) -> None:
+        self.items: list[tuple] = []
+        self.sets: list[np.ndarray] = []
+        self.size = 0
+
+    @property
+    def full(self) -> bool:
+        return self.size >= self.chunk_bytes or len(self.items) >= 1 << (ROW_BITS - 1)
+
+    def add(self, item: tuple, one: np.ndarray, size: int) -> None:
+        self.items.append(item)
+        self.sets.append(one)
+        self.size += size
+
+    def close(self) -> tuple[int, list[tuple], list[np.ndarray]]:
+        """The chunk's number, items and sets; a new chunk begins."""
+        if self.made >> CHUNK_BITS:
+            raise ValueError("a task has more chunks than row numbers allow: use smaller partitions")
+        number = (TaskContext.get().partitionId() << CHUNK_BITS) + self.made
+        out = number, self.items, self.sets
+        self.made += 1
+        self.start()
+        return out
+
+
+def sign(docs: DataFrame, width: int, num: int, den: int, n_buckets: int, chunk_bytes: int) -> DataFrame:
+    """Kind 0: the documents of a chunk; kind 1: its requests, each key with the place of the only
+    document of the chunk that has it, or SEVERAL."""
+    part = asked_part(num, den)
+
+    def rows_of(chunk: Chunk) -> pd.DataFrame:
+        number, items, sets = chunk.close()
+        asked = [s[: np.searchsorted(s, part)] for s in sets]
+        keys, places = np.concatenate(asked), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in asked])
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order]
+        first = first_of_runs(keys)
+        only = np.where(np.diff(np.append(first, len(keys))) == 1, places[first], SEVERAL)
+        rows = [(0, number, -1, len(items), pack(np.array(items, np.int64).T), None)]
+        rows += [(1, *r) for r in requests(number, keys[first], only, n_buckets)]
+        return pd.DataFrame(rows, columns=NAMES)
 
-def fragment_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, fragment, n, shingles): the set of each document, cut at fixed places of the order."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = Chunk(chunk_bytes)
+        for pdf in batches:
+            for block in in_blocks(pdf):
+                sets = shingle_sets(block["text"].tolist(), width)
+                for doc, known, text, one in zip(block["doc_id"].tolist(), block["text_hash"].tolist(), block["text"], sets):
+                    chunk.add((doc, known, len(one), *set_hashes(one)), one, len(text) if text else 0)
+                if chunk.full:
+                    yield rows_of(chunk)
+        if chunk.items:
+            yield rows_of(chunk)
+
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return named.mapInPandas(run, WIRE)
+
+
+def lone_keys(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: per chunk, documents and how many of their keys no other document has."""
+    keys = np.concatenate([unpack_sorted(x) for x in pdf["keys"]])
+    only = np.concatenate([unpack(x, np.uint32) for x in pdf["vals"]])
+    chunk = np.repeat(pdf["chunk"].to_numpy(), pdf["n"].to_numpy())
+    order = np.argsort(keys, kind="stable")
+    first = first_of_runs(keys[order])
+    at = order[first[np.diff(np.append(first, len(keys))) == 1]]
+    at = at[only[at] != SEVERAL]
+    pairs, counts = np.unique(np.stack((chunk[at], only[at].astype(np.int64)), 1), axis=0, return_counts=True)
+    heads = first_of_runs(pairs[:, 0])
+    rows = []
+    for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(pairs)]):
+        rows.append((2, int(pairs[i, 0]), -1, j - i, pack(np.stack((pairs[i:j, 1], counts[i:j])).astype(np.uint32)), None))
+    return pd.DataFrame(rows, columns=NAMES)
+
+
+ROWS = "row long, doc_id long, text_hash long, n_shingles long, set_1 long, set_2 long, lone long"
+
+
+def rows_with_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One chunk's documents, each with the number of asked shingles that nobody else has."""
+    mine = pdf[pdf["kind"] == 0].iloc[0]
+    fields = unpack(mine["keys"], np.int64).reshape(5, -1)
+    lone = np.zeros(fields.shape[1], np.int64)
+    for blob in pdf.loc[pdf["kind"] == 2, "keys"]:
+        place, count = unpack(blob, np.uint32).reshape(2, -1)
+        lone[place] += count
+    row = (int(mine["chunk"]) << ROW_BITS) + np.arange(len(lone))
+    return pd.DataFrame(dict(zip([x.split()[0] for x in ROWS.split(", ")], (row, *fields, lone))))
+
+
+def numbered(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """ROWS of all documents that have a doc_id."""
+    size = text_bytes(docs)
+    signed = keep(sign(docs, width, num, den, bucket_count(size), chunk_bytes=8 << 20), "signed", partition_by="kind")
+    lone = signed.filter("kind = 1").groupBy("bucket").applyInPandas(lone_keys, WIRE)
+    both = signed.filter("kind = 0").select(*NAMES).unionByName(lone)
+    rows = keep(both.groupBy("chunk").applyInPandas(rows_with_counts, ROWS), "rows")
+    drop_table(signed)
+    return rows
+
+
+def class_sets(docs: DataFrame, classes: DataFrame, width: int, n_buckets: int, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """Kind 0: the sets of a chunk of classes; kind 1: requests for the number of classes by shingle."""
+
+    def rows_of(chunk: Chunk) -> pd.DataFrame:
+        number, items, sets = chunk.close()
+        keys, counts = np.unique(np.concatenate(sets), return_counts=True)
+        state = np.concatenate((np.array(items, np.int64), [len(s) for s in sets], np.concatenate(sets).view(np.int64)))
+        rows = [(0, number, -1, len(items), pack(state), None)]
+        rows += [(1, *r) for r in requests(number, keys, counts.astype(np.int64), n_buckets)]
+        return pd.DataFrame(rows, columns=NAMES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, seen = Chunk(chunk_bytes), set()
         for pdf in batches:
-            for part in in_blocks(pdf):
-                rows = []
-                for doc, one in zip(part["doc_id"].tolist(), shingle_sets(part["text"].tolist(), width)):
-                    at = np.searchsorted(one >> U64(32), np.arange(FRAGMENTS + 1, dtype=U64) * U64((1 << 32) // FRAGMENTS))
-                    at[-1] = len(one)
-                    rows += [(doc, f, len(one), one[at[f] : at[f + 1]].view(np.int64)) for f in range(FRAGMENTS)]
-                yield pd.DataFrame(rows, columns=["doc", "fragment", "n", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc long, fragment int, n long, shingles array<long>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps counted by fragment, then summed per pair. Only
-    pairs whose sizes allow it bring in their sets."""
-    left = sets.select(F.col("doc").alias("a"), "fragment", F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("doc").alias("b"), "fragment", F.col("shingles").alias("s_b"))
-    size = sets.filter("fragment = 0").select("doc", "n")
-    sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
-    near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    both = sized.filter(near).join(left, "a").join(right, ["b", "fragment"])
-    part = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
-    total = part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return total.filter(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
-
-
-def similar_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, leader_rounds: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row with a doc_id; similar are two sets with
-    den * intersection >= num * union."""
-    n_buckets = bucket_count(text_bytes(docs))
-    signed = keep(sign(docs, width, num, den, n_buckets), "signed", partition_by="kind")
-    rows = signed.filter("kind = 0").select("doc_id", "n_shingles", "set_1", "set_2")
-    same = ["n_shingles", "set_1", "set_2"]
-    classes = keep(rows.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # copies stand in the same groups as their representative and are told apart by it
-    every = group_members(signed)
-    copies = classes.filter("copies > 1").join(rows, same).filter("doc_id <> rep").select(F.col("doc_id").alias("doc")).distinct()
-    members = keep(every.join(copies, "doc", "left_anti"), "members")
-    for kind in (1, 2):
-        drop_part(signed, f"kind={kind}")
-    involved = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = keep(fragment_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
-
-    links, tested = None, None
-    heads = keep(members.groupBy("sig").agg(F.min("doc").alias("head"), F.count("*").alias("m")).filter("m > 1").select("sig", "head"), "heads")
-    for turn in range(leader_rounds + 2):
-        last, any_big = turn == leader_rounds + 1, False
-        if turn == 0:
-            pairs = members.join(heads, "sig").select(F.col("head").alias("a"), F.col("doc").alias("b"))
-        else:
-            labels = components(links) if links is not None else members.select(F.col("doc").alias("node"), F.col("doc").alias("label")).limit(0)
-            placed = members.select("sig", "doc").join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-            groups = placed.groupBy("sig").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-            open_ = keep(placed.join(groups.select("sig", "m"), "sig"), "open")
-            small = open_ if last else open_.filter(F.col("m") <= SMALL_GROUP)
-            one = small.select("sig", F.col("doc").alias("a"), F.col("label").alias("la"))
-            two = small.select("sig", F.col("doc").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
-            big = open_.filter(F.col("m") > SMALL_GROUP)
-            any_big = not last and not big.isEmpty()
-            if any_big:
-                fresh = big.join(heads.withColumnRenamed("head", "doc"), ["sig", "doc"], "left_anti").groupBy("sig").agg(F.min_by(F.struct("doc", "label"), "doc").alias("next"))
-                fresh = keep(fresh.select("sig", F.col("next.doc").alias("head"), F.col("next.label").alias("own")), "heads")
-                more = big.join(fresh, "sig").filter("label <> own").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"))
-                pairs = pairs.unionByName(more)
-                heads = heads.unionByName(fresh.select("sig", "head"))
-        pairs = pairs.filter("a <> b").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        if pairs.isEmpty():
-            if any_big:
+            pdf = pdf[~pdf["cls"].isin(seen)]
+            for block in in_blocks(pdf):
+                sets = shingle_sets(block["text"].tolist(), width)
+                for cls, n, known, text, one in zip(block["cls"].tolist(), block["n"].tolist(), block["set_1"].tolist(), block["text"], sets):
+                    if cls not in seen and len(one) == n and set_hashes(one)[0] == known:
+                        seen.add(cls)
+                        chunk.add(cls, one, len(text))
+                if chunk.full:
+                    yield rows_of(chunk)
+        if chunk.items:
+            yield rows_of(chunk)
+
+    wanted = classes.select(F.col("doc_id"), "cls", F.col("n_shingles").alias("n"), "set_1")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    return texts.select("cls", "n", "set_1", "text").mapInPandas(run, WIRE)
+
+
+def counted(keys: np.ndarray, which: np.ndarray, vals: np.ndarray) -> np.ndarray:
+    return np.bincount(which, weights=vals, minlength=len(keys)).astype(np.int64)
+
+
+SETS = "cls long, fragment int, n long, u long, shingles array<long>"
+
+
+def ordered_sets(signed: DataFrame, num: int, den: int, n_buckets: int) -> DataFrame:
+    """SETS of the classes that may have partners: fragment -1 holds the prefix, the others the
+    shingles of two classes or more by rank of frequency."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf[pdf["kind"] == 0].iloc[0]
+        raw, m = unpack(mine["keys"], np.int64), int(mine["n"])
+        classes, sizes, flat = raw[:m], raw[m : 2 * m], raw[2 * m :].view(U64)
+        keys, which = np.unique(flat, return_inverse=True)
+        got = pdf[pdf["kind"] == 1]
+        often = aligned({b: unpack(r, np.int64) for b, r in zip(got["bucket"], got["vals"])}, keys, n_buckets, dtype=np.int64)
+        rank = np.minimum(127, np.floor(4 * np.log2(np.maximum(often, 1)))).astype(U64)
+        place = ((rank << U64(56)) | (keys >> U64(8))).view(np.int64)
+        alone = often[which] < 2
+        place = place[which]
+        rows, i = [], 0
+        for cls, n in zip(classes.tolist(), sizes.tolist()):
+            shared = np.sort(place[i : i + n][~alone[i : i + n]])
+            i += n
+            u = n - len(shared)
+            if len(shared) * den < num * n:
                 continue
+            first = n - -(-num * n // den) + 1 - u
+            rows.append((cls, -1, n, u, shared[:first]))
+            part = np.minimum((shared >> 56) >> 3, FRAGMENTS - 1)
+            bounds = np.searchsorted(part, np.arange(FRAGMENTS + 1))
+            rows += [(cls, f, n, u, shared[bounds[f] : bounds[f + 1]]) for f in range(FRAGMENTS) if bounds[f] < bounds[f + 1]]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in SETS.split(", ")])
+
+    asked = signed.filter("kind = 1").select("chunk", "bucket", "n", "keys", "vals")
+    replies = answer(asked, np.int64, counted).select(F.lit(1).alias("kind"), "chunk", "bucket", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("keys"), F.col("reply").alias("vals"))
+    return signed.filter("kind = 0").select(*NAMES).unionByName(replies).groupBy("chunk").applyInPandas(run, SETS)
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) with the number of shingles that they share: partial overlaps are
+    counted by fragment, then summed per pair."""
+    heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
+    salted = pairs.join(heavy, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    whole = sets.filter("fragment >= 0")
+    left = whole.select(F.col("cls").alias("a"), "fragment", F.col("shingles").alias("s_a")).join(heavy, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = whole.select(F.col("cls").alias("b"), "fragment", F.col("shingles").alias("s_b"))
+    both = salted.drop("salts").join(left.drop("salts"), ["a", "salt"]).join(right, ["b", "fragment"])
+    part = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("shared"))
+    return part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+
+
+def group_members(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, size, x, n, u): classes by shingle of their prefix and size class, in groups of two
+    or more. Similar sets are at most one size class apart, so each also enters the one below."""
+    ratio = math.log(den / num * 1.0001) if num < den else 1e-9
+    size = F.floor(F.log("n") / ratio).cast("int")
+    base = sets.filter("fragment = -1").select(F.col("cls").alias("x"), "n", "u", size.alias("own"), "shingles")
+    every = base.select("x", "n", "u", F.explode(F.array("own", F.col("own") - 1)).alias("size"), "shingles").select("x", "n", "u", "size", F.explode("shingles").alias("shingle"))
+    shared = every.groupBy("shingle", "size").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    return every.join(shared, ["shingle", "size"])
+
+
+def unsettled(placed: DataFrame, measured: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Members that still have a possible partner of another component in their group, after what
+    their leader has shown: q is at least another's h, and h at most its q."""
+    group = ["shingle", "size"]
+    wide, room = den + num, den - num
+    shown = placed.join(measured.select(F.col("a").alias("head"), F.col("b").alias("x"), "shared"), ["head", "x"])
+    delta = F.col("n") + F.col("n_head") - 2 * F.col("shared")
+    told = shown.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").select(
+        *group, "x", "n", "u", F.coalesce("label", "x").alias("label"),
+        (wide * (delta - 2 * F.col("u")) + room * F.col("n")).alias("q"), (wide * delta - room * F.col("n")).alias("h"),
+    )
+    told = keep(told, "told")
+    by_label = told.groupBy(*group, "label").agg(F.max("q").alias("q"), F.min("h").alias("h"))
+    best = by_label.groupBy(*group).agg(F.max_by("label", "q").alias("q_label"), F.max("q").alias("q_best"), F.min_by("label", "h").alias("h_label"), F.min("h").alias("h_best"))
+    rest = by_label.join(best, group).groupBy(*group).agg(
+        F.max(F.when(F.col("label") != F.col("q_label"), F.col("q"))).alias("q_next"),
+        F.min(F.when(F.col("label") != F.col("h_label"), F.col("h"))).alias("h_next"),
+    )
+    seen = told.join(best.join(rest, group), group)
+    q = F.when(F.col("label") == F.col("q_label"), F.col("q_next")).otherwise(F.col("q_best"))
+    h = F.when(F.col("label") == F.col("h_label"), F.col("h_next")).otherwise(F.col("h_best"))
+    left = keep(seen.filter((q >= F.col("h")) & (h <= F.col("q"))).select(*group, "x", "n", "u", "label", "q", "h"), "members")
+    drop_table(told)
+    return left
+
+
+def component_labels(sets: DataFrame, num: int, den: int, rounds: int = 3, counts: list | None = None) -> DataFrame:
+    """(node, label): the classes that have links, each with the smallest class of its component.
+    `counts` gathers the number of pairs that each round compares."""
+    group = ["shingle", "size"]
+    wide, room = den + num, den - num
+    members = keep(group_members(sets, num, den).select(*group, "x", "n", "u"), "members")
+    labels = members.select(F.col("x").alias("node"), F.col("x").alias("label")).limit(0)
+    compared: list[DataFrame] = []
+
+    def either_way() -> DataFrame:
+        """(a, b, shared) of all pairs compared so far, in both directions."""
+        every = compared[0]
+        for more in compared[1:]:
+            every = every.unionByName(more)
+        return every.select("a", "b", "shared").unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Decides pairs that have not been compared; the labels after that."""
+        fresh = pairs.select("a", "b", "n_a", "n_b").distinct()
+        if compared:
+            fresh = fresh.join(either_way().select("a", "b"), ["a", "b"], "left_anti")
+        fresh = keep(fresh, "pairs")
+        compared.append(keep(overlaps(fresh, sets), "overlaps"))
+        drop_table(fresh)
+        if counts is not None:
+            counts.append(compared[-1].count())
+        similar = F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num
+        found = [x.filter(similar).select("a", "b") for x in compared]
+        if found[-1].isEmpty():
+            return labels
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        return components(every)
+
+    for _ in range(rounds):
+        if members.isEmpty():
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = keep(verified(pairs, sets, num, den), "links")
-        links = found if links is None else links.unionByName(found)
-    labels = components(links) if links is not None else None
-    out = rows.join(classes.select(*same, "rep"), same, "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        return out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-
-
-def in_blocks(pdf: pd.DataFrame, limit: int = 1 << 18) -> Iterator[pd.DataFrame]:
-    sizes = pdf["text"].map(lambda x: len(x) if x else 0).to_numpy()
-    for i, j in blocks(sizes, limit):
-        yield pdf.iloc[i:j]
+        slack = room * F.col("n") - wide * F.col("u")
+        heads = members.groupBy(*group).agg(F.max_by(F.struct("x", "n"), F.struct(slack, -F.col("x"))).alias("head"))
+        placed = members.join(heads.select(*group, F.col("head.x").alias("head"), F.col("head.n").alias("n_head")), group).filter("x <> head")
+        placed = keep(placed.select(*group, "x", "n", "u", "head", "n_head"), "placed")
+        drop_table(members)
+        labels = compare(placed.select(F.col("head").alias("a"), F.col("x").alias("b"), F.col("n_head").alias("n_a"), F.col("n").alias("n_b")))
+        members = unsettled(placed, either_way(), labels, num, den)
+        drop_table(placed)
+    if not members.isEmpty():
+        one = members.select(*group, F.col("x").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("q").alias("q_a"), F.col("h").alias("h_a"))
+        two = members.select(*group, F.col("x").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), F.col("q").alias("q_b"), F.col("h").alias("h_b"))
+        met = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (F.col("h_a") <= F.col("q_b")) & (F.col("h_b") <= F.col("q_a"))
+        near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+        labels = compare(one.join(two, group).filter(met & near))
+    labels = keep(labels, "labels")
+    drop_table(members)
+    for table in compared:
+        drop_table(table)
+    return labels
+
+
+def similar_rows(docs: DataFrame, width: int, num: int, den: int, counts: list | None = None) -> DataFrame:
+    """For every row with a doc_id: doc_id, text_hash (xxhash64 of the text), n_shingles,
+    component_id (smallest doc_id of its component) and component (a number of its own for each)."""
+    same = ["n_shingles", "set_1", "set_2"]
+    rows = numbered(docs, width, num, den)
+    open_ = rows.filter((F.col("n_shingles") > 0) & (F.col("lone") * den <= F.col("n_shingles") * (den - num)))
+    grouped = open_.groupBy(*same).agg(F.min("row").alias("cls"), F.min_by("doc_id", "row").alias("doc_id"), F.min("doc_id").alias("least"))
+    classes = keep(grouped, "classes")
+    n_buckets = bucket_count(text_bytes(docs))
+    signed = keep(class_sets(docs, classes, width, n_buckets), "class_sets", partition_by="kind")
+    sets = keep(ordered_sets(signed, num, den, n_buckets), "sets")
+    drop_table(signed)
+    labels = component_labels(sets, num, den, counts=counts)
+    drop_table(sets)
+    named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("label", "cls"))
+    least = named.filter(F.col("label").isNotNull()).groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component", "left").select(*same, "component", F.coalesce("component_id", "least").alias("component_id"))
+    out = rows.join(named, same, "left")
+    own = [F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "row").alias("component")]
+    return out.select("doc_id", "text_hash", "n_shingles", *own)
+
+
+def similar_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row with a doc_id; similar are two sets with
+    den * intersection >= num * union."""
+    return similar_rows(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
