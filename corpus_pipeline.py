@@ -5,8 +5,9 @@ STAGES lists the stages in order. Each takes (spark, docs, sf_dir) and returns t
 which are written as Parquet in between; all but the last keep the columns of documents. A stage
 deletes the scratch tables of the stage before it, whose result has been written by then.
 
-Defined cases: rows without doc_id pass every filter; rows that repeat a doc_id are one document to
-the near-duplicate stage, of which one row stays; null texts are rejected by the first stage.
+Defined cases: rows without doc_id pass every filter; rows that repeat a doc_id are documents
+of their own, of which the near-duplicate stage keeps one of each group of similar texts; null texts
+are rejected by the first stage.
 """
 
 from __future__ import annotations
@@ -54,12 +55,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id."""
-    groups = storage.keep(jaccard.similar_components(docs, WIDTH, *SIMILAR), "groups")
-    first = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    kept = docs.join(first, F.col("doc_id") == F.col("__id"))
+    """Of each group of similar documents one row, with the smallest doc_id."""
+    groups = storage.keep(jaccard.similar_rows(docs, WIDTH, *SIMILAR).select("component", "doc_id", "text_hash"), "groups")
+    equal = groups.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = equal.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "rows")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.rows").alias("__rows"))
+    kept = docs.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
     once = kept.filter("__rows = 1").select(*docs.columns)
-    again = kept.filter("__rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    again = kept.filter("__rows > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
     return once.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
