@@ -8,11 +8,13 @@
    rarest first; those of one class only are dropped, but their number is kept.
 3. Similar sets share one of the rarest shingles that a set may not do without (its prefix), and
    their sizes are in the same or neighbouring size classes: classes with both in common are a group.
-4. A group compares its members with one leader, the one nearest to what they have in common. What
-   the leader says about its members bounds every other pair: with delta shingles of difference from
-   the leader, u of them nobody else's, x and y differ in at least u_x + u_y + |(delta_x - u_x) -
-   (delta_y - u_y)|. Members that this bound, or a common component, settles leave the group; what is
-   left gets another leader, and after the last round the pairs that no bound has settled are compared.
+4. A group compares its members with one leader, the one nearest to what they have in common. With
+   delta shingles of difference from the leader (without what only the leader has), u of them nobody else's, x and y differ in at least
+   u_x + u_y + |(delta_x - u_x) - (delta_y - u_y)|: members that this bound or a link to the leader
+   settles are done. The others differ from each other by their differences from the leader, so two of
+   them are similar only if they share enough of these: the rarest ones among the leader's members
+   are their prefix, and only members that share one of it, and that the bound (now with what no other
+   member of the leader differs in) still allows, are compared.
 5. A pair is decided exactly. The frequency order is cut into fragments; Spark joins both sets by
    fragment, counts the overlap of each separately and sums the counts per pair.
 
@@ -215,7 +217,8 @@ def class_sets(docs: DataFrame, classes: DataFrame, width: int, n_buckets: int,
             yield rows_of(chunk)
 
     wanted = classes.select(F.col("doc_id"), "cls", F.col("n_shingles").alias("n"), "set_1")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    # by merge at every size: what is small here is large elsewhere
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")
     return texts.select("cls", "n", "set_1", "text").mapInPandas(run, WIRE)
 
 
@@ -284,88 +287,81 @@ def group_members(sets: DataFrame, num: int, den: int) -> DataFrame:
     return every.join(shared, ["shingle", "size"])
 
 
-def unsettled(placed: DataFrame, measured: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Members that still have a possible partner of another component in their group, after what
-    their leader has shown: q is at least another's h, and h at most its q."""
-    group = ["shingle", "size"]
+def allowed_pairs(compared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, n_a, n_b): members of the same leader that may be similar, after what the leader's
+    comparisons (a: leader, b: member) have shown. Members linked to the leader are one side.
+
+    Differences are from the leader without what nobody else has, which every member would miss. In
+    whole numbers, with wide = den + num and room = den - num: h is the difference from the leader,
+    and q what it leaves for a partner, so that similar members have h at most the other's q. Two
+    members whose h add up to 0 or less are similar for certain.
+    """
     wide, room = den + num, den - num
-    shown = placed.join(measured.select(F.col("a").alias("head"), F.col("b").alias("x"), "shared"), ["head", "x"])
-    delta = F.col("n") + F.col("n_head") - 2 * F.col("shared")
-    told = shown.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").select(
-        *group, "x", "n", "u", F.coalesce("label", "x").alias("label"),
-        (wide * (delta - 2 * F.col("u")) + room * F.col("n")).alias("q"), (wide * delta - room * F.col("n")).alias("h"),
+    delta = F.col("n_a") - F.col("u_a") + F.col("n_b") - 2 * F.col("shared")
+    joined = F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num
+    told = compared.select(
+        "a", F.col("b").alias("x"), F.col("n_b").alias("n"), "u", joined.alias("joined"),
+        (wide * delta - room * F.col("n_b")).alias("h"), (wide * (delta - 2 * F.col("u")) + room * F.col("n_b")).alias("q"),
     )
-    told = keep(told, "told")
-    by_label = told.groupBy(*group, "label").agg(F.max("q").alias("q"), F.min("h").alias("h"))
-    best = by_label.groupBy(*group).agg(F.max_by("label", "q").alias("q_label"), F.max("q").alias("q_best"), F.min_by("label", "h").alias("h_label"), F.min("h").alias("h_best"))
-    rest = by_label.join(best, group).groupBy(*group).agg(
-        F.max(F.when(F.col("label") != F.col("q_label"), F.col("q"))).alias("q_next"),
-        F.min(F.when(F.col("label") != F.col("h_label"), F.col("h"))).alias("h_next"),
-    )
-    seen = told.join(best.join(rest, group), group)
-    q = F.when(F.col("label") == F.col("q_label"), F.col("q_next")).otherwise(F.col("q_best"))
-    h = F.when(F.col("label") == F.col("h_label"), F.col("h_next")).otherwise(F.col("h_best"))
-    left = keep(seen.filter((q >= F.col("h")) & (h <= F.col("q"))).select(*group, "x", "n", "u", "label", "q", "h"), "members")
-    drop_table(told)
-    return left
-
+    apart = F.when(~F.col("joined"), F.col("q")), F.when(~F.col("joined"), F.col("h"))
+    best = told.groupBy("a").agg(
+        F.max("q").alias("q_any"), F.min("h").alias("h_any"), F.max(apart[0]).alias("q_apart"), F.min(apart[1]).alias("h_apart"),
+        F.min_by(F.struct("x", "n"), F.struct("h", "x")).alias("low_any"), F.min_by(F.struct("x", "n"), F.struct(apart[1], "x")).alias("low_apart"),
+    )
+    other = lambda name: F.when(F.col("joined"), F.col(f"{name}_apart")).otherwise(F.col(f"{name}_any"))
+    seen = told.join(best, "a").filter(F.col("h_apart").isNotNull())
+    seen = seen.select("a", "x", "n", "u", "joined", "h", "q", other("h").alias("h_low"), other("q").alias("q_top"), other("low").alias("low"))
+    left = keep(seen.filter((F.col("q_top") >= F.col("h")) & (F.col("h_low") <= F.col("q"))), "left")
+    certain = left.filter((F.col("h") + F.col("h_low") <= 0) & (F.col("x") != F.col("low.x"))).select(F.col("low.x").alias("a"), F.col("x").alias("b"), F.col("low.n").alias("n_a"), F.col("n").alias("n_b"))
 
-def component_labels(sets: DataFrame, num: int, den: int, rounds: int = 3, counts: list | None = None) -> DataFrame:
+    whole = sets.filter("fragment >= 0")
+    parts = left.select("a", "x", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    own = whole.select(F.col("cls").alias("x"), "fragment", F.col("shingles").alias("s_x"))
+    lead = whole.select(F.col("cls").alias("a"), "fragment", F.col("shingles").alias("s_a"))
+    none = F.array().cast("array<long>")
+    both = parts.join(own, ["x", "fragment"], "left").join(lead, ["a", "fragment"], "left").select("a", "x", F.coalesce("s_x", none).alias("s_x"), F.coalesce("s_a", none).alias("s_a"))
+    differs = keep(both.select("a", "x", F.explode(F.concat(F.array_except("s_x", "s_a"), F.array_except("s_a", "s_x"))).alias("shingle")), "differs")
+    often = differs.groupBy("a", "shingle").agg(F.count("*").alias("often"))
+    sorted_ = differs.join(often, ["a", "shingle"]).groupBy("a", "x").agg(
+        F.count_if(F.col("often") == 1).alias("lone"),
+        F.array_sort(F.collect_list(F.when(F.col("often") > 1, F.struct("often", "shingle")))).alias("order"),
+    )
+    need = F.greatest(F.lit(1), F.ceil((F.col("h") + F.col("h_low")) / (2 * wide))).cast("int")
+    marks = left.join(sorted_, ["a", "x"]).withColumn("q", F.col("q") - 2 * wide * F.col("lone")).withColumn("take", F.size("order") - need + 1)
+    marks = marks.filter((F.col("take") > 0) & (F.col("h_low") <= F.col("q")))
+    marks = keep(marks.select("a", "x", "n", "joined", "h", "q", F.explode(F.slice("order", F.lit(1), F.col("take"))).alias("o")).select("a", F.col("o.shingle").alias("shingle"), "x", "n", "joined", "h", "q"), "marks")
+    drop_table(differs)
+    one = marks.select("a", "shingle", F.col("x").alias("x_1"), F.col("n").alias("n_1"), F.col("joined").alias("j_1"), F.col("h").alias("h_1"), F.col("q").alias("q_1"))
+    two = marks.select("a", "shingle", F.col("x").alias("x_2"), F.col("n").alias("n_2"), F.col("joined").alias("j_2"), F.col("h").alias("h_2"), F.col("q").alias("q_2"))
+    met = (F.col("x_1") < F.col("x_2")) & ~(F.col("j_1") & F.col("j_2")) & (F.col("h_1") <= F.col("q_2")) & (F.col("h_2") <= F.col("q_1"))
+    near = (F.col("n_1") * den >= F.col("n_2") * num) & (F.col("n_2") * den >= F.col("n_1") * num)
+    found = one.join(two, ["a", "shingle"]).filter(met & near)
+    return found.select(F.col("x_1").alias("a"), F.col("x_2").alias("b"), F.col("n_1").alias("n_a"), F.col("n_2").alias("n_b")).unionByName(certain)
+
+
+def component_labels(sets: DataFrame, num: int, den: int, counts: list | None = None) -> DataFrame:
     """(node, label): the classes that have links, each with the smallest class of its component.
-    `counts` gathers the number of pairs that each round compares."""
+    `counts` gathers the number of pairs that are compared with leaders, and then without them."""
     group = ["shingle", "size"]
     wide, room = den + num, den - num
     members = keep(group_members(sets, num, den).select(*group, "x", "n", "u"), "members")
-    labels = members.select(F.col("x").alias("node"), F.col("x").alias("label")).limit(0)
-    compared: list[DataFrame] = []
-
-    def either_way() -> DataFrame:
-        """(a, b, shared) of all pairs compared so far, in both directions."""
-        every = compared[0]
-        for more in compared[1:]:
-            every = every.unionByName(more)
-        return every.select("a", "b", "shared").unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """Decides pairs that have not been compared; the labels after that."""
-        fresh = pairs.select("a", "b", "n_a", "n_b").distinct()
-        if compared:
-            fresh = fresh.join(either_way().select("a", "b"), ["a", "b"], "left_anti")
-        fresh = keep(fresh, "pairs")
-        compared.append(keep(overlaps(fresh, sets), "overlaps"))
-        drop_table(fresh)
-        if counts is not None:
-            counts.append(compared[-1].count())
-        similar = F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num
-        found = [x.filter(similar).select("a", "b") for x in compared]
-        if found[-1].isEmpty():
-            return labels
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        return components(every)
-
-    for _ in range(rounds):
-        if members.isEmpty():
-            break
-        slack = room * F.col("n") - wide * F.col("u")
-        heads = members.groupBy(*group).agg(F.max_by(F.struct("x", "n"), F.struct(slack, -F.col("x"))).alias("head"))
-        placed = members.join(heads.select(*group, F.col("head.x").alias("head"), F.col("head.n").alias("n_head")), group).filter("x <> head")
-        placed = keep(placed.select(*group, "x", "n", "u", "head", "n_head"), "placed")
-        drop_table(members)
-        labels = compare(placed.select(F.col("head").alias("a"), F.col("x").alias("b"), F.col("n_head").alias("n_a"), F.col("n").alias("n_b")))
-        members = unsettled(placed, either_way(), labels, num, den)
-        drop_table(placed)
-    if not members.isEmpty():
-        one = members.select(*group, F.col("x").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), F.col("q").alias("q_a"), F.col("h").alias("h_a"))
-        two = members.select(*group, F.col("x").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), F.col("q").alias("q_b"), F.col("h").alias("h_b"))
-        met = (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (F.col("h_a") <= F.col("q_b")) & (F.col("h_b") <= F.col("q_a"))
-        near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-        labels = compare(one.join(two, group).filter(met & near))
-    labels = keep(labels, "labels")
+    slack = room * F.col("n") - wide * F.col("u")
+    heads = members.groupBy(*group).agg(F.max_by(F.struct("x", "n", "u"), F.struct(slack, -F.col("x"))).alias("head"))
+    led = members.join(heads, group).select(F.col("head.x").alias("a"), F.col("x").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"), F.col("head.u").alias("u_a"), "u")
+    first = keep(led.filter("a <> b").distinct(), "led")
     drop_table(members)
-    for table in compared:
-        drop_table(table)
+    with_leaders = keep(overlaps(first, sets).join(first.select("a", "b", "u_a", "u"), ["a", "b"]), "overlaps")
+    drop_table(first)
+    second = keep(allowed_pairs(with_leaders, sets, num, den).distinct(), "allowed")
+    others = keep(overlaps(second, sets), "overlaps")
+    drop_table(second)
+    if counts is not None:
+        counts += [with_leaders.count(), others.count()]
+    both = with_leaders.select(*others.columns).unionByName(others)
+    links = both.filter(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
+    labels = components(links)
+    drop_table(with_leaders)
+    drop_table(others)
     return labels
 
 
