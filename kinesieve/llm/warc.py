@@ -16,7 +16,8 @@ or another one is decoded as it stands.
 
 Defined cases: a null or empty payload gives both records, the conversion with an empty block; null
 URI, date or headers leave those lines out; a null record_id leaves WARC-Refers-To out, and the
-derived ids then come from the payload alone; rows that repeat a response repeat its records; an empty table gives no rows;
+derived ids then come from the payload alone; a very long payload, or one tag with very many
+attributes, is read whole, with a stack that does not grow with it; rows that repeat a response repeat its records; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -36,8 +37,12 @@ from pyspark.sql import functions as F
 HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
 BREAKING = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "euro": "€", "pound": "£", "deg": "°", "times": "×", "amp": "&"}
-INSIDE = r"""[^'">]*(?:"[^"]*"[^'">]*|'[^']*'[^'">]*)*>"""
+#: The rest of a tag, quoted values included. Nothing in it can match in two ways, so its repeats are
+#: possessive: Java then walks them in a loop, where it would go one call deeper for each attribute.
+INSIDE = r"""[^'">]*+(?:"[^"]*+"[^'">]*+|'[^']*+'[^'">]*+)*+>"""
 CRLF = "\r\n"
+#: Bytes of a gzip member that are unpacked at a time.
+PIECE = 1 << 16
 
 
 def decoded(text: Column) -> Column:
@@ -164,24 +169,38 @@ def serialise(records: DataFrame) -> DataFrame:
     return records.select("record_id", member("headers", "block").alias("member"))
 
 
+def members_of(data: bytes) -> Iterator[bytes]:
+    """The parts of a WARC file: its gzip members unpacked, or what is not gzipped as it stands."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if data[at : at + 2] != b"\x1f\x8b":
+            yield data[at:]
+            return
+        stream, out = zlib.decompressobj(31), []
+        while not stream.eof and at < len(data):
+            out.append(stream.decompress(view[at : at + PIECE]))
+            at = min(len(data), at + PIECE) - len(stream.unused_data)
+        yield b"".join(out)
+
+
 def parse_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of a WARC file, gzipped or plain."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            stream = zlib.decompressobj(31)
-            rest, data = stream.decompress(data), stream.unused_data
-        else:
-            rest, data = data, b""
-        while rest.strip(b"\r\n"):
-            rest = rest.lstrip(b"\r\n")
-            head, _, rest = rest.partition(b"\r\n\r\n")
+    for part in members_of(data):
+        at = 0
+        while at < len(part):
+            if part[at] in b"\r\n":
+                at += 1
+                continue
+            end = part.find(b"\r\n\r\n", at)
+            head = part[at:] if end < 0 else part[at:end]
+            at = len(part) if end < 0 else end + 4
             fields: dict[str, str] = {}
             for x in head.decode("utf-8", "replace").split("\r\n")[1:]:
                 name, _, value = x.partition(":")
                 fields[name.strip().lower()] = value.strip()
-            size = int(fields.get("content-length", len(rest)))
-            yield fields, rest[:size]
-            rest = rest[size:]
+            size = int(fields.get("content-length", len(part) - at))
+            yield fields, part[at : at + size]
+            at += size
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -93,3 +93,25 @@ def test_source_bytes_and_digests(spark, tmp_path):
         assert ("source-block-digest: sha1:DEF\r\n" in meta.block) == bool(declared)
     assert all(got[x, "conversion"].block == "Café\ndéjà vu" and "title: Café\r\n" in got[x, "metadata"].block for x in ("latin", "gzip", "chunked"))
     assert got["broken", "conversion"].block == "a\ufffdb"
+
+
+def test_tag_with_very_many_attributes(spark):
+    many = " ".join(f"a{i}='{i}>'" for i in range(200_000))
+    pages = [(1, "u", f"<p>before</p><b {many}>in</b><div {many}>after</div>"), (2, "u", "x <a " + "\"q\" " * 200_000), (3, "u", "<i" + "'" * 200_001)]
+    rows = warc.derive(warc.responses_of(spark.createDataFrame(pages, "page_id long, url string, html string")), keep=("page_id",)).filter("type = 'conversion'")
+    got = {r.page_id: r.block for r in rows.collect()}
+    assert got[1] == "before\nin\nafter"
+    assert got[2].startswith("x <a \"q\"") and got[3].startswith("<i'")
+
+
+def test_many_members(tmp_path):
+    """Gzip members one after another, plain records, and blank lines between them."""
+    import gzip
+    import time
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    begin = time.time()
+    got = list(warc.parse_members(gzip.compress(one) * 20_000))
+    assert len(got) == 20_000 and all(x == ({"warc-type": "response", "content-length": "5"}, b"hello") for x in got)
+    assert len(list(warc.parse_members(one * 20_000 + b"\r\n" + one))) == 20_001
+    assert list(warc.parse_members(b"")) == [] and time.time() - begin < 60
