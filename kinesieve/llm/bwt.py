@@ -3,21 +3,29 @@
 A transform of all bytes would need as many merge passes as the longest prefix looked at (400) over
 every byte. The texts are therefore parsed first, as in prefix-free parsing: the smallest hash among
 every WINDOW neighbouring positions starts a phrase, so equal strings have equal phrases wherever
-they lie, but for the two ends. Each chunk of documents (a shard) orders the suffixes of its phrase
-sequence; the merge interleaves the shards by iterative refinement: a suffix's block at depth d is
-named by its first phrase and the block at depth d-1 of the suffix after it, which is what walking
-the interleave through the transform's preceding symbols does. Shards send the blocks' names to the
-bucket that owns them and get back the interval's size in the merged order; only suffixes in
-intervals of two or more go on to the next pass. No suffix is sorted again by all its phrases.
-
-The interval sizes settle almost every 400-byte window. Its phrases, the cut ones at both ends
+they lie, but for the two ends. The transforms are over these phrases.
+
+A shard is a chunk of documents. The merge interleaves the suffixes of all shards by refinement: at
+depth 0 all are one block, and a pass takes every block in order, steps from each of its suffixes to
+the symbol before it (the transform's entry there), and puts that longer suffix into the block of
+(symbol, block it came from). A block is named by its first place in the interleave, so names are
+ranks, compare as the prefixes do, and two suffixes have one name exactly when they share that many
+phrases. Buckets own ranges of the symbol order; shards send each distinct pair once with its count
+and get back the merged block's name and size. A block of one is a suffix whose common prefix with
+every other ends there: it leaves the merge, and so does what is before it. The number of passes that
+a suffix stayed in blocks of two or more is its longest common prefix; no suffix is sorted again.
+
+The block sizes settle almost every 400-byte window. Its phrases, the cut ones at both ends
 included, form a run: if that is repeated, so is the window. If the run of the phrases wholly inside
 (those fixed by the window's own bytes) is not repeated, neither is the window. Where the inner run
-has more occurrences than the outer, the windows themselves are compared by hash: these are the ends
-of repeats, and every occurrence with that inner run takes part.
+has more occurrences than the outer, the windows themselves are compared: these are the ends of
+repeats, and every occurrence with that inner run takes part. Phrases and windows are told apart by
+two independent 64-bit hashes.
 
 Defined cases: null text is empty; matches never cross documents; rows without doc_id or repeating
-one are documents of their own (equal rows repeat each other); an empty table gives no rows.
+one are documents of their own (equal rows repeat each other, so nothing of 400 bytes or more stays of
+them); texts of any length are one document each, hashed a bounded stretch at a time; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,15 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinesieve.llm.exchange import aligned, answer, bucket_count, pack, requests, text_bytes, unpack
-from kinesieve.llm.kernels import U64, blocks, first_of_runs, mix, powers, span_hashes
+from kinesieve.llm.exchange import bucket_count, pack, pack_sorted, text_bytes, unpack, unpack_sorted
+from kinesieve.llm.ids import identified, with_ids
+from kinesieve.llm.kernels import U64, blocks, first_of_runs, mix, powers
 from kinesieve.llm.storage import drop_table, keep
 
 #: Bytes that are hashed at each position, and positions of which the smallest starts a phrase.
 GRAM = 16
-#: Depths (in phrases) that the passes of the merge refine.
-PASSES = ((1,), (2, 3, 4), (5, 6, 7, 8), tuple(range(9, 17)))
-DEEPEST = PASSES[-1][-1]
+#: Passes of the merge, so phrases of the longest prefix that it tells.
+DEEPEST = 16
 BLOCK = 1 << 19
 #: Kinds of rows: a shard's texts, its state, and requests or replies (bucket 0 or more).
 TEXTS, STATE = -1, -2
@@ -52,12 +60,20 @@ def window_of(length: int) -> int:
     return max(1, (length - GRAM + 1) // 2)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+#: What a byte counts in each of the two hashes.
+WEIGHTS = tuple(mix(np.arange(256, dtype=U64) + U64(x)) for x in (1 << 20, 1 << 40))
+
+
+def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    np.cumsum(WEIGHTS[which][data] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
     return sums
 
 
+def hashes_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + mix((ends - starts).astype(U64)))
+
+
 def fixed_hashes(sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return mix((sums[starts + length] - sums[starts]) * powers(len(sums))[1][starts] + U64(length))
 
@@ -80,17 +96,21 @@ def smallest(data: np.ndarray, window: int) -> np.ndarray:
 
 
 class Shard:
-    """The phrases of a chunk of texts laid end to end.
+    """The phrases of a chunk of texts laid end to end, and where the merge has put their suffixes.
 
     first: where each phrase starts; low: for phrases started by a smallest hash, the first position
-    whose window chooses it, else -1; doc: the text of each phrase; symbol: hash of each phrase.
+    whose window chooses it, else -1; doc: the text of each phrase; symbol: two hashes of each phrase
+    before the merge, then its rank among all phrases of the corpus (-1: nobody else's); block: the
+    name of the suffix's block at the depth reached, -1 if it is alone in it or not asked for.
     """
 
     def __init__(self, ends: np.ndarray, first: np.ndarray, low: np.ndarray, symbol: np.ndarray):
         self.ends, self.first, self.low, self.symbol = ends, first, low, symbol
         self.last = np.append(first[1:], ends[-1] if len(ends) else 0)
         self.doc = np.searchsorted(ends, first, side="right")
-        self.sizes = np.zeros((DEEPEST, len(first)), np.int32)  # of the merged intervals, 0: under 2
+        self.depth = 0
+        self.block = np.zeros(len(first), np.int64)
+        self.sizes = np.zeros((DEEPEST, len(first)), np.int32)  # of the merged blocks, 0: under 2
 
     @classmethod
     def parse(cls, texts: list[bytes], length: int) -> "Shard":
@@ -110,53 +130,55 @@ class Shard:
             first = np.union1d(picked, starts)
             low = np.full(len(first), -1, np.int64)
             low[np.searchsorted(first, picked)] = at
-            symbols.append(span_hashes(data, first, np.append(first[1:], len(data))))
+            last = np.append(first[1:], len(data))
+            symbols.append(np.stack([hashes_of(prefix_sums(data, k), first, last) for k in (0, 1)]))
             firsts.append(first + base)
             lows.append(np.where(low >= 0, low + base, -1))
         none = np.zeros(0, np.int64)
-        return cls(ends, np.concatenate([none, *firsts]), np.concatenate([none, *lows]), np.concatenate([np.zeros(0, U64), *symbols]))
+        return cls(ends, np.concatenate([none, *firsts]), np.concatenate([none, *lows]), np.concatenate([np.zeros((2, 0), U64), *symbols], axis=1))
 
     def depth_needed(self, length: int) -> np.ndarray:
         """Phrases of the outer run of a window that starts at the end of each phrase."""
         end = np.minimum(self.last + length - 2, self.ends[self.doc] - 1)
         return np.searchsorted(self.first, end, side="right") - np.arange(len(self.first))
 
-    def block_names(self, depths: tuple[int, ...], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(depth, suffix, name) of all blocks that a pass asks for."""
-        n = len(self.first)
-        needed = self.depth_needed(length)
-        last_of_doc = np.searchsorted(self.doc, self.doc, side="right") - np.arange(n)
-        name = mix(self.symbol)
-        alive = np.ones(n, bool)
-        out = []
-        for d in range(1, depths[-1] + 1):
-            if d > 1:
-                after, follows = np.zeros(n, U64), np.zeros(n, bool)
-                after[:-1], follows[:-1] = name[1:], alive[1:]
-                name = mix(self.symbol + mix(after) * U64(3) + U64(d))
-                alive = alive & follows & (needed >= d) & (last_of_doc >= d)
-            if d in depths:
-                at = np.flatnonzero(alive)
-                out.append((np.full(len(at), d), at, name[at]))
-            else:
-                alive = alive & (self.sizes[d - 1] >= 2)
-        return tuple(np.concatenate(x) for x in zip(*out))
+    def next_depth(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes that the next pass places, and the pairs that place them: the symbol and the
+        block of the suffix after it. (At depth 1, the two hashes of the phrase.)"""
+        n, depth = len(self.first), self.depth + 1
+        if depth == 1:
+            return np.arange(n), self.symbol[0], self.symbol[1]
+        in_doc = np.searchsorted(self.doc, self.doc, side="right") - np.arange(n)
+        after = np.append(self.block[1:], -1)
+        at = np.flatnonzero((self.block >= 0) & (after >= 0) & (in_doc >= depth) & (self.depth_needed(length) >= depth))
+        return at, self.symbol[at].astype(U64), after[at].astype(U64)
+
+    def place(self, at: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes the merged blocks of a pass's suffixes."""
+        self.depth += 1
+        self.block = np.full(len(self.first), -1, np.int64)
+        self.block[at] = np.where(sizes >= 2, names, -1)
+        self.sizes[self.depth - 1, at] = np.where(sizes >= 2, np.minimum(sizes, 1 << 30), 0)
+        if self.depth == 1:
+            self.symbol = self.block
 
     def state(self) -> bytes:
-        known = self.sizes[0] >= 2
         fields = [self.ends, np.diff(self.first, prepend=0), np.where(self.low >= 0, self.first - self.low, -1)]
-        symbols = self.symbol if not self.sizes.any() else np.where(known, self.symbol, U64(0))
-        head = np.array([len(self.ends), len(self.first)], np.int64)
-        return pack(np.concatenate([head, *fields, symbols.view(np.int64), self.sizes.astype(np.int64).ravel()]))
+        merged = [self.symbol.view(np.int64).ravel()] if not self.depth else [self.symbol, self.block, self.sizes[: self.depth].astype(np.int64).ravel()]
+        return pack(np.concatenate([np.array([len(self.ends), len(self.first), self.depth], np.int64), *fields, *merged]))
 
     @classmethod
     def from_state(cls, blob: bytes) -> "Shard":
         raw = unpack(blob, np.int64)
-        d, n = int(raw[0]), int(raw[1])
-        parts = np.split(raw[2:], np.cumsum([d, n, n, n]))
-        first = np.cumsum(parts[1])
-        out = cls(parts[0], first, np.where(parts[2] >= 0, first - parts[2], -1), parts[3].view(U64))
-        out.sizes = parts[4].reshape(DEEPEST, n).astype(np.int32)
+        d, n, depth = raw[:3].tolist()
+        ends, steps, low, rest = np.split(raw[3:], np.cumsum([d, n, n]))
+        first = np.cumsum(steps)
+        low = np.where(low >= 0, first - low, -1)
+        if not depth:
+            return cls(ends, first, low, rest.view(U64).reshape(2, n))
+        out = cls(ends, first, low, rest[:n])
+        out.depth, out.block = depth, rest[n : 2 * n]
+        out.sizes[:depth] = rest[2 * n :].reshape(depth, n)
         return out
 
     def outcomes(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,20 +208,65 @@ class Shard:
         return np.where(known, self.sizes[np.minimum(depth, DEEPEST) - 1, suffix], -1)
 
 
-def total(keys: np.ndarray, which: np.ndarray, vals: np.ndarray) -> np.ndarray:
-    return np.bincount(which, weights=vals, minlength=len(keys)).astype(np.int64)
+def by_range(first: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets of hashes: ranges in their order."""
+    return (((first >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int64)
+
+
+def by_rank(first: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets of ranks: the ones that gave them."""
+    return (first >> U64(RANK_BITS)).astype(np.int64)
+
+
+#: Bits of a name that count places within a bucket.
+RANK_BITS = 40
+
+
+def distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, which of them each pair is, and how often each is there."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return a[first], b[first], which, np.diff(np.append(first, len(a)))
 
 
-def asked_rows(chunk: int, names: np.ndarray, n_buckets: int) -> list[tuple]:
-    keys, counts = np.unique(names, return_counts=True)
-    return [(*r, None) for r in requests(chunk, keys, counts.astype(np.int64), n_buckets)]
+def asked_rows(chunk: int, one: np.ndarray, two: np.ndarray, place, n_buckets: int) -> list[tuple]:
+    """A chunk's distinct pairs for the buckets that own them, with counts. Buckets own ranges of the
+    first value, so the pairs' order is that of the buckets too."""
+    a, b, _, counts = distinct_pairs(one, two)
+    owner = place(a, n_buckets)
+    first = first_of_runs(owner)
+    rows = []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(a)]):
+        rows.append((chunk, int(owner[i]), j - i, pack_sorted(a[i:j]), pack(np.concatenate((b[i:j].view(np.int64), counts[i:j]))), None))
+    return rows
 
 
-def answers(pdf: pd.DataFrame, names: np.ndarray, n_buckets: int) -> np.ndarray:
-    got = pdf[pdf["bucket"] >= 0]
-    keys, which = np.unique(names, return_inverse=True)
-    replies = {b: unpack(r, np.int64) for b, r in zip(got["bucket"], got["reply"])}
-    return aligned(replies, keys, n_buckets, dtype=np.int64)[which]
+def answers(pdf: pd.DataFrame, one: np.ndarray, two: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and sizes of the merged blocks, for each of the pairs that asked_rows() was given."""
+    got = pdf[pdf["bucket"] >= 0].sort_values("bucket")
+    which = distinct_pairs(one, two)[2]
+    parts = [unpack(r, np.int64).reshape(2, -1) for r in got["reply"]]
+    names, sizes = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
+    return names[which], sizes[which]
+
+
+def merged_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket of the interleave: equal pairs of all chunks are a block, named by where it starts."""
+    ones = np.concatenate([unpack_sorted(x) for x in pdf["keys"]])
+    rest = [unpack(x, np.int64).reshape(2, -1) for x in pdf["vals"]]
+    twos, counts = np.concatenate(rest, axis=1)
+    _, _, which, _ = distinct_pairs(ones, twos.view(U64))
+    sizes = np.bincount(which, weights=counts).astype(np.int64)
+    names = (int(pdf["bucket"].iloc[0]) << RANK_BITS) + np.cumsum(sizes) - sizes
+    both = np.split(np.stack((names[which], sizes[which])), np.cumsum(pdf["n"].to_numpy())[:-1], axis=1)
+    out = pdf[["chunk", "bucket"]].copy()
+    out["n"], out["keys"], out["vals"], out["reply"] = 0, None, None, [pack(x) for x in both]
+    return out
 
 
 def shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int) -> DataFrame:
@@ -216,13 +283,13 @@ def shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int) -> Da
             numbers = np.array([0 if x is None else x for x in ids], np.int64)
             blob = pack(np.frombuffer(b"".join(texts), np.uint8), 6)  # stored and shuffled twice
             rows = [(chunk, TEXTS, len(texts), pack(np.concatenate((numbers, missing))), blob, None), (chunk, STATE, 0, shard.state(), None, None)]
-            rows += asked_rows(chunk, shard.block_names(PASSES[0], length)[2], n_buckets) if len(shard.first) else []
+            rows += asked_rows(chunk, *shard.symbol, by_range, n_buckets) if len(shard.first) else []
             return pd.DataFrame(rows, columns=NAMES)
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+            for doc, text in zip(identified(pdf), pdf["text"].tolist()):
                 texts.append((text or "").encode("utf-8", "surrogatepass"))
-                ids.append(None if pd.isna(doc) else int(doc))
+                ids.append(doc)
                 size += len(texts[-1])
                 if size >= chunk_bytes:
                     yield close()
@@ -230,48 +297,43 @@ def shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int) -> Da
         if texts:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, ROWS)
+    return with_ids(docs).mapInPandas(run, ROWS)
 
 
 def replied(asked: DataFrame) -> DataFrame:
-    out = answer(asked.filter("bucket >= 0").select("chunk", "bucket", "n", "keys", "vals"), np.int64, total)
-    blank = F.lit(None).cast("binary")
-    return out.select("chunk", "bucket", F.lit(0).cast("long").alias("n"), blank.alias("keys"), blank.alias("vals"), "reply")
+    return asked.filter("bucket >= 0").select(*NAMES).groupBy("bucket").applyInPandas(merged_blocks, ROWS)
 
 
-def merge_pass(now: DataFrame, number: int, length: int, n_buckets: int) -> DataFrame:
-    """Takes the answers of a pass into each shard's state and asks for the next one's blocks."""
+def merge_pass(now: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """Takes the merged blocks of a pass into each shard and asks for those of the next depth."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(pdf["chunk"].iloc[0])
         shard = Shard.from_state(pdf.loc[pdf["bucket"] == STATE, "keys"].iloc[0])
         rows = []
         if len(shard.first):
-            depth, suffix, names = shard.block_names(PASSES[number], length)
-            size = answers(pdf, names, n_buckets)
-            shard.sizes[depth - 1, suffix] = np.where(size >= 2, np.minimum(size, 1 << 30), 0)
-            if number + 1 < len(PASSES):
-                rows = asked_rows(chunk, shard.block_names(PASSES[number + 1], length)[2], n_buckets)
+            at, one, two = shard.next_depth(length)
+            shard.place(at, *answers(pdf, one, two, n_buckets))
+            if shard.depth < DEEPEST:
+                _, one, two = shard.next_depth(length)
+                rows = asked_rows(chunk, one, two, by_rank, n_buckets)
         return pd.DataFrame([(chunk, STATE, 0, shard.state(), None, None), *rows], columns=NAMES)
 
     state = now.filter(F.col("bucket") == STATE).select(*NAMES)
     return state.unionByName(replied(now)).groupBy("chunk").applyInPandas(run, ROWS)
 
 
-def text_bounds(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(([0], shard.ends[:-1])) if len(shard.ends) else shard.ends, shard.ends
-
-
 def hashes_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the windows at sorted starts, with prefix sums over a bounded stretch at a time."""
-    out, i = [np.zeros(0, U64)], 0
+    """Both hashes of the windows at sorted starts, with sums over a bounded stretch at a time."""
+    out, i = [np.zeros((2, 0), U64)], 0
     while i < len(starts):
         base = starts[i]
         j = np.searchsorted(starts, base + BLOCK, side="right")
         part = starts[i:j]
-        out.append(fixed_hashes(prefix_sums(data[base : part[-1] + length]), part - base, length))
+        stretch = data[base : part[-1] + length]
+        out.append(np.stack([fixed_hashes(prefix_sums(stretch, k), part - base, length) for k in (0, 1)]))
         i = j
-    return np.concatenate(out)
+    return np.concatenate(out, axis=1)
 
 
 def compare_windows(now: DataFrame, texts: DataFrame, length: int, n_buckets: int) -> DataFrame:
@@ -289,7 +351,7 @@ def compare_windows(now: DataFrame, texts: DataFrame, length: int, n_buckets: in
                 settled.append(np.stack((sure[at], sure[np.append(at[1:], len(sure)) - 1] + length), 1))
             open_.append(compare)
         spans, starts = np.concatenate(settled), np.concatenate(open_)
-        rows = asked_rows(chunk, hashes_at(data, starts, length), n_buckets)
+        rows = asked_rows(chunk, *hashes_at(data, starts, length), by_range, n_buckets) if len(starts) else []
         keys = np.concatenate(([len(spans), len(starts), len(shard.ends)], spans.ravel(), np.diff(starts, prepend=0), shard.ends))
         rows.append((chunk, STATE, 0, pack(keys.astype(np.int64)), None, None))
         rows.append((chunk, TEXTS, mine["n"], mine["keys"], mine["vals"], None))
@@ -308,7 +370,7 @@ def removed_spans(pdf: pd.DataFrame, length: int, n_buckets: int) -> tuple[np.nd
     spans, steps, ends = np.split(raw[3:], np.cumsum([2 * n_spans, n_starts]))
     starts = np.cumsum(steps)
     if len(starts):
-        starts = starts[answers(pdf, hashes_at(data, starts, length), n_buckets) >= 2]
+        starts = starts[answers(pdf, *hashes_at(data, starts, length), n_buckets)[1] >= 2]
     spans = np.concatenate((spans.reshape(-1, 2), np.stack((starts, starts + length), 1)))
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     doc = np.searchsorted(ends, spans[:, 0], side="right")
@@ -319,16 +381,24 @@ def removed_spans(pdf: pd.DataFrame, length: int, n_buckets: int) -> tuple[np.nd
     return data, ends, spans[at, 0], reach[np.append(at[1:], len(spans)) - 1] if len(at) else reach
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, chunk_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
-    """The table from which finish() and kept_texts() read, and its number of buckets."""
-    n_buckets = bucket_count(text_bytes(docs))
+def merged_shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int, passes: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+    """The shards' texts, and their states after the merge."""
     parsed = keep(shards(docs, length, n_buckets, chunk_bytes), "shards")
     now = parsed
-    for number in range(len(PASSES)):
+    for _ in range(passes):
         before = now
-        now = keep(merge_pass(before, number, length, n_buckets), "merge")
+        now = keep(merge_pass(before, length, n_buckets), "merge")
         if before is not parsed:
             drop_table(before)
+        if now.filter("bucket >= 0").isEmpty():
+            break
+    return parsed, now
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, chunk_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
+    """The table from which by_document() reads, and its number of buckets."""
+    n_buckets = bucket_count(text_bytes(docs))
+    parsed, now = merged_shards(docs, length, n_buckets, chunk_bytes)
     texts = parsed.filter(F.col("bucket") == TEXTS).select(*NAMES)
     out = keep(compare_windows(now, texts, length, n_buckets), "windows")
     drop_table(now)
@@ -337,7 +407,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, chunk_bytes: int = 16 <<
 
 
 def by_document(compared: DataFrame, n_buckets: int, length: int, with_text: bool) -> DataFrame:
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_run long" + ", kept binary" * with_text
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         data, ends, lo, hi = removed_spans(pdf, length, n_buckets)
@@ -353,17 +423,17 @@ def by_document(compared: DataFrame, n_buckets: int, length: int, with_text: boo
                 at = y
             kept.append(whole[at:end])
             rest = b"".join(kept)
-            row = (None if missing[d] else int(numbers[d]), end - begin, end - begin - len(rest), j - i, hashlib.sha256(rest).hexdigest())
+            row = (None if missing[d] else int(numbers[d]), end - begin, end - begin - len(rest), j - i, hashlib.sha256(rest).hexdigest(), int((hi[i:j] - lo[i:j]).max(initial=0)))
             rows.append((*row, rest) if with_text else row)
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-        return out.astype({"doc_id": "Int64"})
+        return out.assign(doc_id=pd.array([x[0] for x in rows], "Int64"))
 
     state = compared.filter(F.col("bucket") < 0).select(*NAMES)
     return state.unionByName(replied(compared)).groupBy("chunk").applyInPandas(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the
-    kept bytes. A byte goes if a string of `length` bytes that covers it also starts elsewhere."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_run (bytes of
+    the longest removed run) and, if asked for, the kept bytes. A byte goes if a string of `length` bytes that covers it also starts elsewhere."""
     compared, n_buckets = repeated_spans(docs, length, chunk_bytes)
     return by_document(compared, n_buckets, length, with_text)

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinesieve.llm.ids import identified, with_ids
 from kinesieve.llm.storage import drop_table, keep
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -143,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         tail = np.asarray([end_id], "<u4").tobytes()
         step = 4 * capacity
         for pdf in batches:
-            texts, ids = ["" if x is None else x for x in pdf["text"]], pdf["doc_id"].tolist()
+            texts, ids = ["" if x is None else x for x in pdf["text"]], identified(pdf)
             first = 0
             while first < len(texts):
                 last, size = first, 0
@@ -156,11 +157,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                     for p, at in enumerate(range(0, len(blob), step)):
                         part = blob[at : at + step]
                         out.append((doc, p, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield rows.assign(doc_id=pd.array([x[0] for x in out], "Int64"))
                 first = last
         enc.forget(remembered)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return with_ids(docs).mapInPandas(run, PIECES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -218,8 +220,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds: int = 3) -> DataFrame:
     """Items (PIECES) with sequence_id and offset."""
-    schema = PACKED + ", grp long, bin long, gap int, fill long"
-    table = keep(items, "pieces")
+    schema = "missing boolean, " + PACKED + ", grp long, bin long, gap int, fill long"
+    own = ["missing", "doc_id", "piece", "start", "length", "ids_crc32"]
+    # a number of its own for each row deals equal ones apart; without nulls, ids stay whole in pandas
+    known = items.withColumn("missing", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    table = keep(known.withColumn("dealt", F.monotonically_increasing_id()), "pieces")
     n_groups = max(1, round(table.count() / per_group))
 
     def fresh(pdf: pd.DataFrame, stage: int, old: bool) -> pd.DataFrame:
@@ -234,7 +239,7 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds
         offset = np.empty(len(bins), np.int64)
         offset[order] = sums - lengths[order] - firsts[bins[order]]
         ids = (stage << 56) + (group << 24) + bins
-        out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
+        out = pdf[own].copy()
         out["sequence_id"], out["offset"], out["grp"], out["bin"] = ids, offset, group, ids
         out["gap"] = n - lower_bound(lengths, capacity)
         out["fill"] = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)[bins]
@@ -243,7 +248,7 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds
     def again(stage: int):
         return lambda pdf: fresh(pdf, stage, True)
 
-    dealt = table.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n_groups)))
+    dealt = table.withColumn("grp", F.pmod(F.xxhash64("dealt"), F.lit(n_groups)))
     now = keep(dealt.groupBy("grp").applyInPandas(lambda pdf: fresh(pdf, 0, False), schema), "packed")
     drop_table(table)
     done = []
@@ -263,7 +268,8 @@ def pack(items: DataFrame, capacity: int = 2048, per_group: int = 20_000, rounds
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    named = F.when(~F.col("missing"), F.col("doc_id")).alias("doc_id")
+    return out.select(named, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, remembered: int = REMEMBERED) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinesieve.llm.exchange import REPLY, REQUEST, aligned, bucket_count, by_hash, pack, pack_sorted, requests, text_bytes, unpack, unpack_sorted
+from kinesieve.llm.ids import identified, with_ids
 from kinesieve.llm.kernels import U64, blocks, first_of_runs, mix, normalise, words_of
 from kinesieve.llm.storage import drop_part, keep
 
@@ -177,8 +178,7 @@ def chunks(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
                 yield pd.DataFrame([(*r, 3) for r in requests(chunk, words[first], counts, n_buckets)], columns=names)
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                doc = None if pd.isna(doc) else int(doc)
+            for doc, text in zip(identified(pdf), pdf["text"].tolist()):
                 norm = normalise(text)
                 held.append((is_held_out(doc), doc, norm))
                 size += len(norm)
@@ -188,7 +188,7 @@ def chunks(docs: DataFrame, n_buckets: int, chunk_bytes: int) -> DataFrame:
         if held:
             yield from close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PADDED)
+    return with_ids(docs).mapInPandas(run, PADDED)
 
 
 def zstd(data: bytes) -> bytes:

@@ -93,3 +93,9 @@ def test_odd_rows(spark, plain):
     assert packing.pack_documents(df.limit(0), PATH).collect() == []
     twice = packing.pack_documents(df.filter("doc_id = 2").union(df.filter("doc_id = 2")), PATH).collect()
     assert len(twice) == 2 and len({(r.sequence_id, r.offset) for r in twice}) == 2
+
+
+def test_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "b"), (3, "c")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack_documents(df, PATH).collect()} == {big, None, 3}

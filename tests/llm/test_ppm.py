@@ -71,3 +71,10 @@ def test_odd_texts(spark):
 def test_held_out_documents_score_better_than_words_alone(spark):
     got = ppm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
+
+
+def test_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    out = ppm.score(spark.createDataFrame([(big, "a b"), (None, "b"), (3, "c")], SCHEMA).coalesce(1)).collect()
+    held = {r.doc_id: r.held_out for r in out}
+    assert held == {big: zlib.crc32(str(big).encode()) % 7 == 2, None: True, 3: zlib.crc32(b"3") % 7 == 2}
