@@ -181,10 +181,10 @@ class Shard:
         out.sizes[:depth] = rest[2 * n :].reshape(depth, n)
         return out
 
-    def outcomes(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For blocks of texts with repeated phrases: starts of windows that are settled as
+    def outcomes(self, length: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For blocks of texts with repeated phrases, parsed with `window`: starts of windows that are settled as
         repeated, and of windows to compare by hash."""
-        shift = length - GRAM + 1 - window_of(length)
+        shift = length - GRAM + 1 - window
         hot = np.zeros(len(self.ends) + 1, bool)
         hot[self.doc[self.sizes[0] >= 2]] = True
         begin = np.concatenate(([0], self.ends[:-1])) if len(self.ends) else self.ends
@@ -336,58 +336,68 @@ def hashes_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def compare_windows(now: DataFrame, texts: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Per shard: its texts, what is settled, the windows to compare, and the requests for them."""
+def compare_windows(now: DataFrame, texts: DataFrame, lengths: list[int], n_buckets: int) -> DataFrame:
+    """Per shard: what is settled, the windows of each length to compare, and the requests for them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(pdf["chunk"].iloc[0])
         shard = Shard.from_state(pdf.loc[pdf["bucket"] == STATE, "keys"].iloc[0])
-        mine = pdf[pdf["bucket"] == TEXTS].iloc[0]
-        data = unpack(mine["vals"], np.uint8)
-        settled, open_ = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-        for sure, compare in shard.outcomes(length):
-            if len(sure):
-                at = np.flatnonzero(np.concatenate(([True], np.diff(sure) > 1)))
-                settled.append(np.stack((sure[at], sure[np.append(at[1:], len(sure)) - 1] + length), 1))
-            open_.append(compare)
-        spans, starts = np.concatenate(settled), np.concatenate(open_)
-        rows = asked_rows(chunk, *hashes_at(data, starts, length), by_range, n_buckets) if len(starts) else []
-        keys = np.concatenate(([len(spans), len(starts), len(shard.ends)], spans.ravel(), np.diff(starts, prepend=0), shard.ends))
-        rows.append((chunk, STATE, 0, pack(keys.astype(np.int64)), None, None))
-        rows.append((chunk, TEXTS, mine["n"], mine["keys"], mine["vals"], None))
+        data = unpack(pdf.loc[pdf["bucket"] == TEXTS, "vals"].iloc[0], np.uint8)
+        fields, hashes = [np.array([len(shard.ends)]), shard.ends], []
+        for length in lengths:
+            settled, open_ = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+            for sure, compare in shard.outcomes(length, window_of(min(lengths))):
+                if len(sure):
+                    at = np.flatnonzero(np.concatenate(([True], np.diff(sure) > 1)))
+                    settled.append(np.stack((sure[at], sure[np.append(at[1:], len(sure)) - 1] + length), 1))
+                open_.append(compare)
+            spans, starts = np.concatenate(settled), np.concatenate(open_)
+            fields += [np.array([len(spans), len(starts)]), spans.ravel(), np.diff(starts, prepend=0)]
+            hashes.append(hashes_at(data, starts, length))
+        one, two = np.concatenate(hashes, axis=1)
+        rows = asked_rows(chunk, one, two, by_range, n_buckets) if len(one) else []
+        rows.append((chunk, STATE, 0, pack(np.concatenate(fields).astype(np.int64)), None, None))
         return pd.DataFrame(rows, columns=NAMES)
 
     state = now.filter(F.col("bucket") == STATE).select(*NAMES)
     return state.unionByName(texts).groupBy("chunk").applyInPandas(run, ROWS)
 
 
-def removed_spans(pdf: pd.DataFrame, length: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of a shard, its texts' ends, and starts and ends of what goes, in order."""
-    mine = pdf[pdf["bucket"] == TEXTS].iloc[0]
+def repeated_runs(pdf: pd.DataFrame, lengths: list[int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The bytes of a shard, its texts' ends, and for each length starts and ends of the runs of bytes
+    that repeated strings cover, in order."""
     raw = unpack(pdf.loc[pdf["bucket"] == STATE, "keys"].iloc[0], np.int64)
-    data = unpack(mine["vals"], np.uint8)
-    n_spans, n_starts, n_docs = raw[:3].tolist()
-    spans, steps, ends = np.split(raw[3:], np.cumsum([2 * n_spans, n_starts]))
-    starts = np.cumsum(steps)
-    if len(starts):
-        starts = starts[answers(pdf, *hashes_at(data, starts, length), n_buckets)[1] >= 2]
-    spans = np.concatenate((spans.reshape(-1, 2), np.stack((starts, starts + length), 1)))
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    doc = np.searchsorted(ends, spans[:, 0], side="right")
-    reach = np.maximum.accumulate(spans[:, 1]) if len(spans) else np.zeros(0, np.int64)
-    new = np.ones(len(spans), bool)
-    new[1:] = (spans[1:, 0] > reach[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return data, ends, spans[at, 0], reach[np.append(at[1:], len(spans)) - 1] if len(at) else reach
-
-
-def merged_shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int, passes: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+    data = unpack(pdf.loc[pdf["bucket"] == TEXTS, "vals"].iloc[0], np.uint8)
+    ends, rest = raw[1 : 1 + raw[0]], raw[1 + raw[0] :]
+    marks, hashes = [], []
+    for length in lengths:
+        spans, steps, rest = np.split(rest[2:], np.cumsum([2 * rest[0], rest[1]]))
+        marks.append((spans.reshape(-1, 2), np.cumsum(steps)))
+        hashes.append(hashes_at(data, marks[-1][1], length))
+    one, two = np.concatenate(hashes, axis=1)
+    sizes = answers(pdf, one, two, n_buckets)[1] if len(one) else np.zeros(0, np.int64)
+    out = []
+    for length, (spans, starts) in zip(lengths, marks):
+        own, sizes = sizes[: len(starts)], sizes[len(starts) :]
+        starts = starts[own >= 2]
+        spans = np.concatenate((spans, np.stack((starts, starts + length), 1)))
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        doc = np.searchsorted(ends, spans[:, 0], side="right")
+        reach = np.maximum.accumulate(spans[:, 1]) if len(spans) else np.zeros(0, np.int64)
+        new = np.ones(len(spans), bool)
+        new[1:] = (spans[1:, 0] > reach[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        out.append((spans[at, 0], reach[np.append(at[1:], len(spans)) - 1] if len(at) else reach))
+    return data, ends, out
+
+
+def merged_shards(docs: DataFrame, lengths: list[int], n_buckets: int, chunk_bytes: int, passes: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
     """The shards' texts, and their states after the merge."""
-    parsed = keep(shards(docs, length, n_buckets, chunk_bytes), "shards")
+    parsed = keep(shards(docs, min(lengths), n_buckets, chunk_bytes), "shards")
     now = parsed
     for _ in range(passes):
         before = now
-        now = keep(merge_pass(before, length, n_buckets), "merge")
+        now = keep(merge_pass(before, max(lengths), n_buckets), "merge")
         if before is not parsed:
             drop_table(before)
         if now.filter("bucket >= 0").isEmpty():
@@ -395,25 +405,16 @@ def merged_shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int
     return parsed, now
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, chunk_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
-    """The table from which by_document() reads, and its number of buckets."""
-    n_buckets = bucket_count(text_bytes(docs))
-    parsed, now = merged_shards(docs, length, n_buckets, chunk_bytes)
-    texts = parsed.filter(F.col("bucket") == TEXTS).select(*NAMES)
-    out = keep(compare_windows(now, texts, length, n_buckets), "windows")
-    drop_table(now)
-    drop_table(parsed)
-    return out, n_buckets
-
-
-def by_document(compared: DataFrame, n_buckets: int, length: int, with_text: bool) -> DataFrame:
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_run long" + ", kept binary" * with_text
+def by_document(compared: DataFrame, texts: DataFrame, n_buckets: int, lengths: list[int], with_text: bool) -> DataFrame:
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_run long" + ", has_passage boolean" * (len(lengths) > 1) + ", kept binary" * with_text
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, ends, lo, hi = removed_spans(pdf, length, n_buckets)
+        data, ends, runs = repeated_runs(pdf, lengths, n_buckets)
+        lo, hi = runs[0]
         numbers, missing = unpack(pdf.loc[pdf["bucket"] == TEXTS, "keys"].iloc[0], np.int64).reshape(2, -1)
         begins = np.concatenate(([0], ends[:-1]))
         first, last = np.searchsorted(lo, begins), np.searchsorted(lo, ends)
+        passage = [np.searchsorted(x, ends) > np.searchsorted(x, begins) for x, _ in runs[1:]]
         whole = data.tobytes()
         rows = []
         for d, (begin, end, i, j) in enumerate(zip(begins.tolist(), ends.tolist(), first.tolist(), last.tolist())):
@@ -424,16 +425,23 @@ def by_document(compared: DataFrame, n_buckets: int, length: int, with_text: boo
             kept.append(whole[at:end])
             rest = b"".join(kept)
             row = (None if missing[d] else int(numbers[d]), end - begin, end - begin - len(rest), j - i, hashlib.sha256(rest).hexdigest(), int((hi[i:j] - lo[i:j]).max(initial=0)))
-            rows.append((*row, rest) if with_text else row)
+            rows.append((*row, *(bool(x[d]) for x in passage), *([rest] if with_text else [])))
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
         return out.assign(doc_id=pd.array([x[0] for x in rows], "Int64"))
 
-    state = compared.filter(F.col("bucket") < 0).select(*NAMES)
-    return state.unionByName(replied(compared)).groupBy("chunk").applyInPandas(run, schema)
+    state = compared.filter(F.col("bucket") == STATE).select(*NAMES)
+    return state.unionByName(texts).unionByName(replied(compared)).groupBy("chunk").applyInPandas(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, chunk_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = None, with_text: bool = False, chunk_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_run (bytes of
-    the longest removed run) and, if asked for, the kept bytes. A byte goes if a string of `length` bytes that covers it also starts elsewhere."""
-    compared, n_buckets = repeated_spans(docs, length, chunk_bytes)
-    return by_document(compared, n_buckets, length, with_text)
+    the longest removed run) and, if asked for, has_passage (whether a string of `passage` bytes, fewer
+    than `length`, occurs elsewhere too) and the kept bytes. A byte goes if a string of `length` bytes
+    that covers it also starts elsewhere."""
+    lengths = [length] if passage is None else [length, passage]
+    n_buckets = bucket_count(text_bytes(docs))
+    parsed, now = merged_shards(docs, lengths, n_buckets, chunk_bytes)
+    texts = parsed.filter(F.col("bucket") == TEXTS).select(*NAMES)
+    compared = keep(compare_windows(now, texts, lengths, n_buckets), "windows")
+    drop_table(now)
+    return by_document(compared, texts, n_buckets, lengths, with_text)

@@ -70,7 +70,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bwt.remove_repeats(table(spark, sf_dir, "documents"))
+    """Strings of 400 bytes go; has_passage tells of shorter ones, of about fifty words, that stay."""
+    return bwt.remove_repeats(table(spark, sf_dir, "documents"), passage=250)
 
 
 def _sql_decoded(text: str) -> str:
