@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinesieve.functions.rotation import vec
+from kinesieve.functions.rotation import let, vec
 
 
 def distorted(theta: Column, lens: Column) -> Column:
@@ -66,3 +66,141 @@ def combined_displacement(tx: Column, ty: Column, rot: Column, logs: Column, wid
 
 
 DEGREE = math.pi / 180
+
+
+def scaled(lens: Column, factor: Column) -> Column:
+    """The lens of a resized image; a pixel's centre stays its centre."""
+    centre = lambda c: (c + 0.5) * factor - 0.5
+    return F.struct(
+        (lens.fx * factor).alias("fx"), (lens.fy * factor).alias("fy"), centre(lens.cx).alias("cx"), centre(lens.cy).alias("cy"),
+        *(lens[k].alias(k) for k in ("k1", "k2", "k3", "k4")),
+    )
+
+
+def focal_scaled(lens: Column, factor: Column) -> Column:
+    return F.struct((lens.fx * factor).alias("fx"), (lens.fy * factor).alias("fy"), *(lens[k].alias(k) for k in ("cx", "cy", "k1", "k2", "k3", "k4")))
+
+
+def in_view(ray: Column, degrees: float = 89.0) -> Column:
+    """Whether a ray is closer to the axis than so many degrees."""
+    return F.atan2(F.sqrt(ray.x * ray.x + ray.y * ray.y), ray.z) < math.radians(degrees)
+
+
+def project_gradient(ray: Column, lens: Column) -> Column:
+    """Derivatives of the pixel by the ray's three components: du/dx, du/dy, du/dz, dv/dx, dv/dy,
+    dv/dz. On the axis, those of a pinhole."""
+
+    def body(ray: Column, k: Column) -> Column:
+        return F.array(
+            lens.fx * (k.scale + k.along * ray.x * ray.x), lens.fx * k.along * ray.x * ray.y, lens.fx * k.deep * ray.x,
+            lens.fy * k.along * ray.x * ray.y, lens.fy * (k.scale + k.along * ray.y * ray.y), lens.fy * k.deep * ray.y,
+        )
+
+    def factors(ray: Column, a: Column) -> Column:
+        off, all2 = a.r > 1e-9, a.r * a.r + ray.z * ray.z
+        # along the radius the pixel moves by the slope, across it by the scale
+        scale = F.when(off, a.d / a.r).otherwise(1 / ray.z)
+        along = F.when(off, (a.e * ray.z / all2 - scale) / (a.r * a.r)).otherwise(0.0)
+        deep = F.when(off, -a.e / all2).otherwise(-1 / (ray.z * ray.z))
+        return let(F.struct(scale.alias("scale"), along.alias("along"), deep.alias("deep")), lambda k: body(ray, k))
+
+    def angle(ray: Column, r: Column) -> Column:
+        theta = F.atan2(r, ray.z)
+        return let(theta, lambda t: let(F.struct(r.alias("r"), distorted(t, lens).alias("d"), slope(t, lens).alias("e")), lambda a: factors(ray, a)))
+
+    return let(ray, lambda ray: let(F.sqrt(ray.x * ray.x + ray.y * ray.y), lambda r: angle(ray, r)))
+
+
+def widest_radius(lens: dict[str, float], margin: float = 0.95, degrees: float = 85.0, least_slope: float = 0.3, steps: int = 2000) -> float:
+    """The largest distorted radius that unprojects reliably: up to the angle where the slope falls
+    under `least_slope`. Works on one lens, not on columns."""
+    best = 0.0
+    for i in range(steps):
+        theta = math.radians(degrees) * i / (steps - 1)
+        s = theta * theta
+        if 1 + s * (3 * lens["k1"] + s * (5 * lens["k2"] + s * (7 * lens["k3"] + s * 9 * lens["k4"]))) < least_slope:
+            break
+        best = theta * (1 + s * (lens["k1"] + s * (lens["k2"] + s * (lens["k3"] + s * lens["k4"]))))
+    return best * margin
+
+
+def row_positions(height: Column, rows: Column) -> Column:
+    """Evenly spaced rows of an image, the first and the last one included."""
+    return F.transform(F.sequence(F.lit(0), rows - 1), lambda j: j * (height - 1) / F.greatest(rows - 1, F.lit(1)))
+
+
+def border_points(width: Column, height: Column, along_long: int = 3, along_short: int = 3) -> Column:
+    """The corners of an image and evenly spaced points inside each edge."""
+    right, bottom = (width - 1).cast("double"), (height - 1).cast("double")
+    wide = width >= height
+    nx, ny = (F.when(wide, F.lit(a)).otherwise(F.lit(b)) for a, b in ((along_long, along_short), (along_short, along_long)))
+    at = lambda x, y: F.struct(x.alias("u"), y.alias("v"))
+    nil = F.lit(0.0)
+    corners = F.array(at(nil, nil), at(right, nil), at(right, bottom), at(nil, bottom))
+    xs, ys = F.sequence(F.lit(1), nx), F.sequence(F.lit(1), ny)
+    return F.concat(
+        corners,
+        F.transform(xs, lambda i: at(i * right / (nx + 1), nil)), F.transform(xs, lambda i: at(i * right / (nx + 1), bottom)),
+        F.transform(ys, lambda i: at(nil, i * bottom / (ny + 1))), F.transform(ys, lambda i: at(right, i * bottom / (ny + 1))),
+    )
+
+
+def inside_distance(pixel: Column, z: Column, width: Column, height: Column) -> Column:
+    """How far a pixel is inside the picture, negative outside; -1e30 behind the camera."""
+    d = F.least(pixel.u + 0.5, width - 0.5 - pixel.u, pixel.v + 0.5, height - 0.5 - pixel.v)
+    return F.when(z > 0, d).otherwise(-1e30)
+
+
+def grid_value(grid: Column, columns: int, rows: int, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Bilinear value of a grid (rows one after another) that covers a picture, clamped at its rim."""
+    clamp = lambda a, top: F.least(F.greatest(a, F.lit(0.0)), F.lit(float(top)))
+    gx = clamp((x + 0.5) * columns / width - 0.5, columns - 1)
+    gy = clamp((y + 0.5) * rows / height - 0.5, rows - 1)
+    x0, y0 = (F.least(F.floor(g), F.lit(max(n - 2, 0))).cast("int") for g, n in ((gx, columns), (gy, rows)))
+    x1, y1 = F.least(x0 + 1, F.lit(columns - 1)), F.least(y0 + 1, F.lit(rows - 1))
+    cell = lambda i, j: F.get(grid, j * columns + i)
+    at = F.struct(x0.alias("i"), x1.alias("k"), y0.alias("j"), y1.alias("l"), (gx - x0).alias("u"), (gy - y0).alias("v"))
+    across = lambda p, row: cell(p.i, row) * (1 - p.u) + cell(p.k, row) * p.u
+    return let(at, lambda p: across(p, p.j) * (1 - p.v) + across(p, p.l) * p.v)
+
+
+def tap_weights(f: Column, kernel: str) -> Column:
+    """Weights of the neighbouring samples around a fraction f: six for lanczos3, four for
+    catmullrom, two for bilinear; they sum up to one."""
+    if kernel == "bilinear":
+        return F.array(1 - f, f)
+    if kernel == "catmullrom":
+        near = lambda t: 1 - 2.5 * t * t + 1.5 * t * t * t
+        far = lambda t: 2 - 4 * t + 2.5 * t * t - 0.5 * t * t * t
+        return F.array(far(1 + f), near(f), near(1 - f), far(2 - f))
+    if kernel != "lanczos3":
+        raise ValueError(kernel)
+
+    def tap(x: Column) -> Column:
+        turn = F.abs(x) * math.pi
+        return F.when(turn < 1e-9, 1.0).otherwise(3 * F.sin(turn) * F.sin(turn / 3) / (turn * turn))
+
+    taps = F.transform(F.array(*(F.lit(float(i)) for i in range(-2, 4))), lambda i: tap(f - i))
+    return let(taps, lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(w, lambda x: x / total)))
+
+
+def soft_limit(length: Column, limit: float) -> Column:
+    """Factor that brings a length smoothly under a limit."""
+    return F.when(length > 1e-12, limit * F.tanh(length / limit) / length).otherwise(1.0)
+
+
+def polynomial_terms(x: Column, y: Column, order: int) -> Column:
+    terms = [F.lit(1.0), x, y] + ([x * x, x * y, y * y] if order > 1 else [])
+    return F.array(*terms)
+
+
+def axis_factors(focal: Column, roll: Column | None = None) -> Column:
+    """Pixels for a small turn about each axis; roll counts 0.785 of the focal length if not given."""
+    return vec(focal, focal, F.coalesce(roll, 0.785 * focal) if roll is not None else 0.785 * focal)
+
+
+def exposure_offset(exposure: Column, base: float, extra: float, short: float, long_: float) -> Column:
+    """A timing offset that grows from `base` at long exposures by `extra` to short ones; a missing or
+    unsound exposure counts as long."""
+    known = F.when((exposure > 0) & (exposure < float("inf")), exposure).otherwise(long_)
+    return base + extra * F.least(F.greatest((long_ - known) / (long_ - short), F.lit(0.0)), F.lit(1.0))

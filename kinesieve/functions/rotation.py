@@ -5,10 +5,18 @@ Hamilton convention; x right, y down, z forward.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: Spark would put a copy of it at each place that
+    uses it, and expressions that build on each other would grow without end."""
+    return F.transform(F.array(value), body)[0]
+
+
 def quat(w: Column, x: Column, y: Column, z: Column) -> Column:
     return F.struct(w.alias("w"), x.alias("x"), y.alias("y"), z.alias("z"))
 
@@ -42,9 +50,8 @@ def qnormalize(q: Column) -> Column:
 def qexp(v: Column) -> Column:
     """The unit quaternion of a rotation vector."""
     angle = F.sqrt(v.x * v.x + v.y * v.y + v.z * v.z)
-    tiny = angle < 1e-8
-    safe = F.when(tiny, F.lit(1.0)).otherwise(angle)
-    k = F.when(tiny, 0.5 - angle * angle / 48).otherwise(F.sin(angle / 2) / safe)
+    # the quotient is exact for any angle but zero, where half of the vector is left
+    k = F.when(angle > 0, F.sin(angle / 2) / angle).otherwise(0.5)
     return quat(F.cos(angle / 2), k * v.x, k * v.y, k * v.z)
 
 

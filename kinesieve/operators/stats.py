@@ -33,38 +33,86 @@ def finite(text: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000, seed: int = 7, block: int = 4096) -> DataFrame:
-    """(keys, n, mean, lo, hi): percentile interval of the mean by a Poisson bootstrap.
+def poisson_table(mean: float) -> np.ndarray:
+    """Cumulative probabilities of a Poisson variable, as far as a double tells them from one."""
+    top = int(mean + 12 * np.sqrt(mean) + 30)
+    steps = np.log(np.arange(1, top + 1))
+    logs = np.arange(top + 1) * np.log(mean) - mean - np.concatenate(([0.0], np.cumsum(steps)))
+    return np.cumsum(np.exp(logs))
 
-    Every row draws its own counts from a generator seeded by its hash, so partial sums of the draws
-    add up in any order and no group is gathered in one task: each batch gives one row of sums per
-    key and block of draws.
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """Uniform numbers in [0, 1) from 64-bit integers, one for each."""
+    x = x * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xDABA0B6EB09322E3)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xDABA0B6EB09322E3)
+    return (x >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def bootstrap_draws(df: DataFrame, keys: list[str], values: list[str], draws: int, seed: int, block: int = 2048) -> DataFrame:
+    """(keys, draw, weight, total_<value>...): Poisson bootstrap sums of each draw.
+
+    Equal rows are counted first: the weights of m equal rows add up to one Poisson variable of mean
+    m. Each distinct row draws its weights from its own hash and the number of the draw, so neither
+    partitions nor batches change them, and no group is gathered in one task.
     """
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    hashed = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns, F.lit(seed)).alias("h"))
+    numbers = [F.col(v).cast("double").alias(f"total_{v}") for v in values]
+    known = df.select(*keys, *numbers).dropna(subset=[f"total_{v}" for v in values])
+    rows = known.groupBy(*known.columns).agg(F.count("*").alias("m"))
+    rows = rows.withColumn("h", F.xxhash64(*known.columns, F.lit(seed)))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for pdf in batches:
             for key, part in pdf.groupby(keys, dropna=False):
-                total, weight = np.zeros(draws), np.zeros(draws)
+                total, weight = np.zeros((len(values), draws)), np.zeros(draws)
                 for i in range(0, len(part), block):
                     piece = part.iloc[i : i + block]
-                    rng = np.random.Generator(np.random.Philox(int(piece["h"].astype("uint64").sum() % (1 << 63))))
-                    counts = rng.poisson(1.0, (len(piece), draws))
-                    total += piece["v"].to_numpy() @ counts
+                    h, m = piece["h"].to_numpy().view(np.uint64), piece["m"].to_numpy()
+                    counts = scrambled(h[:, None] + number)
+                    for each in np.unique(m):
+                        counts[m == each] = np.searchsorted(poisson_table(each), counts[m == each], side="right")
+                    total += piece[[f"total_{v}" for v in values]].to_numpy().T @ counts
                     weight += counts.sum(0)
-                out = pd.DataFrame({"draw": np.arange(draws), "total": total, "weight": weight})
+                out = pd.DataFrame({"draw": np.arange(draws), "weight": weight} | {f"total_{v}": x for v, x in zip(values, total)})
                 for k, x in zip(keys, key if isinstance(key, tuple) else (key,)):
                     out[k] = x
-                yield out[[*keys, "draw", "total", "weight"]]
+                yield out[[*keys, "draw", "weight", *(f"total_{v}" for v in values)]]
+
+    totals = ", ".join(f"total_{v} double" for v in values)
+    drawn = rows.mapInPandas(sums, f"{fields}, draw int, weight double, {totals}")
+    return drawn.groupBy(*keys, "draw").agg(F.sum("weight").alias("weight"), *(F.sum(f"total_{v}").alias(f"total_{v}") for v in values))
+
 
-    drawn = hashed.mapInPandas(sums, f"{fields}, draw int, total double, weight double")
-    means = drawn.groupBy(*keys, "draw").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("m"))
-    ends = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    plain = hashed.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    # an interval needs two observations
+def interval(drawn: DataFrame, keys: list[str], statistic: Column, plain: DataFrame) -> DataFrame:
+    """`plain` (keys, n, ...) with lo and hi, the 2.5 and 97.5 % points of the statistic over the
+    draws; both null with fewer than two observations."""
+    ends = drawn.groupBy(*keys).agg(F.percentile(statistic, 0.025).alias("lo"), F.percentile(statistic, 0.975).alias("hi"))
     few = F.col("n") < 2
-    return plain.join(ends, keys).select(*keys, "n", "mean", F.when(~few, F.col("lo")).alias("lo"), F.when(~few, F.col("hi")).alias("hi"))
+    return plain.join(ends, keys).select(*plain.columns, F.when(~few, F.col("lo")).alias("lo"), F.when(~few, F.col("hi")).alias("hi"))
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+    """(keys, n, mean, lo, hi): percentile interval of the mean by a Poisson bootstrap."""
+    plain = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    drawn = bootstrap_draws(df, keys, [value], draws, seed)
+    return interval(drawn, keys, F.col(f"total_{value}") / F.nullif("weight", F.lit(0.0)), plain)
+
+
+def bootstrap_difference(df: DataFrame, keys: list[str], this: str, other: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+    """(keys, n, difference, lo, hi): interval of the mean difference of pairs, drawn as pairs."""
+    pairs = df.select(*keys, (F.col(this) - F.col(other)).alias("difference"))
+    return bootstrap_mean(pairs, keys, "difference", draws, seed).withColumnRenamed("mean", "difference")
+
+
+def bootstrap_ratio(df: DataFrame, keys: list[str], this: str, other: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+    """(keys, n, ratio, lo, hi): interval of the ratio of two means, drawn as pairs; a draw whose
+    denominator is zero does not count."""
+    both = df.dropna(subset=[this, other])
+    ratio = F.avg(F.col(this).cast("double")) / F.nullif(F.avg(F.col(other).cast("double")), F.lit(0.0))
+    plain = both.groupBy(*keys).agg(F.count("*").alias("n"), ratio.alias("ratio"))
+    return interval(bootstrap_draws(both, keys, [this, other], draws, seed), keys, F.col(f"total_{this}") / F.nullif(f"total_{other}", F.lit(0.0)), plain)
 
 
 def verdict(change: Column, band: Column) -> Column:

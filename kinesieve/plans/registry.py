@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinesieve.plans import extras, geometry, matching, measures, sequences, solvers
+from kinesieve.plans import extras, frames, geometry, matching, measures, sequences, solvers
 
-MODULES = (sequences, matching, measures, geometry, solvers, extras)
+MODULES = (sequences, matching, measures, geometry, solvers, extras, frames)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
