@@ -53,3 +53,64 @@ def test_odd_texts(spark):
     empty = df.limit(0)
     assert langid.learn(empty) is None and langid.identify(empty, None).collect() == []
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
+
+
+def brute_probability(texts, alphabet, order=langid.ORDER):
+    """Interpolated Kneser-Ney with dictionaries, straight from its recursion."""
+    from collections import Counter, defaultdict
+
+    grams = Counter()
+    for t in texts:
+        padded = " " * (order - 1) + t
+        grams.update(padded[i : i + order] for i in range(len(t)))
+    levels = {}
+    for k in range(order, 0, -1):
+        levels[k] = grams
+        grams = Counter(g[1:] for g in grams)  # in how many contexts each shorter one was seen
+
+    def discount(k):
+        once, twice = (sum(1 for n in levels[k].values() if n == x) for x in (1, 2))
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    tables = {}
+    for k, counts in levels.items():
+        after = defaultdict(Counter)
+        for g, n in counts.items():
+            after[g[:-1]][g[-1]] += n
+        tables[k] = after
+
+    def probability(gram, k):
+        if not k:
+            return 1 / (alphabet + 1)
+        seen = tables[k].get(gram[:-1])
+        lower = probability(gram[1:], k - 1)
+        if not seen:
+            return lower
+        total = sum(seen.values())
+        return max(seen[gram[-1]] - discount(k), 0) / total + discount(k) * len(seen) / total * lower
+
+    return lambda gram: probability(gram, order)
+
+
+def test_entropy_against_brute_force():
+    """Texts of lower-case words, which are read as they are, with one space before and after."""
+    rng = np.random.default_rng(6)
+    letters = {"one": list("abcde"), "two": list("cdefg")}
+    make = lambda some, n: " ".join("".join(rng.choice(some, int(rng.integers(1, 7)))) for _ in range(n))
+    texts = {k: [make(v, 40) for _ in range(5)] for k, v in letters.items()}
+    counted = {}
+    for k, some in texts.items():
+        codes, text, _ = langid.characters(some)
+        counted[k] = np.unique(langid.keys_of(codes, text), return_counts=True)
+    model = langid.LanguageModel.build(counted)
+    tries = [make(list("abcdefgh"), int(n)) for n in rng.integers(1, 60, 25)]
+    entropy, n = model.entropies(tries)
+    alphabet = len(set("".join(sum(texts.values(), []))) | {" "})
+    read = lambda t: "".join(map(chr, langid.characters([t])[0].tolist()))
+    assert all(read(t).strip() == t for t in tries)
+    for x, language in enumerate(model.languages):
+        p = brute_probability([read(t) for t in texts[language]], alphabet)
+        for t, found, size in zip(tries, entropy[:, x], n):
+            t = read(t)
+            bits = [-np.log2(p((" " * 3 + t)[i : i + 4])) for i in range(len(t))]
+            assert size == len(t) and abs(np.mean(bits) - found) < 1e-3
