@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinesieve.operators import seq, solve
+from kinesieve.operators import metrics, seq, solve
 from kinesieve.plans.sequences import KEYS, ORDER, events, gappy
 
 GROUP = ["clip_id", "segment_id"]
@@ -66,5 +66,19 @@ def limit_steps(spark, sf_dir):
     return df.select("clip_id", "event_id", "limited")
 
 
+def jump_guard(spark, sf_dir):
+    """Centred values, whose unsupported jumps are faded out; k of 100 is a step's support."""
+    df = segmented(spark, sf_dir).withColumn("path", F.col("value") - 60)
+    out = solve.by_segment(df, GROUP, ORDER, ["path", "k"], "guarded", lambda x, k: solve.guarded_jumps(x, k / 100, 120.0))
+    return out.select("clip_id", "event_id", "guarded")
+
+
+def signal_metrics(spark, sf_dir):
+    """The metric row of every clip: steps from its values and k, at one row a second."""
+    df = segmented(spark, sf_dir).withColumns({"tx": (F.col("value") - 60) / 50, "ty": (F.col("k") - 50) / 50, "rot": F.col("value") / 1e5, "logs": F.col("k") / 1e5})
+    paths = metrics.filtered_paths(df, GROUP, ORDER, 1.0, cut=0.05, bands=((0.05, 0.2), (0.2, 0.45)))
+    return metrics.metric_row(paths, ["clip_id"], 1920, 1080, calm_speed=0.3)
+
+
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (highpass_rms, weighted_integrate, velocity_reconstruct, smooth_path, limit_steps)}
+QUERIES = {f.__name__: f for f in (highpass_rms, weighted_integrate, velocity_reconstruct, smooth_path, limit_steps, jump_guard, signal_metrics)}
