@@ -186,11 +186,12 @@ def lenient_parse(spark, sf_dir):
 def exclusive_pairs(spark, sf_dir):
     """Pairs of priorities that no customer's orders share."""
     df = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
-    # five priorities and three statuses: a fixed, small set of values
-    values = df.select("o_orderpriority").distinct()
-    left, right = values.select(F.col("o_orderpriority").alias("a")), values.select(F.col("o_orderpriority").alias("b"))
+    # all pairs of the distinct values, which must be few: one row holds them
+    values = df.agg(F.collect_set("o_orderpriority").alias("v"))
+    values = values.select(F.when(F.size("v") <= 1000, F.col("v")).otherwise(F.raise_error(F.lit("over 1,000 priorities"))).alias("v"))
+    both = values.select("v", F.explode("v").alias("a")).select("a", F.explode("v").alias("b")).filter("a < b")
     seen = df.alias("x").join(df.alias("y"), "o_custkey").filter("x.o_orderpriority < y.o_orderpriority").groupBy(F.col("x.o_orderpriority").alias("a"), F.col("y.o_orderpriority").alias("b")).agg(F.count("*").alias("n"))
-    return left.join(right, F.col("a") < F.col("b")).join(seen, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n_shared"))
+    return both.join(seen, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n_shared"))
 
 
 def stale_rows(spark, sf_dir):

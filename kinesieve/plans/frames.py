@@ -105,6 +105,17 @@ def frame_scalars(spark, sf_dir):
     )
 
 
+def robust_weights(spark, sf_dir):
+    """Weights of residuals and of distances in time, and a quaternion brought back to length one."""
+    df = frames(spark, sf_dir).withColumn("e", R.qexp(F.col("v")))
+    k = 1 + F.pmod("event_id", F.lit(9)) / 3
+    df = df.withColumn("q", R.let(R.quat(*(F.col(f"e.{c}") * k for c in "wxyz")), R.qnormalize))
+    return df.select(
+        "event_id",
+        *rounded(6, w=F.col("q.w"), x=F.col("q.x"), y=F.col("q.y"), z=F.col("q.z"), cauchy=R.cauchy_weight(F.col("value") - 50, 20.0), near=R.temporal_weight(F.pmod("event_id", F.lit(41)) - 20, 8.0)),
+    )
+
+
 V = f"""{S}, f AS (SELECT event_id, value, value / 500 AS vx, (event_id % 17) / 20.0 AS vy, (event_id % 29) / 40.0 AS vz FROM s WHERE value IS NOT NULL),
 a AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS t FROM f),
 q AS (SELECT *, cos(t / 2) AS w, CASE WHEN t > 0 THEN sin(t / 2) / t ELSE 0.5 END AS k FROM a),
@@ -147,6 +158,8 @@ g AS (SELECT *, CASE WHEN r > 1e-9 THEN d / r ELSE 1 END AS k, CASE WHEN r > 1e-
 SELECT p_partkey, round({LENS["fx"] / 2} * x * k + {(LENS["cx"] + 0.5) / 2 - 0.5}, 3) AS u, round({LENS["fy"] / 2} * y * k + {(LENS["cy"] + 0.5) / 2 - 0.5}, 3) AS v,
  round({LENS["fx"] / 2} * (q * cx * cx + k * cy * cy), 3) AS g0, round({LENS["fx"] / 2} * (q - k) * cx * cy, 3) + 0.0 AS g1, round({-LENS["fx"] / 2} * q * x, 3) + 0.0 AS g2,
  round({LENS["fy"] / 2} * (q - k) * cx * cy, 3) + 0.0 AS g3, round({LENS["fy"] / 2} * (q * cy * cy + k * cx * cx), 3) AS g4, round({-LENS["fy"] / 2} * q * y, 3) + 0.0 AS g5 FROM g""",
+    "robust_weights": f"""WITH {V} SELECT event_id, round(w, 6) AS w, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z,
+ round(1 / (1 + power((value - 50) / 20, 2)), 6) AS cauchy, round(1 / (1 + abs(event_id % 41 - 20) / 8.0::DOUBLE), 6) AS near FROM m""",
     "kernel_weights": """WITH f AS (SELECT p_partkey, (p_partkey % 97) / 97.0::DOUBLE AS f FROM part),
 w AS (SELECT p_partkey, 'bilinear' AS kernel, [1 - f, f] AS w FROM f UNION ALL
  SELECT p_partkey, 'catmullrom', [-0.5 * f ** 3 + f * f - 0.5 * f, 1.5 * f ** 3 - 2.5 * f * f + 1, -1.5 * f ** 3 + 2 * f * f + 0.5 * f, 0.5 * f ** 3 - 0.5 * f * f] FROM f UNION ALL

@@ -124,16 +124,18 @@ def consecutive_triples(spark, sf_dir):
 def knn_ratio_test(spark, sf_dir):
     """Label 0 against all other labels: nearest neighbours that beat the second by the ratio 0.95.
 
-    Queries are grouped with blocks of candidates, so a task holds one block of each side; the two
-    best of every block meet in one window per query.
+    Blocks of queries meet blocks of candidates, so a task holds one block of each side; the two best
+    of every block meet in one window per query.
     """
     import numpy as np
     import pandas as pd
 
     df = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select("vec_id", "label", "embedding")
-    n = max(1, -(-df.count() // 8192))
-    candidates = df.filter("label <> 0").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    queries_ = df.filter("label = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    n, asked = max(1, -(-df.count() // 8192)), max(1, -(-df.filter("label = 0").count() // 8192))
+    own = lambda many: F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    candidates = df.filter("label <> 0").withColumn("block", own(n)).withColumn("asked", every(asked))
+    queries_ = df.filter("label = 0").withColumn("asked", own(asked)).withColumn("block", every(n))
 
     def two_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -148,7 +150,7 @@ def knn_ratio_test(spark, sf_dir):
                 out.append(pd.DataFrame({"query_id": left["vec_id"].to_numpy()[i : i + 256], "vec_id": ids[best[:, r]], "d": np.take_along_axis(d, best[:, r : r + 1], 1).ravel()}))
         return pd.concat(out)
 
-    found = queries_.groupBy("block").cogroup(candidates.groupBy("block")).applyInPandas(two_best, "query_id long, vec_id long, d double")
+    found = queries_.groupBy("asked", "block").cogroup(candidates.groupBy("asked", "block")).applyInPandas(two_best, "query_id long, vec_id long, d double")
     w = W.partitionBy("query_id").orderBy("d", "vec_id")
     both = found.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("d").over(w)).filter("r = 1")
     return both.filter(F.col("d") < 0.95 * 0.95 * F.col("second")).select("query_id", "vec_id", F.round(F.sqrt("d"), 4).alias("distance"))
