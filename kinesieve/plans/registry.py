@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinesieve.plans import boards, extras, frames, geometry, matching, measures, sequences, solvers
+from kinesieve.plans import boards, extras, frames, geometry, matching, measures, reports, sequences, solvers
 
-MODULES = (sequences, matching, measures, geometry, solvers, extras, frames, boards)
+MODULES = (sequences, matching, measures, geometry, solvers, extras, frames, boards, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
