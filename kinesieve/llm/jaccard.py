@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinesieve.llm.components import components
-from kinesieve.llm.exchange import aligned, answer, bucket_count, cut, pack, pack_sorted, requests, text_bytes, unpack, unpack_sorted
+from kinesieve.llm.exchange import aligned, answer, bucket_count, pack, requests, text_bytes, unpack, unpack_sorted
 from kinesieve.llm.kernels import U64, blocks, chain_hashes, first_of_runs, mix, normalise, words_of
-from kinesieve.llm.storage import drop_part, drop_table, keep
+from kinesieve.llm.storage import drop_table, keep
 
 #: Fragments of the frequency order, each two powers of two wide.
 FRAGMENTS = 8
@@ -329,13 +329,17 @@ def allowed_pairs(compared: DataFrame, sets: DataFrame, num: int, den: int) -> D
     need = F.greatest(F.lit(1), F.ceil((F.col("h") + F.col("h_low")) / (2 * wide))).cast("int")
     marks = left.join(sorted_, ["a", "x"]).withColumn("q", F.col("q") - 2 * wide * F.col("lone")).withColumn("take", F.size("order") - need + 1)
     marks = marks.filter((F.col("take") > 0) & (F.col("h_low") <= F.col("q")))
-    marks = keep(marks.select("a", "x", "n", "joined", "h", "q", F.explode(F.slice("order", F.lit(1), F.col("take"))).alias("o")).select("a", F.col("o.shingle").alias("shingle"), "x", "n", "joined", "h", "q"), "marks")
+    # how much two members can still share from a place in their orders on
+    marks = marks.select("a", "x", "n", "joined", "h", "q", F.size("order").alias("m"), F.posexplode(F.slice("order", F.lit(1), F.col("take"))).alias("place", "o"))
+    marks = keep(marks.select("a", F.col("o.shingle").alias("shingle"), "x", "n", "joined", "h", "q", (F.col("m") - F.col("place")).alias("rest")), "marks")
     drop_table(differs)
-    one = marks.select("a", "shingle", F.col("x").alias("x_1"), F.col("n").alias("n_1"), F.col("joined").alias("j_1"), F.col("h").alias("h_1"), F.col("q").alias("q_1"))
-    two = marks.select("a", "shingle", F.col("x").alias("x_2"), F.col("n").alias("n_2"), F.col("joined").alias("j_2"), F.col("h").alias("h_2"), F.col("q").alias("q_2"))
+    one = marks.select("a", "shingle", F.col("x").alias("x_1"), F.col("n").alias("n_1"), F.col("joined").alias("j_1"), F.col("h").alias("h_1"), F.col("q").alias("q_1"), F.col("rest").alias("rest_1"))
+    two = marks.select("a", "shingle", F.col("x").alias("x_2"), F.col("n").alias("n_2"), F.col("joined").alias("j_2"), F.col("h").alias("h_2"), F.col("q").alias("q_2"), F.col("rest").alias("rest_2"))
     met = (F.col("x_1") < F.col("x_2")) & ~(F.col("j_1") & F.col("j_2")) & (F.col("h_1") <= F.col("q_2")) & (F.col("h_2") <= F.col("q_1"))
     near = (F.col("n_1") * den >= F.col("n_2") * num) & (F.col("n_2") * den >= F.col("n_1") * num)
-    found = one.join(two, ["a", "shingle"]).filter(met & near)
+    # at the first shingle in common, what is left must reach what the two have to share
+    enough = 2 * wide * F.least("rest_1", "rest_2") >= F.col("h_1") + F.col("h_2")
+    found = one.join(two, ["a", "shingle"]).filter(met & near & enough)
     return found.select(F.col("x_1").alias("a"), F.col("x_2").alias("b"), F.col("n_1").alias("n_a"), F.col("n_2").alias("n_b")).unionByName(certain)
 
 
