@@ -113,8 +113,7 @@ class Shard:
         self.sizes = np.zeros((DEEPEST, len(first)), np.int32)  # of the merged blocks, 0: under 2
 
     @classmethod
-    def parse(cls, texts: list[bytes], length: int) -> "Shard":
-        window = window_of(length)
+    def parse(cls, texts: list[bytes], window: int) -> "Shard":
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
         firsts, lows, symbols = [], [], []
@@ -181,6 +180,16 @@ class Shard:
         out.sizes[:depth] = rest[2 * n :].reshape(depth, n)
         return out
 
+    def common_bytes(self) -> np.ndarray:
+        """Of each text, the bytes of its longest run of whole phrases that another suffix starts with:
+        the longest common prefix of its suffixes, by phrases, of DEEPEST at most."""
+        shared = (self.sizes >= 2).sum(0)
+        last = np.arange(len(self.first)) + np.maximum(shared, 1) - 1
+        size = np.where(shared > 0, self.last[last] - self.first, 0) if len(last) else np.zeros(0, np.int64)
+        out = np.zeros(len(self.ends), np.int64)
+        np.maximum.at(out, self.doc, size)
+        return out
+
     def outcomes(self, length: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For blocks of texts with repeated phrases, parsed with `window`: starts of windows that are settled as
         repeated, and of windows to compare by hash."""
@@ -255,21 +264,25 @@ def answers(pdf: pd.DataFrame, one: np.ndarray, two: np.ndarray, n_buckets: int)
     return names[which], sizes[which]
 
 
-def merged_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of the interleave: equal pairs of all chunks are a block, named by where it starts."""
+def merged_blocks(pdf: pd.DataFrame, named: bool) -> pd.DataFrame:
+    """One bucket of the interleave: equal pairs of all chunks are a block, named by where it starts.
+    Without names, all that is told is whether a pair is the only one."""
     ones = np.concatenate([unpack_sorted(x) for x in pdf["keys"]])
     rest = [unpack(x, np.int64).reshape(2, -1) for x in pdf["vals"]]
     twos, counts = np.concatenate(rest, axis=1)
     _, _, which, _ = distinct_pairs(ones, twos.view(U64))
     sizes = np.bincount(which, weights=counts).astype(np.int64)
-    names = (int(pdf["bucket"].iloc[0]) << RANK_BITS) + np.cumsum(sizes) - sizes
+    if named:
+        names = (int(pdf["bucket"].iloc[0]) << RANK_BITS) + np.cumsum(sizes) - sizes
+    else:
+        names, sizes = np.zeros(len(sizes), np.int64), np.minimum(sizes, 2)
     both = np.split(np.stack((names[which], sizes[which])), np.cumsum(pdf["n"].to_numpy())[:-1], axis=1)
     out = pdf[["chunk", "bucket"]].copy()
     out["n"], out["keys"], out["vals"], out["reply"] = 0, None, None, [pack(x) for x in both]
     return out
 
 
-def shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int) -> DataFrame:
+def shards(docs: DataFrame, window: int, n_buckets: int, chunk_bytes: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, ordinal = TaskContext.get().partitionId(), 0
         texts: list[bytes] = []
@@ -278,7 +291,7 @@ def shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int) -> Da
 
         def close() -> pd.DataFrame:
             chunk = (pid << 24) + ordinal
-            shard = Shard.parse(texts, length)
+            shard = Shard.parse(texts, window)
             missing = np.array([x is None for x in ids])
             numbers = np.array([0 if x is None else x for x in ids], np.int64)
             blob = pack(np.frombuffer(b"".join(texts), np.uint8), 6)  # stored and shuffled twice
@@ -300,8 +313,8 @@ def shards(docs: DataFrame, length: int, n_buckets: int, chunk_bytes: int) -> Da
     return with_ids(docs).mapInPandas(run, ROWS)
 
 
-def replied(asked: DataFrame) -> DataFrame:
-    return asked.filter("bucket >= 0").select(*NAMES).groupBy("bucket").applyInPandas(merged_blocks, ROWS)
+def replied(asked: DataFrame, named: bool) -> DataFrame:
+    return asked.filter("bucket >= 0").select(*NAMES).groupBy("bucket").applyInPandas(lambda pdf: merged_blocks(pdf, named), ROWS)
 
 
 def merge_pass(now: DataFrame, length: int, n_buckets: int) -> DataFrame:
@@ -320,11 +333,12 @@ def merge_pass(now: DataFrame, length: int, n_buckets: int) -> DataFrame:
         return pd.DataFrame([(chunk, STATE, 0, shard.state(), None, None), *rows], columns=NAMES)
 
     state = now.filter(F.col("bucket") == STATE).select(*NAMES)
-    return state.unionByName(replied(now)).groupBy("chunk").applyInPandas(run, ROWS)
+    return state.unionByName(replied(now, True)).groupBy("chunk").applyInPandas(run, ROWS)
 
 
 def hashes_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Both hashes of the windows at sorted starts, with sums over a bounded stretch at a time."""
+    """Both hashes of the windows at sorted starts (of the second 32 bits, as there are many windows),
+    with sums over a bounded stretch at a time."""
     out, i = [np.zeros((2, 0), U64)], 0
     while i < len(starts):
         base = starts[i]
@@ -333,71 +347,62 @@ def hashes_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         stretch = data[base : part[-1] + length]
         out.append(np.stack([fixed_hashes(prefix_sums(stretch, k), part - base, length) for k in (0, 1)]))
         i = j
-    return np.concatenate(out, axis=1)
+    both = np.concatenate(out, axis=1)
+    both[1] >>= U64(32)
+    return both
 
 
-def compare_windows(now: DataFrame, texts: DataFrame, lengths: list[int], n_buckets: int) -> DataFrame:
-    """Per shard: what is settled, the windows of each length to compare, and the requests for them."""
+def compare_windows(now: DataFrame, texts: DataFrame, length: int, window: int, n_buckets: int) -> DataFrame:
+    """Per shard: each text's longest common run, what is settled, the windows to compare, and the
+    requests for them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(pdf["chunk"].iloc[0])
         shard = Shard.from_state(pdf.loc[pdf["bucket"] == STATE, "keys"].iloc[0])
         data = unpack(pdf.loc[pdf["bucket"] == TEXTS, "vals"].iloc[0], np.uint8)
-        fields, hashes = [np.array([len(shard.ends)]), shard.ends], []
-        for length in lengths:
-            settled, open_ = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-            for sure, compare in shard.outcomes(length, window_of(min(lengths))):
-                if len(sure):
-                    at = np.flatnonzero(np.concatenate(([True], np.diff(sure) > 1)))
-                    settled.append(np.stack((sure[at], sure[np.append(at[1:], len(sure)) - 1] + length), 1))
-                open_.append(compare)
-            spans, starts = np.concatenate(settled), np.concatenate(open_)
-            fields += [np.array([len(spans), len(starts)]), spans.ravel(), np.diff(starts, prepend=0)]
-            hashes.append(hashes_at(data, starts, length))
-        one, two = np.concatenate(hashes, axis=1)
-        rows = asked_rows(chunk, one, two, by_range, n_buckets) if len(one) else []
-        rows.append((chunk, STATE, 0, pack(np.concatenate(fields).astype(np.int64)), None, None))
+        settled, open_ = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+        for sure, compare in shard.outcomes(length, window):
+            if len(sure):
+                at = np.flatnonzero(np.concatenate(([True], np.diff(sure) > 1)))
+                settled.append(np.stack((sure[at], sure[np.append(at[1:], len(sure)) - 1] + length), 1))
+            open_.append(compare)
+        spans, starts = np.concatenate(settled), np.concatenate(open_)
+        rows = asked_rows(chunk, *hashes_at(data, starts, length), by_range, n_buckets) if len(starts) else []
+        state = np.concatenate(([len(shard.ends), len(spans), len(starts)], shard.ends, shard.common_bytes(), spans.ravel(), np.diff(starts, prepend=0)))
+        rows.append((chunk, STATE, 0, pack(state.astype(np.int64)), None, None))
         return pd.DataFrame(rows, columns=NAMES)
 
     state = now.filter(F.col("bucket") == STATE).select(*NAMES)
     return state.unionByName(texts).groupBy("chunk").applyInPandas(run, ROWS)
 
 
-def repeated_runs(pdf: pd.DataFrame, lengths: list[int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The bytes of a shard, its texts' ends, and for each length starts and ends of the runs of bytes
-    that repeated strings cover, in order."""
+def repeated_runs(pdf: pd.DataFrame, length: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a shard, its texts' ends and longest common runs, and starts and ends of the runs
+    of bytes that repeated strings cover, in order."""
     raw = unpack(pdf.loc[pdf["bucket"] == STATE, "keys"].iloc[0], np.int64)
     data = unpack(pdf.loc[pdf["bucket"] == TEXTS, "vals"].iloc[0], np.uint8)
-    ends, rest = raw[1 : 1 + raw[0]], raw[1 + raw[0] :]
-    marks, hashes = [], []
-    for length in lengths:
-        spans, steps, rest = np.split(rest[2:], np.cumsum([2 * rest[0], rest[1]]))
-        marks.append((spans.reshape(-1, 2), np.cumsum(steps)))
-        hashes.append(hashes_at(data, marks[-1][1], length))
-    one, two = np.concatenate(hashes, axis=1)
-    sizes = answers(pdf, one, two, n_buckets)[1] if len(one) else np.zeros(0, np.int64)
-    out = []
-    for length, (spans, starts) in zip(lengths, marks):
-        own, sizes = sizes[: len(starts)], sizes[len(starts) :]
-        starts = starts[own >= 2]
-        spans = np.concatenate((spans, np.stack((starts, starts + length), 1)))
-        spans = spans[np.argsort(spans[:, 0], kind="stable")]
-        doc = np.searchsorted(ends, spans[:, 0], side="right")
-        reach = np.maximum.accumulate(spans[:, 1]) if len(spans) else np.zeros(0, np.int64)
-        new = np.ones(len(spans), bool)
-        new[1:] = (spans[1:, 0] > reach[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        out.append((spans[at, 0], reach[np.append(at[1:], len(spans)) - 1] if len(at) else reach))
-    return data, ends, out
-
-
-def merged_shards(docs: DataFrame, lengths: list[int], n_buckets: int, chunk_bytes: int, passes: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
+    n_docs, n_spans, n_starts = raw[:3].tolist()
+    ends, common, spans, steps = np.split(raw[3:], np.cumsum([n_docs, n_docs, 2 * n_spans]))
+    starts = np.cumsum(steps)
+    if len(starts):
+        starts = starts[answers(pdf, *hashes_at(data, starts, length), n_buckets)[1] >= 2]
+    spans = np.concatenate((spans.reshape(-1, 2), np.stack((starts, starts + length), 1)))
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    doc = np.searchsorted(ends, spans[:, 0], side="right")
+    reach = np.maximum.accumulate(spans[:, 1]) if len(spans) else np.zeros(0, np.int64)
+    new = np.ones(len(spans), bool)
+    new[1:] = (spans[1:, 0] > reach[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return data, ends, common, spans[at, 0], reach[np.append(at[1:], len(spans)) - 1] if len(at) else reach
+
+
+def merged_shards(docs: DataFrame, length: int, window: int, n_buckets: int, chunk_bytes: int, passes: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
     """The shards' texts, and their states after the merge."""
-    parsed = keep(shards(docs, min(lengths), n_buckets, chunk_bytes), "shards")
+    parsed = keep(shards(docs, window, n_buckets, chunk_bytes), "shards")
     now = parsed
     for _ in range(passes):
         before = now
-        now = keep(merge_pass(before, max(lengths), n_buckets), "merge")
+        now = keep(merge_pass(before, length, n_buckets), "merge")
         if before is not parsed:
             drop_table(before)
         if now.filter("bucket >= 0").isEmpty():
@@ -405,16 +410,14 @@ def merged_shards(docs: DataFrame, lengths: list[int], n_buckets: int, chunk_byt
     return parsed, now
 
 
-def by_document(compared: DataFrame, texts: DataFrame, n_buckets: int, lengths: list[int], with_text: bool) -> DataFrame:
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_run long" + ", has_passage boolean" * (len(lengths) > 1) + ", kept binary" * with_text
+def by_document(compared: DataFrame, texts: DataFrame, n_buckets: int, length: int, passage: int, with_text: bool) -> DataFrame:
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_run long, common_bytes long, has_passage boolean" + ", kept binary" * with_text
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, ends, runs = repeated_runs(pdf, lengths, n_buckets)
-        lo, hi = runs[0]
+        data, ends, common, lo, hi = repeated_runs(pdf, length, n_buckets)
         numbers, missing = unpack(pdf.loc[pdf["bucket"] == TEXTS, "keys"].iloc[0], np.int64).reshape(2, -1)
         begins = np.concatenate(([0], ends[:-1]))
         first, last = np.searchsorted(lo, begins), np.searchsorted(lo, ends)
-        passage = [np.searchsorted(x, ends) > np.searchsorted(x, begins) for x, _ in runs[1:]]
         whole = data.tobytes()
         rows = []
         for d, (begin, end, i, j) in enumerate(zip(begins.tolist(), ends.tolist(), first.tolist(), last.tolist())):
@@ -425,23 +428,24 @@ def by_document(compared: DataFrame, texts: DataFrame, n_buckets: int, lengths:
             kept.append(whole[at:end])
             rest = b"".join(kept)
             row = (None if missing[d] else int(numbers[d]), end - begin, end - begin - len(rest), j - i, hashlib.sha256(rest).hexdigest(), int((hi[i:j] - lo[i:j]).max(initial=0)))
-            rows.append((*row, *(bool(x[d]) for x in passage), *([rest] if with_text else [])))
+            rows.append((*row, int(common[d]), bool(j > i or common[d] >= passage), *([rest] if with_text else [])))
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
         return out.assign(doc_id=pd.array([x[0] for x in rows], "Int64"))
 
     state = compared.filter(F.col("bucket") == STATE).select(*NAMES)
-    return state.unionByName(texts).unionByName(replied(compared)).groupBy("chunk").applyInPandas(run, schema)
+    return state.unionByName(texts).unionByName(replied(compared, False)).groupBy("chunk").applyInPandas(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = None, with_text: bool = False, chunk_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 125, with_text: bool = False, chunk_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_run (bytes of
-    the longest removed run) and, if asked for, has_passage (whether a string of `passage` bytes, fewer
-    than `length`, occurs elsewhere too) and the kept bytes. A byte goes if a string of `length` bytes
-    that covers it also starts elsewhere."""
-    lengths = [length] if passage is None else [length, passage]
+    the longest removed run), common_bytes (bytes of the longest run of whole phrases that occurs
+    elsewhere), has_passage (whether that is `passage` or more, or anything was removed) and, if asked
+    for, the kept bytes. A byte goes if a string of `length` bytes that covers it also starts elsewhere."""
     n_buckets = bucket_count(text_bytes(docs))
-    parsed, now = merged_shards(docs, lengths, n_buckets, chunk_bytes)
+    # phrases so short that a string of twice the passage has some whole ones
+    window = min(window_of(length), window_of(2 * passage))
+    parsed, now = merged_shards(docs, length, window, n_buckets, chunk_bytes)
     texts = parsed.filter(F.col("bucket") == TEXTS).select(*NAMES)
-    compared = keep(compare_windows(now, texts, lengths, n_buckets), "windows")
+    compared = keep(compare_windows(now, texts, length, window, n_buckets), "windows")
     drop_table(now)
-    return by_document(compared, texts, n_buckets, lengths, with_text)
+    return by_document(compared, texts, n_buckets, length, passage, with_text)
