@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesieve.llm import bwt, jaccard, langid, linededup, packing, ppm, quality, tiling, topk, warc
+from kinesieve.llm import bpe, bwt, jaccard, langid, linededup, merkle, packing, ppm, quality, tiling, topk, turns, warc
 from kinesieve.llm.storage import small_batches
 
 
@@ -74,6 +74,20 @@ def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def _sql_decoded(text: str) -> str:
     names = " ".join(f"WHEN {k!r} THEN chr({ord(v)})" for k, v in warc.ENTITIES.items())
     number = r"coalesce(TRY_CAST(regexp_extract(p, '^#([0-9]{1,7});', 1) AS INTEGER), TRY_CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6});', 1) AS INTEGER))"
