@@ -209,10 +209,119 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
 FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON s.doc_id = r.node
 """
 
+def _sql_crc32(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit: -1 stands for a shift, other numbers are bytes."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda b: [CAST(ord(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    bits = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda c, x: {bits}), 4294967295)"
+
+
+WHITE = r"\x20\x09-\x0D"
+OP11_SQL = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_sql_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), copy) AS pos FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^{WHITE}]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         regexp_extract(text, '([^{WHITE}])[{WHITE}]*$', 1) NOT IN ('.', '!', '?') AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM judged GROUP BY conv_id),
+follows(state, role, after) AS (VALUES (0, 'system', 1), (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+one AS (SELECT * FROM follows WHERE role <> 'system'),
+inserts AS (
+  SELECT state, state AS after, '' AS audit, 0 AS cost, CAST([] AS VARCHAR[]) AS lines FROM (VALUES (0), (1), (2), (3)) AS x(state)
+  UNION ALL SELECT state, after, 'I', 5, [role || ':'] FROM one
+  UNION ALL SELECT a.state, b.after, 'II', 10, [a.role || ':', b.role || ':'] FROM one a JOIN one b ON b.state = a.after),
+edits(edit, role) AS (VALUES ('D', ''), ('K', ''), ('R', 'user'), ('R', 'assistant')),
+repairs AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])}} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, state, min(best) FROM (
+    SELECT r.conv_id, j.pos, CASE WHEN e.edit = 'D' THEN i.after ELSE f.after END AS state,
+           {{'cost': r.best.cost + i.cost + CASE e.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e.edit <> 'D' AND j.cut THEN 5 ELSE 0 END,
+            'audit': r.best.audit || i.audit || e.edit,
+            'lines': list_concat(r.best.lines, i.lines, CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [j.role || ':' || j.text] ELSE [e.role || ':' || j.text] END)}} AS best
+    FROM repairs r JOIN judged j ON j.conv_id IS NOT DISTINCT FROM r.conv_id AND j.pos = r.pos + 1
+    JOIN inserts i ON i.state = r.state CROSS JOIN edits e
+    LEFT JOIN follows f ON f.state = i.after AND (e.edit = 'K' AND left(f.role, 1) = j.initial OR e.edit = 'R' AND f.role = e.role)
+    WHERE e.edit = 'D' OR (f.after IS NOT NULL AND NOT j.blank AND NOT j.again)) GROUP BY conv_id, pos, state),
+ended AS (
+  SELECT r.conv_id, min({{'cost': r.best.cost + i.cost, 'audit': r.best.audit || i.audit, 'lines': list_concat(r.best.lines, i.lines)}}) AS best
+  FROM repairs r JOIN inserts i ON i.state = r.state AND i.after IN (0, 3)
+  WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.pos = r.pos + 1) GROUP BY r.conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.best.cost AS cost, e.best.audit AS audit,
+       sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM ended e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def _sql_leaf(text: str) -> str:
+    fields = [f"CAST({x} AS VARCHAR)" for x in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}) || ':' || {x} END" for x in fields) + ")"
+
+
+def _sql_tree(leaves: str, levels: str) -> str:
+    """The nodes above leaves(tree, idx, n, hash), a fanout of three."""
+    return f"""{levels} AS (
+  SELECT tree, 0 AS level, idx, n, hash FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM {levels} WHERE n > 1 GROUP BY tree, level, idx // 3, n)"""
+
+
+def _sql_siblings(leaves: str, levels: str, shift: int) -> str:
+    own = "a.idx // CAST(power(3, l.level) AS BIGINT)"
+    return f"""SELECT a.tree, a.idx, l.level + {shift} AS level, coalesce(string_agg(l.hash, '' ORDER BY l.idx) FILTER (l.idx < {own}), '') AS before,
+         coalesce(string_agg(l.hash, '' ORDER BY l.idx) FILTER (l.idx > {own}), '') AS behind
+  FROM {leaves} a JOIN {levels} l ON a.tree = l.tree AND l.n > 1 AND l.idx // 3 = a.idx // CAST(power(3, l.level + 1) AS BIGINT) GROUP BY a.tree, a.idx, l.level"""
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('+' || source, '') AS tree, {_sql_leaf("text")} AS hash,
+         CASE WHEN {_sql_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE {_sql_leaf("text")} END AS claimed
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_sql_tree("placed", "low")},
+subroots AS (
+  SELECT '' AS tree, tree AS name, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+{_sql_tree("subroots", "high")},
+inner_ AS ({_sql_siblings("placed", "low", 0)}),
+outer_ AS ({_sql_siblings("subroots", "high", 1000)}),
+paths AS (
+  SELECT tree, idx, level, before, behind FROM inner_
+  UNION ALL
+  SELECT p.tree, p.idx, o.level, o.before, o.behind FROM placed p JOIN subroots s ON s.name = p.tree JOIN outer_ o ON o.idx = s.idx),
+proofs AS (
+  SELECT tree, idx, sha256(string_agg(before || behind, '' ORDER BY level)) AS proof, list(before || '|' || behind ORDER BY level) AS steps FROM paths GROUP BY tree, idx),
+folded AS (
+  SELECT p.doc_id, p.hash AS leaf, s.hash AS subroot, (SELECT hash FROM high WHERE n = 1) AS root, coalesce(f.proof, sha256('')) AS proof_sha256,
+         list_reduce(list_concat([p.claimed], coalesce(f.steps, [])), lambda c, x: sha256(split_part(x, '|', 1) || c || split_part(x, '|', 2))) AS folded_root
+  FROM placed p JOIN subroots s ON s.name = p.tree LEFT JOIN proofs f ON f.tree = p.tree AND f.idx = p.idx)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": OP1_SQL, "op3_ball_tree_topk": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL}
+    return {
+        "op1_warc_derivatives": OP1_SQL, "op3_ball_tree_topk": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL,
+        "op11_turn_repair": OP11_SQL, "op12_merkle_manifest": OP12_SQL,
+    }
