@@ -45,11 +45,11 @@ def sums(rows: DataFrame, keys: list[str], model: Model, values: list[Column], u
     Rows with a residual that is null or not finite take no part.
     """
     k = len(unknowns)
-    at = model(values)
-    moved = [model([v + (u.step if i == j else 0.0) for j, v in enumerate(values)]) for i, u in enumerate(unknowns)]
-    base = F.array(*at).alias("r")
-    slopes = F.array(*[F.array(*[(m - r) / u.step for m, r in zip(other, at)]) for other, u in zip(moved, unknowns)]).alias("j")
-    found = rows.select(*keys, base, slopes)
+    moved = [F.array(*model([v + (u.step if i == j else 0.0) for j, v in enumerate(values)])) for i, u in enumerate(unknowns)]
+    found = rows.select(*keys, F.array(*model(values)).alias("r"), F.array(*moved).alias("moved"))
+    step = F.array(*[F.lit(float(u.step)) for u in unknowns])
+    slopes = F.zip_with("moved", step, lambda m, h: F.zip_with(m, F.col("r"), lambda x, y: (x - y) / h))
+    found = found.select(*keys, "r", slopes.alias("j"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300)
     found = found.filter(F.forall("r", fine) & F.forall("j", lambda x: F.forall(x, fine)))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -89,7 +89,8 @@ def fit_groups(rows: DataFrame, keys: list[str], model: Model, unknowns: list[Un
     """(keys, best, cost, n, a, g, move): each group's unknowns; a and g are the equations there, move
     the last step tried. starts: (keys, x) in place of the unknowns' own starts.
 
-    Groups without usable rows keep their start with n = 0; keys must not be null.
+    Groups without usable rows keep their start with n = 0. Keys must not be null, nor have the names
+    of the result's or the sums' columns.
     """
     k = len(unknowns)
     kinds = ", ".join(f"{c_} {rows.schema[c_].dataType.simpleString()}" for c_ in keys)
@@ -104,8 +105,8 @@ def fit_groups(rows: DataFrame, keys: list[str], model: Model, unknowns: list[Un
             yield pdf[keys].assign(**{name: [o[name] for o in out] for name in ("x", "best", "cost", "a", "g", "n", "damping", "move")})
 
     for _ in range(rounds):
-        values = [F.col("x")[i] for i in range(k)]
-        here = sums(rows.join(state.select(*keys, "x"), keys), keys, model, values, unknowns, c)
+        values = [F.col("__x")[i] for i in range(k)]
+        here = sums(rows.join(state.select(*keys, F.col("x").alias("__x")), keys), keys, model, values, unknowns, c)
         here = here.select(*keys, F.col("n").alias("new_n"), "loss", F.col("a").alias("new_a"), F.col("g").alias("new_g"))
         state = settled(state.join(here, keys, "left").mapInPandas(step, f"{kinds}, {STATE}"), "fit")
     return state.drop("x", "damping")
@@ -137,14 +138,15 @@ def fit_shared(
 ) -> tuple[np.ndarray, DataFrame]:
     """The shared unknowns, and (keys, own, n) of every group. model(shared, own) gives the residuals.
 
-    Own unknowns without data in a group stay at their start or prior. Keys must not be null.
+    A group without usable rows keeps its start, with n = 0. Keys must not be null, nor have the names
+    of the result's or the sums' columns.
     """
     k, m = len(shared), len(own)
     every = shared + own
     kinds = ", ".join(f"{c_} {rows.schema[c_].dataType.simpleString()}" for c_ in keys)
     best = np.array([u.start for u in shared])
     trial, cost, damping = best, np.inf, 1e-3
-    state = rows.select(*keys).distinct().withColumn("own", F.array(*[F.lit(float(u.start)) for u in own]))
+    state = begun = rows.select(*keys).distinct().withColumn("own", F.array(*[F.lit(float(u.start)) for u in own]))
     kept = system = None
 
     def reduced(damping: float) -> Callable:
@@ -168,9 +170,9 @@ def fit_shared(
         return run
 
     for _ in range(rounds):
-        values = lambda: ([F.lit(float(x)) for x in trial], [F.col("own")[i] for i in range(m)])
+        values = lambda: ([F.lit(float(x)) for x in trial], [F.col("__own")[i] for i in range(m)])
         at, mine = values()
-        here = sums(rows.join(state, keys), keys, lambda v: model(v[:k], v[k:]), at + mine, every, c)
+        here = sums(rows.join(state.withColumnRenamed("own", "__own"), keys), keys, lambda v: model(v[:k], v[k:]), at + mine, every, c)
         here = settled(state.join(here, keys), "fit-groups")
         parts = here.mapInPandas(reduced(damping), REDUCED)
         total = parts.agg(*[F.sum(F.col("a")[i]) for i in range(k * k)], *[F.sum(F.col("g")[i]) for i in range(k)], F.sum("loss"), F.sum("n")).first()
@@ -189,8 +191,9 @@ def fit_shared(
         trial = clipped(best + damped_step(*system, damping), shared)
         state = settled(kept.mapInPandas(following(trial - best, damping), f"{kinds}, own array<double>"), "fit-own")
     if kept is None:
-        return best, state.withColumn("n", F.lit(0).cast("long"))
-    return best, kept.select(*keys, "own", "n")
+        return best, begun.withColumn("n", F.lit(0).cast("long"))
+    found = kept.select(*keys, F.col("own").alias("__found"), "n")
+    return best, begun.join(found, keys, "left").select(*keys, F.coalesce("__found", "own").alias("own"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def split(r: dict, k: int, own: list[Unknown], damping: float) -> tuple:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinesieve.functions.rotation import let
 from kinesieve.operators.fits import Unknown, damped_step, fit_groups, matrix, sums
 from kinesieve.sources.rounds import settled
 
@@ -53,11 +54,15 @@ def with_samples(observations: DataFrame, samples: DataFrame, keys: list[str], r
 
 def read_at(near: Column, t: Column) -> Column:
     """The samples' value at a time, linear between them and held at the ends."""
-    i = F.size(F.filter(near, lambda s: s.t <= t))
-    a = F.element_at(near, F.greatest(i, F.lit(1)))
-    b = F.element_at(near, F.least(i + 1, F.size(near)))
-    share = F.when(b.t > a.t, F.least(F.greatest((t - a.t) / F.nullif(b.t - a.t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return F.when(F.size(near) > 0, a.v + share * (b.v - a.v))
+    last = F.size(near)
+
+    def between(i: Column) -> Column:
+        return let(F.element_at(near, F.greatest(i, F.lit(1))), lambda a: let(F.element_at(near, F.least(i + 1, last)), lambda b: mixed(a, b)))
+
+    def mixed(a: Column, b: Column) -> Column:
+        return a.v + F.least(F.greatest(F.coalesce((t - a.t) / F.nullif(b.t - a.t, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * (b.v - a.v)
+
+    return F.when(last > 0, let(F.size(F.filter(near, lambda s: s.t <= t)), between))
 
 
 def steps(observations: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +76,8 @@ def model(values: list[Column]) -> list[Column]:
     offset, readout, gain, slope = values
     place = lambda o: o.t + offset + readout * o.row + slope * o.exposure
     now, was = F.col("now"), F.col("was")
-    return [now.y - was.y - (1 + gain) * (read_at(now.near, place(now)) - read_at(was.near, place(was)))]
+    read = lambda o: let(place(o), lambda t: read_at(o.near, t))
+    return [now.y - was.y - (1 + gain) * (read(now) - read(was))]
 
 
 def sweep(rows: DataFrame, keys: list[str], centre: Column, span: float, points: int, loss: float) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinesieve.plans import boards, extras, frames, geometry, matching, measures, paths, reports, sequences, solvers
+from kinesieve.plans import boards, calibration, extras, frames, geometry, matching, measures, paths, reports, sequences, solvers
 
-MODULES = (sequences, matching, measures, geometry, solvers, extras, frames, boards, reports, paths)
+MODULES = (sequences, matching, measures, geometry, solvers, extras, frames, boards, reports, paths, calibration)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
