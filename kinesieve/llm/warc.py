@@ -27,12 +27,14 @@ import codecs
 import gzip
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinesieve.functions.rotation import let
+
 #: Elements without visible text, elements that break lines, and named entities.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
 BREAKING = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
@@ -75,20 +77,46 @@ def tidy(text: Column) -> Column:
     return F.btrim(text, F.lit(" \n"))
 
 
+#: Bytes from which a page is looked at for closers first.
+LONG = 1 << 14
+
+
+def up_to_last(text: Column, closer: str, change: Callable[[Column], Column]) -> Column:
+    """change(text), which only matches what `closer` (a pattern) ends. In a long text it sees what comes
+    before the last closer alone: behind it every opener would be tried up to the end in vain."""
+    head = F.regexp_extract(text, rf"(?is)^.*{closer}", 0)
+    cut = let(head, lambda h: F.concat(change(h), F.substr(text, F.length(h) + 1)))
+    return F.when(F.octet_length(text) < LONG, change(text)).otherwise(cut)
+
+
+def seen_up_to_last(text: Column, closer: str, look: Callable[[Column], Column]) -> Column:
+    """look(text) likewise, where what follows the last closer does not count."""
+    return F.when(F.octet_length(text) < LONG, look(text)).otherwise(let(F.regexp_extract(text, rf"(?is)^.*{closer}", 0), look))
+
+
+def without_hidden(text: Column, names: list[str]) -> Column:
+    pattern = rf"(?is)<({'|'.join(names)})(?:\s[^>]*)?>.*?</\1\s*>"
+    return up_to_last(text, rf"</(?:{'|'.join(names)})\s*>", lambda x: F.regexp_replace(x, pattern, " "))
+
+
+def without_tags(text: Column) -> Column:
+    """Tags that break lines go first, and with them the end that others before may have had."""
+    broken = up_to_last(text, ">", lambda x: F.regexp_replace(x, rf"(?i)</?(?:{BREAKING})(?:[\s/]{INSIDE}|>)", "\n"))
+    return let(broken, lambda x: up_to_last(x, ">", lambda y: F.regexp_replace(y, rf"</?[a-zA-Z!?]{INSIDE}", "")))
+
+
 def visible_text(html: Column) -> Column:
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    text = up_to_last(html, "-->", lambda x: F.regexp_replace(x, r"(?s)<!--.*?-->", " "))
     # in one pass; the head last, as scripts in it may quote its end
     *plain, last = HIDDEN
-    text = F.regexp_replace(text, rf"(?is)<({'|'.join(plain)})(?:\s[^>]*)?>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, rf"(?is)<{last}(?:\s[^>]*)?>.*?</{last}\s*>", " ")
-    text = F.regexp_replace(text, r"[\r\n]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})(?:[\s/]{INSIDE}|>)", "\n")
-    text = F.regexp_replace(text, rf"</?[a-zA-Z!?]{INSIDE}", "")
+    text = let(text, lambda x: let(without_hidden(x, plain), lambda y: without_hidden(y, [last])))
+    text = let(F.regexp_replace(text, r"[\r\n]+", " "), without_tags)
     return tidy(decoded(text))
 
 
 def title_of(html: Column) -> Column:
-    return tidy(decoded(F.regexp_replace(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1), r"[\r\n]+", " ")))
+    inside = seen_up_to_last(html, "</title", lambda x: F.regexp_extract(x, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1))
+    return tidy(decoded(F.regexp_replace(inside, r"[\r\n]+", " ")))
 
 
 def uuid_of(text: Column) -> Column:
@@ -128,7 +156,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     body = F.coalesce(F.col("source_body"), F.col("payload").cast("binary")) if "source_body" in base.columns else F.col("payload")
     declared = F.col("source_payload_digest") if "source_payload_digest" in base.columns else None
     base = base.withColumn("source_digest", digest(body) if declared is None else F.coalesce(declared, digest(body))).withColumn("text", visible_text(F.col("payload")))
-    found = F.regexp_extract("payload", r"""(?is)<html\s[^>]*?lang\s*=\s*["']?([a-zA-Z-]+)""", 1)
+    found = seen_up_to_last(F.col("payload"), r"""lang\s*=\s*["']?[a-zA-Z-]+""", lambda x: F.regexp_extract(x, r"""(?is)<html\s[^>]*?lang\s*=\s*["']?([a-zA-Z-]+)""", 1))
     title = title_of(F.col("payload"))
     fields = F.concat(
         line("source-payload-digest", F.col("source_digest")),
@@ -138,7 +166,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.array_join(F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), "\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("source-header: "), F.btrim(x), F.lit(CRLF))), ""),
         line("title", F.when(title != "", title)),
         line("html-lang", F.when(found != "", found)),
-        line("outlinks", F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href"))),
+        line("outlinks", seen_up_to_last(F.col("payload"), "href", lambda x: F.regexp_count(x, F.lit(r"(?i)<a\s[^>]*href")))),
     )
     record = lambda kind, mime, block: F.struct(F.lit(kind).alias("type"), F.lit(mime).alias("content_type"), block.alias("block"))
     both = base.select("*", F.explode(F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("text")))).alias("r"))

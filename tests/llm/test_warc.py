@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -115,3 +116,26 @@ def test_many_members(tmp_path):
     assert len(got) == 20_000 and all(x == ({"warc-type": "response", "content-length": "5"}, b"hello") for x in got)
     assert len(list(warc.parse_members(one * 20_000 + b"\r\n" + one))) == 20_001
     assert list(warc.parse_members(b"")) == [] and time.time() - begin < 60
+
+
+def test_unclosed_openers_take_linear_time(spark):
+    """A megabyte of openers that nothing closes, and each text's own ending kept."""
+    rows = [(i, opener * (1_000_000 // len(opener)) + "<p>end</p>" * (i % 2)) for i, opener in enumerate(["<!-- ", "<script> ", "<style ", "<b ", "<title>", "<a ", "<html ", "<svg>x"])]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
+    begin = time.time()
+    out = warc.derive(warc.responses_of(df), keep=("page_id",)).filter("type = 'conversion'").collect()
+    assert len(out) == len(rows) and time.time() - begin < 90
+    assert all(r.block.endswith("end") for r in out if r.page_id % 2)
+
+
+def test_long_pages_as_short_ones(spark):
+    """What comes before and after the last closer is the same by both ways."""
+    parts = ["<!-- a -->x", "<script src='>'>y</script>z", "<style>q</STYLE >", "<b title='>'>bold</b>", "<title>t</title>", "<p>one<p>two", "<head>h<script>'</head>'</script></head>", "<!-- open", "<svg>", "5 < 6 > 4", "<a href=x>l</a>", "<a name=x", "&lt;"]
+    rows = [(i, "".join(parts[(i * k + k * k) % len(parts)] for k in range(1 + i % 9))) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
+    take = lambda: {(r.page_id, r.type): r.block for r in warc.derive(warc.responses_of(df), keep=("page_id",)).collect()}
+    short, warc.LONG = take(), 0
+    try:
+        assert take() == short
+    finally:
+        warc.LONG = 1 << 14
