@@ -82,41 +82,50 @@ LONG = 1 << 14
 
 
 def up_to_last(text: Column, closer: str, change: Callable[[Column], Column]) -> Column:
-    """change(text), which only matches what `closer` (a pattern) ends. In a long text it sees what comes
-    before the last closer alone: behind it every opener would be tried up to the end in vain."""
+    """change(text), which only matches what `closer` (a pattern) ends. It sees what comes before the
+    last closer alone: behind it every opener would be tried up to the end in vain."""
     head = F.regexp_extract(text, rf"(?is)^.*{closer}", 0)
-    cut = let(head, lambda h: F.concat(change(h), F.substr(text, F.length(h) + 1)))
-    return F.when(F.octet_length(text) < LONG, change(text)).otherwise(cut)
+    return let(head, lambda h: F.concat(change(h), F.substr(text, F.length(h) + 1)))
 
 
-def seen_up_to_last(text: Column, closer: str, look: Callable[[Column], Column]) -> Column:
-    """look(text) likewise, where what follows the last closer does not count."""
-    return F.when(F.octet_length(text) < LONG, look(text)).otherwise(let(F.regexp_extract(text, rf"(?is)^.*{closer}", 0), look))
+#: A page's text is what these leave of it, one after another: (pattern, what takes its place, closer). The
+#: head goes after the other hidden elements, as scripts in it may quote its end.
+STEPS = [
+    (r"(?s)<!--.*?-->", " ", "-->"),
+    *[(rf"(?is)<({'|'.join(names)})(?:\s[^>]*)?>.*?</\1\s*>", " ", rf"</(?:{'|'.join(names)})\s*>") for names in (HIDDEN[:-1], HIDDEN[-1:])],
+    (r"[\r\n]+", " ", None),
+    (rf"(?i)</?(?:{BREAKING})(?:[\s/]{INSIDE}|>)", "\n", ">"),
+    (rf"</?[a-zA-Z!?]{INSIDE}", "", ">"),
+]
 
 
-def without_hidden(text: Column, names: list[str]) -> Column:
-    pattern = rf"(?is)<({'|'.join(names)})(?:\s[^>]*)?>.*?</\1\s*>"
-    return up_to_last(text, rf"</(?:{'|'.join(names)})\s*>", lambda x: F.regexp_replace(x, pattern, " "))
+def stripped(html: Column, steps: list[tuple[str, str, str | None]], cautious: bool) -> Column:
+    if not steps:
+        return html
+    (pattern, by, closer), *others = steps
+    change = lambda x: F.regexp_replace(x, pattern, by)
+    if not cautious:
+        return stripped(change(html), others, cautious)
+    return let(up_to_last(html, closer, change) if closer else change(html), lambda x: stripped(x, others, cautious))
 
 
-def without_tags(text: Column) -> Column:
-    """Tags that break lines go first, and with them the end that others before may have had."""
-    broken = up_to_last(text, ">", lambda x: F.regexp_replace(x, rf"(?i)</?(?:{BREAKING})(?:[\s/]{INSIDE}|>)", "\n"))
-    return let(broken, lambda x: up_to_last(x, ">", lambda y: F.regexp_replace(y, rf"</?[a-zA-Z!?]{INSIDE}", "")))
+def by_length(html: Column, short: Column, long: Column) -> Column:
+    """Both give the same; the second takes linear time on pages whose openers nothing closes."""
+    return F.when(F.octet_length(html) < LONG, short).otherwise(long)
 
 
 def visible_text(html: Column) -> Column:
-    text = up_to_last(html, "-->", lambda x: F.regexp_replace(x, r"(?s)<!--.*?-->", " "))
-    # in one pass; the head last, as scripts in it may quote its end
-    *plain, last = HIDDEN
-    text = let(text, lambda x: let(without_hidden(x, plain), lambda y: without_hidden(y, [last])))
-    text = let(F.regexp_replace(text, r"[\r\n]+", " "), without_tags)
-    return tidy(decoded(text))
+    return let(by_length(html, stripped(html, STEPS, False), stripped(html, STEPS, True)), lambda x: tidy(decoded(x)))
+
+
+def found_in(html: Column, closer: str, look: Callable[[Column], Column]) -> Column:
+    """look(html), for which nothing behind the last closer counts."""
+    return by_length(html, look(html), let(F.regexp_extract(html, rf"(?is)^.*{closer}", 0), look))
 
 
 def title_of(html: Column) -> Column:
-    inside = seen_up_to_last(html, "</title", lambda x: F.regexp_extract(x, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1))
-    return tidy(decoded(F.regexp_replace(inside, r"[\r\n]+", " ")))
+    inside = found_in(html, "</title", lambda x: F.regexp_extract(x, r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1))
+    return let(F.regexp_replace(inside, r"[\r\n]+", " "), lambda x: tidy(decoded(x)))
 
 
 def uuid_of(text: Column) -> Column:
@@ -156,8 +165,9 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     body = F.coalesce(F.col("source_body"), F.col("payload").cast("binary")) if "source_body" in base.columns else F.col("payload")
     declared = F.col("source_payload_digest") if "source_payload_digest" in base.columns else None
     base = base.withColumn("source_digest", digest(body) if declared is None else F.coalesce(declared, digest(body))).withColumn("text", visible_text(F.col("payload")))
-    found = seen_up_to_last(F.col("payload"), r"""lang\s*=\s*["']?[a-zA-Z-]+""", lambda x: F.regexp_extract(x, r"""(?is)<html\s[^>]*?lang\s*=\s*["']?([a-zA-Z-]+)""", 1))
-    title = title_of(F.col("payload"))
+    language = lambda x: F.regexp_extract(x, r"""(?is)<html\s[^>]*?lang\s*=\s*["']?([a-zA-Z-]+)""", 1)
+    base = base.withColumns({"__title": title_of(F.col("payload")), "__lang": found_in(F.col("payload"), r"""lang\s*=\s*["']?[a-zA-Z-]+""", language)})
+    title, found = F.col("__title"), F.col("__lang")
     fields = F.concat(
         line("source-payload-digest", F.col("source_digest")),
         *([line("source-body-digest", F.when(declared.isNotNull(), digest(body)))] if declared is not None else []),
@@ -166,7 +176,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.array_join(F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), "\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("source-header: "), F.btrim(x), F.lit(CRLF))), ""),
         line("title", F.when(title != "", title)),
         line("html-lang", F.when(found != "", found)),
-        line("outlinks", seen_up_to_last(F.col("payload"), "href", lambda x: F.regexp_count(x, F.lit(r"(?i)<a\s[^>]*href")))),
+        line("outlinks", found_in(F.col("payload"), "href", lambda x: F.regexp_count(x, F.lit(r"(?i)<a\s[^>]*href")))),
     )
     record = lambda kind, mime, block: F.struct(F.lit(kind).alias("type"), F.lit(mime).alias("content_type"), block.alias("block"))
     both = base.select("*", F.explode(F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("text")))).alias("r"))
