@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from kinesieve.llm.exchange import bucket_count, pack, pack_sorted, text_bytes, unpack, unpack_sorted
 from kinesieve.llm.ids import identified, with_ids
 from kinesieve.llm.kernels import U64, blocks, first_of_runs, mix, powers
-from kinesieve.llm.storage import drop_table, keep
+from kinesieve.llm.storage import drop_part, drop_table, keep
 
 #: Bytes that are hashed at each position, and positions of which the smallest starts a phrase.
 GRAM = 16
@@ -396,15 +396,18 @@ def repeated_runs(pdf: pd.DataFrame, length: int, n_buckets: int) -> tuple[np.nd
     return data, ends, common, spans[at, 0], reach[np.append(at[1:], len(spans)) - 1] if len(at) else reach
 
 
-def merged_shards(docs: DataFrame, length: int, window: int, n_buckets: int, chunk_bytes: int, passes: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
-    """The shards' texts, and their states after the merge."""
-    parsed = keep(shards(docs, window, n_buckets, chunk_bytes), "shards")
-    now = parsed
+def merged_shards(docs: DataFrame, length: int, window: int, n_buckets: int, chunk_bytes: int, passes: int = DEEPEST, lean: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The shards, of which only the texts are left if `lean`, and their states after the merge."""
+    part = F.when(F.col("bucket") == TEXTS, "texts").otherwise("work").alias("part")
+    parsed = keep(shards(docs, window, n_buckets, chunk_bytes).select(*NAMES, part), "shards", partition_by="part")
+    first = now = parsed.filter("part = 'work'").select(*NAMES)
     for _ in range(passes):
         before = now
         now = keep(merge_pass(before, length, n_buckets), "merge")
-        if before is not parsed:
+        if before is not first:
             drop_table(before)
+        elif lean:
+            drop_part(parsed, "part=work")
         if now.filter("bucket >= 0").isEmpty():
             break
     return parsed, now
@@ -444,8 +447,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 125, with_
     n_buckets = bucket_count(text_bytes(docs))
     # phrases so short that a string of twice the passage has some whole ones
     window = min(window_of(length), window_of(2 * passage))
-    parsed, now = merged_shards(docs, length, window, n_buckets, chunk_bytes)
-    texts = parsed.filter(F.col("bucket") == TEXTS).select(*NAMES)
+    parsed, now = merged_shards(docs, length, window, n_buckets, chunk_bytes, lean=True)
+    texts = parsed.filter("part = 'texts'").select(*NAMES)
     compared = keep(compare_windows(now, texts, length, window, n_buckets), "windows")
     drop_table(now)
     return by_document(compared, texts, n_buckets, length, passage, with_text)
