@@ -45,11 +45,14 @@ def sums(rows: DataFrame, keys: list[str], model: Model, values: list[Column], u
     Rows with a residual that is null or not finite take no part.
     """
     k = len(unknowns)
-    moved = [F.array(*model([v + (u.step if i == j else 0.0) for j, v in enumerate(values)])) for i, u in enumerate(unknowns)]
-    found = rows.select(*keys, F.array(*model(values)).alias("r"), F.array(*moved).alias("moved"))
+    # the model is written once and evaluated at each set of values, which keeps plans small
+    sets = [F.array(*[(v + (u.step if i == j else 0.0)).cast("double") for j, (u, v) in enumerate(zip(unknowns, values))]) for i in range(-1, k)]
+    tried = F.transform(F.array(*sets), lambda p: F.array(*[x.cast("double") for x in model([p[i] for i in range(k)])]))
+    # exploding lists of one keeps Spark from writing these expressions out at each place that uses them
+    found = rows.select(*keys, F.explode_outer(F.array(tried)).alias("tried"))
     step = F.array(*[F.lit(float(u.step)) for u in unknowns])
-    slopes = F.zip_with("moved", step, lambda m, h: F.zip_with(m, F.col("r"), lambda x, y: (x - y) / h))
-    found = found.select(*keys, "r", slopes.alias("j"))
+    slopes = F.zip_with(F.slice("tried", 2, k), step, lambda m, h: F.zip_with(m, F.col("tried")[0], lambda x, y: (x - y) / h))
+    found = found.select(*keys, F.explode_outer(F.array(F.struct(F.col("tried")[0].alias("r"), slopes.alias("j")))).alias("e")).select(*keys, "e.r", "e.j")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300)
     found = found.filter(F.forall("r", fine) & F.forall("j", lambda x: F.forall(x, fine)))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinesieve.functions.rotation import vec
-from kinesieve.operators import corrections, fields, rotfit
+from kinesieve.functions.rotation import qexp, vec
+from kinesieve.operators import corrections, fields, orientation, rendering, rotfit
 from kinesieve.operators.windows import placed
 from kinesieve.plans.sequences import KEYS, ORDER, O, S, events
 from kinesieve.plans.solvers import GROUP, segmented
@@ -69,6 +69,42 @@ def monthly_fields(spark, sf_dir):
     return out.select("l_returnflag", "month", *[F.round(F.col("field")[i], 4).alias(f"field_{i}") for i in range(6)], F.round("shown", 4).alias("shown"))
 
 
+def turned(spark, sf_dir):
+    """Orientations of a clip's events: turns about three axes by value and k."""
+    df = measured(segmented(spark, sf_dir))
+    return df.withColumn("q", qexp(vec(F.col("ex"), F.col("ey"), F.col("ez"))))
+
+
+def calm_orientation(spark, sf_dir):
+    """The events' orientations without what turns faster than a tenth of their rate."""
+    df = turned(spark, sf_dir).select(*GROUP, *ORDER, *[F.col("q")[c].alias(c) for c in "wxyz"])
+    out = orientation.lowpass_orientation(df, GROUP, ORDER, ["w", "x", "y", "z"], 0.1, 1.0, core=512, overlap=128)
+    return out.select("clip_id", "event_id", "q_w", "q_x", "q_y", "q_z", "fast_x", "fast_y", "fast_z")
+
+
+def click_rates(spark, sf_dir):
+    """How fast the orientation of the other events turns at each click, in radians a day, over a day."""
+    df = turned(spark, sf_dir).withColumn("t", F.col("t") / 86_400_000_000.0)
+    clicks = df.filter("event_type = 'click'").select("clip_id", "t", "event_id")
+    found = orientation.rate_at(clicks, df.filter("event_type <> 'click'").select("clip_id", "t", "q"), KEYS, 0.5)
+    return found.select("clip_id", "event_id", *[F.round(F.col("rate")[c], 5).alias(f"rate_{c}") for c in "xyz"])
+
+
+#: A lens for the picture that quantity and discount span.
+LENS = {"fx": 40.0, "fy": 40.0, "cx": 25.0, "cy": 5.0, "k1": 0.02, "k2": 0.0, "k3": 0.0, "k4": 0.0}
+
+
+def fitted_render(spark, sf_dir):
+    """By return flag and status the turn, spin and focal length that take (quantity, discount) to
+    (quantity, tax) as a second picture."""
+    rows = table(spark, sf_dir, "lineitem")
+    point = lambda u, v: F.struct(F.col(u).cast("double").alias("u"), (F.col(v) * 100).alias("v"))
+    lens = F.struct(*[F.lit(v).alias(k) for k, v in LENS.items()])
+    matches = rows.select("l_returnflag", "l_linestatus", point("l_quantity", "l_discount").alias("source"), point("l_quantity", "l_tax").alias("render"))
+    found = rendering.fit_render(matches, ["l_returnflag", "l_linestatus"], lens, 10.0, (25.0, 5.0), 40.0, c=2.0, rounds=5)
+    return found.select("l_returnflag", "l_linestatus", "n", *[F.round(F.col("q")[c], 5).alias(f"q_{c}") for c in "wxyz"], F.round("focal", 3).alias("focal"))
+
+
 SQL = {
     "accepted_rounds": f"""WITH {S}, p AS (SELECT s.clip_id, s.value, CAST(json_extract(e.props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY clip_id ORDER BY s.t, s.event_id) - 1 AS place FROM s JOIN events e USING (event_id)),
 w AS (SELECT clip_id, place // 16 AS "window", count(*) AS n, sqrt(avg(power((value - 60) / 60, 2))) AS before, sqrt(avg(power((k - 50) / 50.0::DOUBLE, 2))) AS after FROM p WHERE value IS NOT NULL AND k IS NOT NULL GROUP BY 1, 2)
@@ -77,4 +113,4 @@ SELECT clip_id, "window", n, round(before, 6) AS before, round(after, 6) AS afte
 SELECT clip_id, event_id, round(cos(a) * cos(b) * cos(c) - sin(a) * sin(b) * sin(c), 6) AS q_w, round(sin(a) * cos(b) * cos(c) + cos(a) * sin(b) * sin(c), 6) AS q_x,
  round(cos(a) * sin(b) * cos(c) - sin(a) * cos(b) * sin(c), 6) AS q_y, round(cos(a) * cos(b) * sin(c) + sin(a) * sin(b) * cos(c), 6) AS q_z FROM e""",
 }
-QUERIES = {f.__name__: f for f in (fitted_rotation, folded_correction, composed_correction, accepted_rounds, monthly_fields)}
+QUERIES = {f.__name__: f for f in (fitted_rotation, folded_correction, composed_correction, accepted_rounds, monthly_fields, calm_orientation, click_rates, fitted_render)}
