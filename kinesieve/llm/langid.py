@@ -7,7 +7,7 @@ read as its letters in lower case with one space for everything between; its cro
 mean over its characters. The lowest one wins, and the margin to the others gives the score.
 
 A classifier may learn from a bounded sample: about `sample_docs` training documents of each
-of at most `max_languages` languages, chosen by a hash of doc_id, whole texts. A fifth of them is kept from the counts to
+language, chosen by a hash of doc_id, whole texts. A fifth of them is kept from the counts to
 calibrate the score's temperature and, per language, the cross-entropy beyond which a text is
 rejected: above all of that part by a margin that widens for short texts.
 
@@ -206,7 +206,7 @@ class LanguageModel:
         entropy, n = self.entropies(texts)
         use = n > 0
         entropy, n = entropy[use], n[use]
-        truth = np.array([self.languages.index(x) for x in langs])[use]
+        truth = np.array([self.languages.index(x) for x in langs], int)[use]
         losses = []
         grid = 2.0 ** np.arange(-3, 6)
         for t in grid:
@@ -237,14 +237,14 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def training_sample(docs: DataFrame, sample_docs: int, max_languages: int, modulus: int = 4, rest: int = 2) -> DataFrame:
+def training_sample(docs: DataFrame, sample_docs: int, modulus: int = 4, rest: int = 2) -> DataFrame:
     """(lang, text, calibration): about sample_docs documents of each language, by the hash of doc_id,
-    for the max_languages languages that have most."""
+    of which a fifth is for calibration unless it is all that the language has."""
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != rest))
-    able = able.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    shares = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).withColumn("limit", (F.lit(1 << 30) * F.lit(float(sample_docs)) / F.col("n")).cast("long"))
-    few = able.join(F.broadcast(shares.select("lang", "limit")), "lang").filter("h < limit")
-    return few.select("lang", "text", (F.pmod(F.col("h"), F.lit(5)) == 0).alias("calibration"))
+    able = able.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    shares = able.groupBy("lang").agg(F.count("*").alias("n"), F.bool_or(F.pmod(F.col("h"), F.lit(5)) != 0).alias("others")).withColumn("limit", (F.lit(1 << 30) * F.lit(float(sample_docs)) / F.col("n")).cast("long"))
+    few = able.join(shares.select("lang", "limit", "others"), "lang").filter("h < limit")
+    return few.select("lang", "text", (F.col("others") & (F.pmod(F.col("h"), F.lit(5)) == 0)).alias("calibration"))
 
 
 def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,9 +257,9 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": counts})
 
 
-def learn(docs: DataFrame, sample_docs: int = 400, max_languages: int = 256) -> LanguageModel | None:
+def learn(docs: DataFrame, sample_docs: int = 400) -> LanguageModel | None:
     """A model of the languages in docs(doc_id, text, lang), or None if there is nothing to learn."""
-    sample = training_sample(docs, sample_docs, max_languages)
+    sample = training_sample(docs, sample_docs)
     counts = sample.filter("NOT calibration").select("lang", "text").mapInPandas(count_grams, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):

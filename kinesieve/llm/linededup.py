@@ -8,7 +8,9 @@ that holds a line holds its keeper too.
 
 Defined cases: null or empty text is one empty line; a doc_id that several rows share counts as one
 document and its rows are treated alike; rows without doc_id pass unchanged and are counted nowhere;
-an empty table gives no rows; other columns pass through filter_lines() untouched.
+an empty table gives no rows; other columns pass through filter_lines() untouched, and where one has the
+name of a result, the result's name gets underscores (count_names); a text of very many lines costs
+their number times the logarithm of that of its lost keys.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from kinesieve.llm.storage import drop, drop_table, keep, new_path
 #: White space that is stripped from both ends of a line (fixed values).
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Up to so many keys are tried one by one.
+FEW = 32
 RUN = "h1 long, h2 long, n_docs long, keeper long"
 
 
@@ -36,6 +40,32 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def held(keys: Column, wanted: Column) -> Column:
+    """Whether the sorted keys hold this one, by halving where they are many."""
+    n = F.size(keys)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        under = F.coalesce(F.get(keys, middle) < wanted, F.lit(False))
+        return F.struct(F.when(under, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int"))
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda s: s["lo"])
+    return F.when(n <= FEW, F.array_contains(keys, wanted)).otherwise(F.coalesce(F.get(keys, place) == wanted, F.lit(False)))
+
+
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """What filter_lines() calls its counts: n_lines and n_dropped, or, where docs has such a column, that
+    name with as many underscores as make it new."""
+    return free_name("n_lines", docs.columns), free_name("n_dropped", docs.columns)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, h1, h2) of all distinct keys of at least min_chars code points."""
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.explode(text_lines(F.col("text"))).alias("line"))
@@ -81,7 +111,7 @@ class LineRuns:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
-    """(doc_id, keys): per document, the hashes of the line keys that it must lose."""
+    """(doc_id, keys): per document, the hashes of the line keys that it must lose, sorted."""
     spark = docs.sparkSession
     lines = long_lines(docs, min_chars)
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
@@ -95,7 +125,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     # written, so that the join below reads plain shuffles, of which Spark can split a frequent line's
     frequent = keep(runs.merged(runs.rows()).filter(F.col("n_docs") >= min_docs), "frequent")
     lost = lines.join(frequent.hint("merge"), ["h1", "h2"]).filter(F.col("doc_id") < F.col("keeper"))
-    out = keep(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys")), "lost")
+    out = keep(lost.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("h1", "h2"))).alias("keys")), "lost")
     for level in runs.levels.values():
         drop(spark, *level)
     drop_table(lines)
@@ -103,13 +133,15 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
 
 
 def filter_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """All rows and columns of docs with text cleaned, plus n_lines (before) and n_dropped."""
-    lost = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
+    """All rows and columns of docs with text cleaned, plus n_lines (before) and n_dropped, see count_names()."""
+    n_lines, n_dropped = count_names(docs)
+    doc, keys, stay = (free_name(name, docs.columns) for name in ("lost_doc", "lost_keys", "lost_stay"))
+    lost = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(doc), F.col("keys").alias(keys))
     lines = text_lines(F.col("text"))
-    stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__keys"), key_hash(line_key(x))))
+    kept = F.filter(lines, lambda x: ~F.exists(F.array(key_hash(line_key(x))), lambda h: held(F.col(keys), h)))  # hashed once a line
     # the same plan at every size: the table of lost lines grows with the corpus
-    out = docs.join(lost.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
-    out = out.withColumn("__stay", F.when(F.col("__keys").isNotNull(), stay)).withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("__stay"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("__stay").isNull(), F.col("text")).otherwise(F.array_join("__stay", "\n")))
-    return out.drop("__doc", "__keys", "__stay")
+    out = docs.join(lost.hint("merge"), F.col("doc_id") == F.col(doc), "left")
+    out = out.withColumn(stay, F.when(F.col(keys).isNotNull(), kept)).withColumn(n_lines, F.size(lines).cast("long"))
+    out = out.withColumn(n_dropped, F.coalesce(F.col(n_lines) - F.size(stay), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col(stay).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    return out.drop(doc, keys, stay)

@@ -13,9 +13,12 @@ _made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in a local session without it (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         folder = "file://" + tempfile.mkdtemp(prefix="kinesieve-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -114,3 +114,13 @@ def test_entropy_against_brute_force():
             t = read(t)
             bits = [-np.log2(p((" " * 3 + t)[i : i + 4])) for i in range(len(t))]
             assert size == len(t) and abs(np.mean(bits) - found) < 1e-3
+
+
+def test_languages_of_one_document_and_very_many_are_learned(spark):
+    """Whatever fifth its only document falls into; own columns of any name are no hindrance."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"l{i}", (letters[i % 26] + letters[i // 26] + " ") * 40, 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, limit int")
+    model = langid.learn(docs)
+    held_out = {r.doc_id for r in docs.select("doc_id", langid.remainder(docs["doc_id"], 4).alias("r")).collect() if r.r == 2}
+    assert sorted(model.languages) == sorted(f"l{i}" for i in range(400) if i not in held_out)

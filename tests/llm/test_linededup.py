@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -49,6 +50,26 @@ def test_columns_pass(spark):
     assert (row.h1, row["keys"], row.n_lines, row.n_dropped) == (7, "k", 1, 0)
 
 
+def test_own_columns_of_the_results_names_stay(spark):
+    line = "a line that is long enough to be counted here"
+    df = spark.createDataFrame([(i, line, "mine", -1, 5) for i in range(5)], SCHEMA + ", n_lines string, N_Dropped int, lost_keys int")
+    got = linededup.filter_lines(df).orderBy("doc_id")
+    assert linededup.count_names(df) == ("n_lines_", "n_dropped_")
+    assert got.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    assert [tuple(r)[1:] for r in got.collect()] == [("", "mine", -1, 5, 1, 1)] * 4 + [(line, "mine", -1, 5, 1, 0)]
+
+
+def test_long_texts_lose_very_many_lines(spark):
+    """Some 20,000 lost keys and 40,000 lines a document, in seconds."""
+    shared = [f"shared line number {i:06d} of a very long list of lines" for i in range(20_000)]
+    rows = [(d, "\n".join(x for i, s in enumerate(shared) for x in (s, f"own {d} {i}"))) for d in range(5)]
+    begin = time.time()
+    got = run(spark, rows)
+    assert time.time() - begin < 60
+    assert [(d, n, k) for d, n, k, _ in got] == [(d, 40_000, 20_000 if d < 4 else 0) for d in range(5)]
+    assert got == brute(rows)
+
+
 def test_runs_are_merged_by_level(spark):
     runs = linededup.LineRuns(spark, fanout=2)
     for b in range(5):
