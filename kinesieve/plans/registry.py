@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinesieve.plans import boards, calibration, containers, extras, frames, geometry, matching, measures, paths, reports, rotations, sequences, solvers
+from kinesieve.plans import boards, calibration, containers, extras, frames, geometry, matching, measures, paths, renders, reports, rotations, sequences, solvers
 
-MODULES = (sequences, matching, measures, geometry, solvers, extras, frames, boards, reports, paths, calibration, containers, rotations)
+MODULES = (sequences, matching, measures, geometry, solvers, extras, frames, boards, reports, paths, calibration, containers, rotations, renders)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
