@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinesieve.operators.boards import rms
@@ -85,3 +86,29 @@ def window_rms(paths: DataFrame, keys: list[str], position: Column, rows: int, w
     """RMS of every `rows` rows by position; a group's windows are compared pairwise with another's."""
     window = F.floor(position / rows).cast("long").alias("window")
     return paths.filter("known").groupBy(*keys, window).agg(F.count("*").alias("n"), F.sqrt(F.avg(energy("hp", lever(width, height)))).alias("rms"))
+
+
+def window_summary(paths: DataFrame, keys: list[str], pieces: list[str], order: list[str], rows: int, width: float, height: float) -> DataFrame:
+    """Per group the spread of the RMS over its windows of `rows` rows, and how it goes with the slow speed.
+
+    Windows lie within a piece (a segment of the group) and are whole; a window is measured over its known
+    rows, and not at all without any. median_calm and median_active are over the windows up to the median and from the
+    third quartile of speed, corr over all of them; the three need four windows and some spread.
+    """
+    place = F.row_number().over(W.partitionBy(*keys, *pieces).orderBy(*order)) - 1
+    placed = paths.withColumn("window", F.floor(place / rows))
+    known = F.when(F.col("known"), energy("hp", lever(width, height)))
+    windows = placed.groupBy(*keys, *pieces, "window").agg(F.count("*").alias("rows"), F.sqrt(F.avg(known)).alias("rms"), F.avg(F.when(F.col("known"), F.col("speed"))).alias("speed"))
+    windows = windows.filter((F.col("rows") == rows) & F.col("rms").isNotNull())
+    level = windows.groupBy(*keys).agg(
+        F.count("*").alias("windows"), F.percentile("rms", 0.5).alias("median"), F.percentile("rms", 0.9).alias("p90"), F.max("rms").alias("most"), F.min("rms").alias("least"),
+        F.percentile("speed", 0.5).alias("half"), F.percentile("speed", 0.75).alias("quarter"),
+        F.when((F.stddev_pop("rms") > 0) & (F.stddev_pop("speed") > 0), F.corr("rms", "speed")).alias("corr"),
+    )
+    both = windows.join(level, keys)
+    kinds = both.groupBy(*keys).agg(F.percentile(F.when(F.col("speed") <= F.col("half"), F.col("rms")), 0.5).alias("calm"), F.percentile(F.when(F.col("speed") >= F.col("quarter"), F.col("rms")), 0.5).alias("active"))
+    told = (F.col("windows") >= 4) & F.col("corr").isNotNull()
+    return level.join(kinds, keys).select(
+        *keys, "windows", "median", "p90", "most", "least",
+        *(F.when(told, F.col(c)).alias(name) for c, name in (("corr", "corr"), ("calm", "median_calm"), ("active", "median_active"))),
+    )

@@ -172,6 +172,22 @@ def bootstrap_mean_ci(spark, sf_dir):
     return stats.bootstrap_mean(df, ["l_returnflag"], "l_quantity", draws=200)
 
 
+def priced(spark, sf_dir):
+    """Prices of line items, full and after the discount."""
+    price = F.col("l_extendedprice").cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", price.alias("full"), (price * (1 - F.col("l_discount").cast("double"))).alias("net"))
+
+
+def bootstrap_ratio_ci(spark, sf_dir):
+    """Share of the full price that is paid, by return flag, with its interval."""
+    return stats.bootstrap_ratio(priced(spark, sf_dir), ["l_returnflag"], "net", "full", draws=200)
+
+
+def bootstrap_difference_ci(spark, sf_dir):
+    """Mean discount in money, by return flag, with its interval over pairs."""
+    return stats.bootstrap_difference(priced(spark, sf_dir), ["l_returnflag"], "full", "net", draws=200)
+
+
 PAIRS = """p AS (SELECT l_orderkey, avg(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END) AS this, avg(CASE WHEN l_linenumber % 2 <> 0 THEN l_extendedprice END) AS other
  FROM lineitem GROUP BY 1 HAVING this IS NOT NULL AND other IS NOT NULL)"""
 LIMITS = "w AS (SELECT l_suppkey, round(avg(l_quantity), 4) AS quantity, round(max(l_discount), 4) AS discount, round(avg(l_tax), 4) AS tax FROM lineitem GROUP BY 1)"
@@ -223,4 +239,4 @@ SELECT l_suppkey, string_agg(metric, ',' ORDER BY metric) AS metrics FROM l JOIN
     "evenly_spread": f"""WITH {S}, k AS (SELECT *, row_number() OVER ({O}) - 1 AS k, count(*) OVER (PARTITION BY clip_id) AS n FROM s)
 SELECT clip_id, k, event_id FROM k WHERE floor(k * 5 / CAST(n AS DOUBLE)) <> floor((k - 1) * 5 / CAST(n AS DOUBLE))""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "bootstrap_mean_ci")}
+QUERIES = {name: globals()[name] for name in (*SQL, "bootstrap_mean_ci", "bootstrap_ratio_ci", "bootstrap_difference_ci")}

@@ -73,12 +73,21 @@ def jump_guard(spark, sf_dir):
     return out.select("clip_id", "event_id", "guarded")
 
 
-def signal_metrics(spark, sf_dir):
-    """The metric row of every clip: steps from its values and k, at one row a second."""
+def signal_paths(spark, sf_dir):
+    """Filtered paths of steps from values and k, at one row a second."""
     df = segmented(spark, sf_dir).withColumns({"tx": (F.col("value") - 60) / 50, "ty": (F.col("k") - 50) / 50, "rot": F.col("value") / 1e5, "logs": F.col("k") / 1e5})
-    paths = metrics.filtered_paths(df, GROUP, ORDER, 1.0, cut=0.05, bands=((0.05, 0.2), (0.2, 0.45)))
-    return metrics.metric_row(paths, ["clip_id"], 1920, 1080, calm_speed=0.3)
+    return metrics.filtered_paths(df, GROUP, ORDER, 1.0, cut=0.05, bands=((0.05, 0.2), (0.2, 0.45)))
+
+
+def signal_metrics(spark, sf_dir):
+    """The metric row of every clip."""
+    return metrics.metric_row(signal_paths(spark, sf_dir), ["clip_id"], 1920, 1080, calm_speed=0.3)
+
+
+def window_metrics(spark, sf_dir):
+    """Every clip's windows of four rows."""
+    return metrics.window_summary(signal_paths(spark, sf_dir), ["clip_id"], ["segment_id"], ORDER, 4, 1920, 1080)
 
 
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (highpass_rms, weighted_integrate, velocity_reconstruct, smooth_path, limit_steps, jump_guard, signal_metrics)}
+QUERIES = {f.__name__: f for f in (highpass_rms, weighted_integrate, velocity_reconstruct, smooth_path, limit_steps, jump_guard, signal_metrics, window_metrics)}
