@@ -27,8 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinesieve.llm.kernels import U64, blocks, first_of_runs
+from kinesieve.llm.storage import drop, keep, made
 
 ORDER = 4
+#: Languages up to which their table is broadcast.
+SMALL_TABLE = 100_000
 SPACE = 32
 BLOCK = 1 << 18
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -243,7 +246,10 @@ def training_sample(docs: DataFrame, sample_docs: int, modulus: int = 4, rest: i
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != rest))
     able = able.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
     shares = able.groupBy("lang").agg(F.count("*").alias("n"), F.bool_or(F.pmod(F.col("h"), F.lit(5)) != 0).alias("others")).withColumn("limit", (F.lit(1 << 30) * F.lit(float(sample_docs)) / F.col("n")).cast("long"))
-    few = able.join(shares.select("lang", "limit", "others"), "lang").filter("h < limit")
+    shares = keep(shares.select("lang", "limit", "others"), "languages")
+    if shares.count() <= SMALL_TABLE:
+        shares = F.broadcast(shares)  # or else every text would be shuffled; the rows are the same
+    few = able.join(shares, "lang").filter("h < limit")
     return few.select("lang", "text", (F.col("others") & (F.pmod(F.col("h"), F.lit(5)) == 0)).alias("calibration"))
 
 
@@ -259,7 +265,13 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(docs: DataFrame, sample_docs: int = 400) -> LanguageModel | None:
     """A model of the languages in docs(doc_id, text, lang), or None if there is nothing to learn."""
-    sample = training_sample(docs, sample_docs)
+    with made() as tables:
+        model = fitted(training_sample(docs, sample_docs))
+    drop(docs.sparkSession, *tables)
+    return model
+
+
+def fitted(sample: DataFrame) -> LanguageModel | None:
     counts = sample.filter("NOT calibration").select("lang", "text").mapInPandas(count_grams, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
