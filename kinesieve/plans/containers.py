@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from kinesieve.plans.sequences import KEYS, ORDER, S, events
 from kinesieve.sources import container, wire
 from kinesieve.sources.rounds import shared_folder
 
-#: Samples of one file.
-PART = 1024
+#: Samples of one track, and about how many of a file.
+PART, FILE = 1024, 4096
 MESSAGE = {"clip_id": ("1.1", "int"), "event_id": ("1.2", "int"), "event_type": ("1.3", "text"), "value": ("2.1", "double"), "digits": ("2.2", "ints")}
 
 
@@ -24,25 +25,30 @@ def message(r) -> bytes:
 
 
 def write_containers(df, folder: str):
-    """A file for every PART rows of a clip: (path, samples). Times are milliseconds."""
+    """A track for every PART rows of a clip, many of them in a file: (path, samples). Times are milliseconds."""
+    n_files = max(1, round(df.count() / FILE))
     parts = placed(df, KEYS, ORDER).withColumn("part", F.floor(F.col("place") / PART)).withColumn("value", F.col("value").cast("double"))
+    parts = parts.withColumn("file", F.pmod(F.xxhash64("clip_id", "part"), F.lit(n_files)))
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
-        pdf = pdf.sort_values("place")
+        pdf = pdf.sort_values(["clip_id", "place"])
         pdf = pdf.astype(object).where(pdf.notna(), None)
-        ms = [int(t) // 1000 for t in pdf["t"]]
-        lasts = [b - a for a, b in zip(ms, ms[1:])] + [0]
-        data = container.boxed([message(r) for r in pdf.itertuples()], lasts, 1000)
+        tracks = []
+        for _, rows in groupby(pdf.itertuples(), lambda r: (r.clip_id, r.part)):
+            rows = list(rows)
+            ms = [int(r.t) // 1000 for r in rows]
+            tracks.append(([message(r) for r in rows], [b - a for a, b in zip(ms, ms[1:])] + [0]))
+        data = container.boxed_tracks(tracks, 1000)
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        name = f"{base}/{pdf['clip_id'].iloc[0]}-{pdf['part'].iloc[0]}.mp4"
+        name = f"{base}/{pdf['file'].iloc[0]}.mp4"
         with system.open_output_stream(name) as out:
             out.write(data)
         return pd.DataFrame({"path": [name], "samples": [len(pdf)]})
 
-    return parts.select("clip_id", "part", "place", "event_id", "t", "event_type", "value", "k").groupBy("clip_id", "part").applyInPandas(write, "path string, samples long")
+    return parts.select("file", "clip_id", "part", "place", "event_id", "t", "event_type", "value", "k").groupBy("file").applyInPandas(write, "path string, samples long")
 
 
 def container_samples(spark, sf_dir):

@@ -3,9 +3,10 @@
     spark.dataSource.register(SampleSource)
     spark.read.format("boxed_samples").option("track", "meta").load("hdfs://.../clips")
 
-Planning reads the sample tables of each file, not its samples, and cuts them into runs of bounded
+Planning reads the sample tables of each large file, not its samples, and cuts them into runs of bounded
 size and count; a task reads its run's ranges, those that lie close together in one go, and hands
-rows over in batches. So a file of any size is many rows and many tasks. Paths are whatever
+rows over in batches. So a file of any size is many rows and many tasks. Small files are not opened by
+planning: many of them go to one task, which reads their tables too. Paths are whatever
 pyarrow.fs.FileSystem.from_uri opens; a folder stands for the files in it.
 """
 
@@ -34,16 +35,17 @@ def opened(path: str):
     return system.open_input_file(name), system.get_file_info(name).size
 
 
-def files_in(path: str) -> list[str]:
-    """The file itself, or the files of a folder, by name; hidden ones are left out."""
+def files_in(path: str) -> list[tuple[str, int]]:
+    """The file itself, or the files of a folder, by name, each with its size; hidden ones are left out."""
     from pyarrow import fs
 
     scheme = path.split("://")[0] + "://" if "://" in path else ""
     system, name = fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
-    if system.get_file_info(name).type == fs.FileType.File:
-        return [path]
-    found = [x.path for x in system.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File and x.base_name[0] not in "._"]
-    return [scheme + x for x in sorted(found)]
+    own = system.get_file_info(name)
+    if own.type == fs.FileType.File:
+        return [(path, own.size)]
+    found = [x for x in system.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File and x.base_name[0] not in "._"]
+    return [(scheme + x.path, x.size) for x in sorted(found, key=lambda x: x.path)]
 
 
 def reader_of(handle) -> Read:
@@ -248,6 +250,38 @@ class Run(InputPartition):
     first: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Small files, whole."""
+
+    files: list[str]
+
+
+#: A sample takes as many bytes of a file at least, in the table of sizes.
+LEAST = 4
+
+
+def bundles(files: list[tuple[str, int]], most_bytes: int, most_samples: int) -> tuple[list[Bundle], list[str]]:
+    """Files that can hold no more than a task's share by their size, as many together as make up one; and
+    the larger files. A file counts for FILE bytes at least."""
+    small, large, held = [], [], 0
+    for file, size in files:
+        if size > min(most_bytes, LEAST * most_samples):
+            large.append(file)
+            continue
+        size = max(size, FILE)
+        if not small or held + size > min(most_bytes, BUNDLE):
+            small.append(Bundle([]))
+            held = 0
+        small[-1].files.append(file)
+        held += size
+    return small, large
+
+
+#: Bytes of a task's small files, and what opening one of them counts for.
+BUNDLE, FILE = 8 << 20, 16 << 10
+
+
 def runs(file: str, track: Track, most_bytes: int, most_samples: int) -> Iterator[Run]:
     n = len(track.offset)
     total, first = np.concatenate(([0], np.cumsum(track.size[:n]))), 0
@@ -270,32 +304,66 @@ class SampleReader(DataSourceReader):
         self.gap = int(options.get("gap", GAP))
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for file in files_in(self.path):
+        small, large = bundles(files_in(self.path), self.most_bytes, self.most_samples)
+        out: list[InputPartition] = list(small)
+        for file in large:
             handle, size = opened(file)
             with handle:
                 for track in chosen(tracks(reader_of(handle), size), self.wanted):
                     out += runs(file, track, self.most_bytes, self.most_samples)
         return out
 
-    def read(self, run: Run | None) -> Iterator[pa.RecordBatch]:
-        if run is None:  # no file has such a track
+    def read(self, part: Run | Bundle | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file has such a track
             return
-        t, kinds = run.track, ("string", "int32", "string", "string", "int64", "int64", "int64", "float64", "bool", "int64", "int64", "binary")
-        handle, _ = opened(run.file)
+        if isinstance(part, Run):
+            handle, _ = opened(part.file)
+            with handle:
+                yield from joined(self.rows(reader_of(handle), part))
+            return
+        yield from joined(x for file in part.files for x in self.whole(file))
+
+    def whole(self, file: str) -> Iterator[pa.RecordBatch]:
+        """The rows of a small file, which is read in one go."""
+        handle, _ = opened(file)
         with handle:
-            read, first = reader_of(handle), 0
-            while first < len(t.size):
-                full = np.searchsorted(np.cumsum(t.size[first:]), 4 << 20, side="right")
-                cut = slice(first, first + min(max(int(full), 1), 10_000))
-                n = len(t.size[cut])
-                data = read_ranges(read, t.offset[cut], t.size[cut], self.gap) if self.with_data else [None] * n
-                values = [
-                    [run.file] * n, [t.number] * n, [t.handler] * n, [t.fourcc] * n, np.arange(first, first + n) + run.first, t.dts[cut],
-                    t.pts[cut], t.pts[cut] / t.timescale, t.sync[cut], t.offset[cut], t.size[cut], data,
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.type_for_alias(k)) for v, k in zip(values, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
-                first += n
+            data = handle.read()
+        read: Read = lambda offset, size: data[offset : offset + size]
+        for track in chosen(tracks(read, len(data)), self.wanted):
+            for run in runs(file, track, self.most_bytes, self.most_samples):
+                yield from self.rows(read, run)
+
+    def rows(self, read: Read, run: Run) -> Iterator[pa.RecordBatch]:
+        t, kinds = run.track, ("string", "int32", "string", "string", "int64", "int64", "int64", "float64", "bool", "int64", "int64", "binary")
+        first = 0
+        while first < len(t.size):
+            full = np.searchsorted(np.cumsum(t.size[first:]), 4 << 20, side="right")
+            cut = slice(first, first + min(max(int(full), 1), BATCH))
+            n = len(t.size[cut])
+            data = read_ranges(read, t.offset[cut], t.size[cut], self.gap) if self.with_data else [None] * n
+            values = [
+                [run.file] * n, [t.number] * n, [t.handler] * n, [t.fourcc] * n, np.arange(first, first + n) + run.first, t.dts[cut],
+                t.pts[cut], t.pts[cut] / t.timescale, t.sync[cut], t.offset[cut], t.size[cut], data,
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.type_for_alias(k)) for v, k in zip(values, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
+            first += n
+
+
+#: Rows of a batch.
+BATCH = 10_000
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, up to BATCH rows or about 4 MB."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        if held and (rows + batch.num_rows > BATCH or size + batch.nbytes > 4 << 20):
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 class SampleSource(DataSource):
@@ -324,22 +392,35 @@ def numbers(*values: int, width: int = 4) -> bytes:
 
 def boxed(samples: list[bytes], lasts: list[int], timescale: int, handler: str = "meta", fourcc: str = "tser", per_chunk: int = 64) -> bytes:
     """A file of one track: samples, how long each lasts in ticks, and the tables that lead to them."""
-    sizes = [len(x) for x in samples]
-    data = box("ftyp", b"isom", numbers(0)) + (sum(sizes) + 8).to_bytes(4, "big") + b"mdat"
-    chunk, place = [], len(data)
-    for i, n in enumerate(sizes):
-        if i % per_chunk == 0:
-            chunk.append(place)
-        place += n
-    left = len(samples) % per_chunk
-    rule = [(1, per_chunk, 1)] if len(samples) >= per_chunk else []
-    if left:
-        rule.append((len(chunk), left, 1))
-    tables = [
-        box("stsd", numbers(0, 1), box(fourcc, bytes(8))), box("stts", numbers(0, len(lasts)), *[numbers(1, x) for x in lasts]),
-        box("stsz", numbers(0, 0, len(sizes)), numbers(*sizes)), box("stsc", numbers(0, len(rule)), *[numbers(*x) for x in rule]), box("co64", numbers(0, len(chunk)), numbers(*chunk, width=8)),
-    ]
-    clock = numbers(0, 0, 0, timescale, min(sum(lasts), 0xFFFFFFFF))
-    media = box("mdia", box("mdhd", clock, bytes(4)), box("hdlr", numbers(0, 0), handler.encode(), bytes(13)), box("minf", box("stbl", *tables)))
-    movie = box("moov", box("mvhd", clock, bytes(80)), box("trak", box("tkhd", numbers(0, 0, 0, 1, 0), bytes(64)), media))
-    return data + b"".join(samples) + movie
+    return boxed_tracks([(samples, lasts)], timescale, handler, fourcc, per_chunk)
+
+
+def boxed_tracks(every: list[tuple[list[bytes], list[int]]], timescale: int, handler: str = "meta", fourcc: str = "tser", per_chunk: int = 64) -> bytes:
+    """A file of tracks, numbered from 1, each of samples and how long they last."""
+    total = sum(len(x) for samples, _ in every for x in samples)
+    data = box("ftyp", b"isom", numbers(0)) + (total + 8).to_bytes(4, "big") + b"mdat"
+    traks, place = [], len(data)
+    for number, (samples, lasts) in enumerate(every, 1):
+        sizes = [len(x) for x in samples]
+        chunk = []
+        for i, n in enumerate(sizes):
+            if i % per_chunk == 0:
+                chunk.append(place)
+            place += n
+        left = len(samples) % per_chunk
+        rule = [(1, per_chunk, 1)] if len(samples) >= per_chunk else []
+        if left:
+            rule.append((len(chunk), left, 1))
+        tables = [
+            box("stsd", numbers(0, 1), box(fourcc, bytes(8))), box("stts", numbers(0, len(lasts)), *[numbers(1, x) for x in lasts]),
+            box("stsz", numbers(0, 0, len(sizes)), numbers(*sizes)), box("stsc", numbers(0, len(rule)), *[numbers(*x) for x in rule]), box("co64", numbers(0, len(chunk)), numbers(*chunk, width=8)),
+        ]
+        media = box("mdia", box("mdhd", clocked(lasts, timescale), bytes(4)), box("hdlr", numbers(0, 0), handler.encode(), bytes(13)), box("minf", box("stbl", *tables)))
+        traks.append(box("trak", box("tkhd", numbers(0, 0, 0, number, 0), bytes(64)), media))
+    longest = max((lasts for _, lasts in every), key=sum, default=[])
+    movie = box("moov", box("mvhd", clocked(longest, timescale), bytes(80)), *traks)
+    return b"".join([data, *(x for samples, _ in every for x in samples), movie])
+
+
+def clocked(lasts: list[int], timescale: int) -> bytes:
+    return numbers(0, 0, 0, timescale, min(sum(lasts), 0xFFFFFFFF))

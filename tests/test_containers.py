@@ -112,3 +112,27 @@ def test_readings_are_spread_over_frames(spark):
     df = spark.createDataFrame([(1, 0.0, [1, 2]), (1, 1.0, [3, 4, 5, 6]), (1, 3.0, [7, 8]), (2, 5.0, [9])], "clip int, t double, x array<int>")
     got = {r.reading: r.t for r in wire.spread(df, ["clip"], "t", "x").collect()}
     assert got == {1: 0.0, 2: 0.5, 3: 1.0, 4: 1.5, 5: 2.0, 6: 2.5, 7: 3.0, 8: 4.0, 9: 5.0}
+
+
+def test_small_files_share_tasks_and_hold_tracks(spark, tmp_path):
+    """Many small files are few tasks, which planning does not open; a file's tracks come apart again."""
+    own = {(i, n): [bytes([i % 256, n, j]) * (j % 5) for j in range(20 + n)] for i in range(300) for n in (1, 2, 3)}
+    for i in range(300):
+        (tmp_path / f"{i}.mp4").write_bytes(container.boxed_tracks([(own[i, n], [n] * (20 + n)) for n in (1, 2, 3)], 100))
+    files = container.files_in(f"file://{tmp_path}")
+    small, large = container.bundles([*files, ("big", 1 << 30)], 64 << 20, 100_000)
+    assert len(small) == 1 and large == ["big"] and len(small[0].files) == 300
+    assert len(container.bundles(files * 10, 64 << 20, 100_000)[0]) == 6
+    spark.dataSource.register(container.SampleSource)
+    df = spark.read.format("boxed_samples").load(f"file://{tmp_path}")
+    assert df.rdd.getNumPartitions() == 1
+    got = {(int(r.file.rpartition("/")[2][:-4]), r.track, r.sample): (bytes(r.data), r.dts) for r in df.collect()}
+    assert got == {(i, n, j): (x, j * n) for (i, n), part in own.items() for j, x in enumerate(part)}
+
+
+def test_events_take_few_files(spark, tmp_path):
+    from kinesieve.plans import containers
+
+    rows = spark.range(9000).selectExpr("id % 1500 as clip_id", "id as event_id", "id * 1000 as t", "'x' as event_type", "cast(id as double) as value", "cast(id % 7 as int) as k")
+    files = containers.write_containers(rows, f"file://{tmp_path}").collect()
+    assert len(files) == 2 and sum(f.samples for f in files) == 9000 and len(list(tmp_path.glob("*.mp4"))) == 2
