@@ -1,22 +1,23 @@
 """The wide metric row of a measured sequence: what is left over a slow path, by band and by axis.
 
 Signals are steps per row: tx and ty in pixels, rot in radians, logs (log of scale). Their sums are the
-paths. A grouped function filters each segment's paths; everything after that is one aggregation in
+paths. A function over many segments filters each one's paths; everything after that is one aggregation in
 Spark, so segments of a clip are pooled by rows, not by means of means.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinesieve.operators.boards import rms
-from kinesieve.operators.solve import filled, zero_phase
+from kinesieve.operators.solve import filled, over_segments, zero_phase
 
 AXES = ("tx", "ty", "rot", "logs")
 #: Rows that a calm metric needs.
@@ -32,31 +33,27 @@ def filtered_paths(signals: DataFrame, keys: list[str], order: list[str], rate:
     """Per row: the paths' parts above `cut` (hp_<axis>), within each band (b<i>_<axis>), the slow
     speed in pixels per second, and how far the step is from the median of the seven around it
     (jump). Missing steps count as none, but their rows are marked not known."""
-    columns = [*keys, *order]
-    kinds = ", ".join(f"{c} {signals.schema[c].dataType.simpleString()}" for c in columns)
     names = [f"hp_{a}" for a in AXES] + [f"b{i}_{a}" for i in range(len(bands)) for a in AXES] + ["speed", "jump"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out = pdf[columns].copy()
-        known, slow, jump = np.ones(len(pdf), bool), {}, np.zeros(len(pdf))
-        for a in AXES:
-            step = pdf[a].to_numpy(float)
-            known &= np.isfinite(step)
+    def paths(*steps: np.ndarray) -> list[np.ndarray]:
+        high, within, slow, jump = [], [[] for _ in bands], {}, np.zeros(len(steps[0]))
+        for a, step in zip(AXES, steps):
             step = np.where(np.isfinite(step), step, 0.0)
             path = filled(np.cumsum(step))
             low = {f: zero_phase(path, f, rate) for f in {cut, *(x for b in bands for x in b)}}
-            out[f"hp_{a}"] = path - low[cut]
-            for i, (lo, hi) in enumerate(bands):
-                out[f"b{i}_{a}"] = low[hi] - low[lo]
+            high.append(path - low[cut])
+            for part, (lo, hi) in zip(within, bands):
+                part.append(low[hi] - low[lo])
             slow[a] = np.gradient(low[cut]) * rate if len(path) > 1 else np.zeros(1)
             if a in ("tx", "ty"):
                 wide = np.pad(step, 3, mode="edge")
                 jump += (step - np.median(np.lib.stride_tricks.sliding_window_view(wide, 7), axis=1)) ** 2
-        out["speed"], out["jump"], out["known"] = np.hypot(slow["tx"], slow["ty"]), np.sqrt(jump), known
-        return out
+        return [*high, *(x for part in within for x in part), np.hypot(slow["tx"], slow["ty"]), np.sqrt(jump)]
 
-    return signals.select(*columns, *AXES).groupBy(*keys).applyInPandas(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}, known boolean")
+    out = over_segments(signals, keys, order, list(AXES), names, paths)
+    fine = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    known = reduce(and_, (fine(a) for a in AXES))
+    return out.select(*keys, *order, *names, known.alias("known"))
 
 
 def energy(prefix: str, reach: float) -> Column:
