@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinesieve.operators import boards as B
 from kinesieve.operators import seq
 from kinesieve.plans.sequences import KEYS, ORDER, O, S, events
+from kinesieve.sources.rounds import settled
 from kinesieve.sources.tables import table
 
 SIGMA = 0.02
@@ -47,7 +48,7 @@ def board_shifts(spark, sf_dir):
 
 def repeated_runs(spark, sf_dir):
     """Two runs of the windows, one of which has lost every fifth calm metric."""
-    one = windows(spark, sf_dir)
+    one = settled(windows(spark, sf_dir), "windows")  # read twice, but summed once
     two = one.withColumn("calm", F.when(F.col("window") % 5 != 0, F.col("calm")))
     return B.same_runs(one, two, ["window"], ["hf", "calm", "crop"])
 

@@ -20,3 +20,11 @@ def test_nothing_else_imports_them():
     for path in (ROOT / "kinesieve").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
             assert "kinesieve.llm" not in path.read_text()
+
+
+def test_repeated_runs_sums_once(spark):
+    """Both runs read one table of windows; sums made twice could differ in their last digits."""
+    from kinesieve.plans import boards
+
+    out = boards.repeated_runs(spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for f in out.inputFiles()) and out.count()
