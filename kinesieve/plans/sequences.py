@@ -52,9 +52,12 @@ def true_runs(spark, sf_dir):
 
 
 def sign_continuity(spark, sf_dir):
-    df = events(spark, sf_dir).withColumn("x", F.col("value") - F.avg("value").over(seq.W.partitionBy(*KEYS)))
+    whole = seq.ordered(KEYS, ORDER).rowsBetween(seq.W.unboundedPreceding, seq.W.unboundedFollowing)  # summed in order, so always to the same
+    df = events(spark, sf_dir).withColumn("x", F.col("value") - F.avg("value").over(whole))
     product = F.col("x") * F.lag("x").over(seq.ordered(KEYS, ORDER))
-    return df.withColumn("p", product).select("clip_id", "event_id", F.round(seq.keep_sign(F.col("x"), F.col("p"), KEYS, ORDER), 5).alias("x"))
+    df = df.withColumn("p", product).withColumn("y", seq.keep_sign(F.col("x"), F.col("p"), KEYS, ORDER))
+    # halves away from zero as the SQL finds them, in the scaled number and not in its decimal digits
+    return df.select("clip_id", "event_id", (F.signum("y") * F.floor(F.abs("y") * 1e5 + 0.5) / 1e5).alias("x"))
 
 
 def gap_interpolate(spark, sf_dir):

@@ -28,3 +28,15 @@ def test_repeated_runs_sums_once(spark):
 
     out = boards.repeated_runs(spark, "/root/testdata/sf0.001")
     assert not any("lineitem" in f for f in out.inputFiles()) and out.count()
+
+
+def test_sign_continuity_is_of_sums_in_order(spark, tmp_path):
+    """However rows are dealt over tasks, means and the halves that they decide stay as they are on one."""
+    from kinesieve.plans import sequences
+
+    rows = spark.range(64 * 40).selectExpr("id as event_id", "timestamp_micros(id * 1000003) as ts", "id % 40 as user_id", "'view' as event_type", "round((id * 7919 % 24677) / 100.0D, 2) as value", "'{}' as props")
+    found = []
+    for n in (1, 7):
+        rows.repartition(n, "event_id").write.parquet(f"{tmp_path}/{n}/events.parquet")
+        found.append({(r.clip_id, r.event_id): r.x for r in sequences.sign_continuity(spark, f"{tmp_path}/{n}").collect()})
+    assert found[0] == found[1] and len(found[0]) == 64 * 40
