@@ -1,7 +1,7 @@
 """Robust non-linear least squares whose normal equations are sums in Spark.
 
 A model gives a row's residuals as expressions of the unknowns, which are columns or numbers. Derivatives
-are differences at given steps. Residuals count by a Cauchy loss, log(1 + |r|^2 / c^2), through its weights;
+are differences at given steps. A model of many parts may be written over arrays instead (Batched). Residuals count by a Cauchy loss, log(1 + |r|^2 / c^2), through its weights;
 unknowns are held near a prior. Every round is one aggregation of the rows, with partial sums before the
 shuffle, so a group of any share of the rows is fine; what follows works on one row a group. Steps are
 damped after Levenberg and Marquardt and only taken where they lower the cost.
@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinesieve.operators.partial import added
 from kinesieve.sources.rounds import settled
 
 Model = Callable[[list[Column]], list[Column]]
@@ -39,28 +40,55 @@ class Unknown:
     high: float = 1e300
 
 
-def sums(rows: DataFrame, keys: list[str], model: Model, values: list[Column], unknowns: list[Unknown], c: float) -> DataFrame:
+@dataclass(frozen=True)
+class Batched:
+    """A model over many rows at once: residuals(columns, values) gets an array for each of `columns`
+    and of the unknowns, and returns one for each residual. Missing numbers are NaN."""
+
+    columns: dict[str, Column]
+    residuals: Callable[[dict[str, np.ndarray], list[np.ndarray]], list[np.ndarray]]
+
+
+def products(r: np.ndarray, step: np.ndarray, c: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows take part, and what each adds to (n, loss, a, g); r: residuals (set, residual, row)."""
+    j = (r[1:] - r[0]) / step[:, None, None]
+    fine = (np.abs(r[0]) < 1e300).all(axis=0) & (np.abs(j) < 1e300).all(axis=(0, 1))
+    r, j = (r[0], j) if fine.all() else (r[0][:, fine], j[:, :, fine])
+    share = (r * r).sum(axis=0) / (c * c)
+    w = 1 / (1 + share)
+    dot = lambda x, y: np.einsum("ij,ij->j", x, y)
+    weighed = [w * x for x in j]
+    entry = [dot(weighed[a], j[b]) for a, b in zip(*np.triu_indices(len(j)))]
+    return fine, [np.ones(len(w)), np.log1p(share) * c * c, *entry, *[dot(x, r) for x in weighed]]
+
+
+def over_arrays(names: list[str], residuals: Callable, step: np.ndarray) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """Residuals (set, residual, row) from columns and unknowns: at the unknowns, then with a step of each."""
+
+    def run(columns: list[np.ndarray]) -> np.ndarray:
+        own, at = dict(zip(names, columns)), columns[len(names) :]
+        return np.array([residuals(own, [v + step[j] if i == j else v for j, v in enumerate(at)]) for i in range(-1, len(at))])
+
+    return run
+
+
+def sums(rows: DataFrame, keys: list[str], model: Model | Batched, values: list[Column], unknowns: list[Unknown], c: float) -> DataFrame:
     """(keys, n, loss, a, g): per group the upper triangle of J'WJ by rows and J'Wr, at `values`.
 
     Rows with a residual that is null or not finite take no part.
     """
-    k = len(unknowns)
-    # the model is written once and evaluated at each set of values, which keeps plans small
-    sets = [F.array(*[(v + (u.step if i == j else 0.0)).cast("double") for j, (u, v) in enumerate(zip(unknowns, values))]) for i in range(-1, k)]
-    tried = F.transform(F.array(*sets), lambda p: F.array(*[x.cast("double") for x in model([p[i] for i in range(k)])]))
-    # exploding lists of one keeps Spark from writing these expressions out at each place that uses them
-    found = rows.select(*keys, F.explode_outer(F.array(tried)).alias("tried"))
-    step = F.array(*[F.lit(float(u.step)) for u in unknowns])
-    slopes = F.zip_with(F.slice("tried", 2, k), step, lambda m, h: F.zip_with(m, F.col("tried")[0], lambda x, y: (x - y) / h))
-    found = found.select(*keys, F.explode_outer(F.array(F.struct(F.col("tried")[0].alias("r"), slopes.alias("j")))).alias("e")).select(*keys, "e.r", "e.j")
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300)
-    found = found.filter(F.forall("r", fine) & F.forall("j", lambda x: F.forall(x, fine)))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    square = dot(F.col("r"), F.col("r"))
-    weighed = found.withColumn("square", square).withColumn("w", 1 / (1 + F.col("square") / (c * c)))
-    entry = [F.sum(F.col("w") * dot(F.col("j")[a], F.col("j")[b])) for a in range(k) for b in range(a, k)]
-    right = [F.sum(F.col("w") * dot(F.col("j")[a], F.col("r"))) for a in range(k)]
-    return weighed.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(F.log1p(F.col("square") / (c * c))) * c * c).alias("loss"), F.array(*entry).alias("a"), F.array(*right).alias("g"))
+    k, step = len(unknowns), np.array([u.step for u in unknowns])
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))
+    if isinstance(model, Batched):
+        given, residuals = [*model.columns.values(), *values], over_arrays(list(model.columns), model.residuals, step)
+    else:
+        tried = [model([v + u.step if i == j else v for j, (u, v) in enumerate(zip(unknowns, values))]) for i in range(-1, k)]
+        given, residuals = [x for one in tried for x in one], lambda columns: np.array(columns).reshape(k + 1, -1, len(columns[0]))
+    flat = rows.select(*keys, *[number(x).alias(f"__{i}") for i, x in enumerate(given)])
+    p = 2 + k * (k + 1) // 2 + k
+    found = added(flat, keys, p, lambda columns: products(residuals(columns), step, c))
+    total = [F.col(f"s{i}") for i in range(p)]
+    return found.select(*keys, total[0].cast("long").alias("n"), total[1].alias("loss"), F.array(*total[2 : p - k]).alias("a"), F.array(*total[p - k :]).alias("g"))
 
 
 def matrix(upper: list[float], k: int) -> np.ndarray:
@@ -88,7 +116,7 @@ def damped_step(a: np.ndarray, g: np.ndarray, damping: float) -> np.ndarray:
 STATE = "x array<double>, best array<double>, cost double, a array<double>, g array<double>, n long, damping double, move double"
 
 
-def fit_groups(rows: DataFrame, keys: list[str], model: Model, unknowns: list[Unknown], c: float, rounds: int = 12, starts: DataFrame | None = None) -> DataFrame:
+def fit_groups(rows: DataFrame, keys: list[str], model: Model | Batched, unknowns: list[Unknown], c: float, rounds: int = 12, starts: DataFrame | None = None) -> DataFrame:
     """(keys, best, cost, n, a, g, move): each group's unknowns; a and g are the equations there, move
     the last step tried. starts: (keys, x) in place of the unknowns' own starts.
 
@@ -108,8 +136,8 @@ def fit_groups(rows: DataFrame, keys: list[str], model: Model, unknowns: list[Un
             yield pdf[keys].assign(**{name: [o[name] for o in out] for name in ("x", "best", "cost", "a", "g", "n", "damping", "move")})
 
     for _ in range(rounds):
-        values = [F.col("__x")[i] for i in range(k)]
-        here = sums(rows.join(state.select(*keys, F.col("x").alias("__x")), keys), keys, model, values, unknowns, c)
+        values = [F.col(f"__x{i}") for i in range(k)]
+        here = sums(rows.join(state.select(*keys, *[F.col("x")[i].alias(f"__x{i}") for i in range(k)]), keys), keys, model, values, unknowns, c)
         here = here.select(*keys, F.col("n").alias("new_n"), "loss", F.col("a").alias("new_a"), F.col("g").alias("new_g"))
         state = settled(state.join(here, keys, "left").mapInPandas(step, f"{kinds}, {STATE}"), "fit")
     return state.drop("x", "damping")
@@ -173,9 +201,9 @@ def fit_shared(
         return run
 
     for _ in range(rounds):
-        values = lambda: ([F.lit(float(x)) for x in trial], [F.col("__own")[i] for i in range(m)])
-        at, mine = values()
-        here = sums(rows.join(state.withColumnRenamed("own", "__own"), keys), keys, lambda v: model(v[:k], v[k:]), at + mine, every, c)
+        at = [F.lit(float(x)) for x in trial] + [F.col(f"__own{i}") for i in range(m)]
+        mine = state.select(*keys, *[F.col("own")[i].alias(f"__own{i}") for i in range(m)])
+        here = sums(rows.join(mine, keys), keys, lambda v: model(v[:k], v[k:]), at, every, c)
         here = settled(state.join(here, keys), "fit-groups")
         parts = here.mapInPandas(reduced(damping), REDUCED)
         total = parts.agg(*[F.sum(F.col("a")[i]) for i in range(k * k)], *[F.sum(F.col("g")[i]) for i in range(k)], F.sum("loss"), F.sum("n")).first()

@@ -7,12 +7,15 @@ f * x / z of Q (r + tau * (spin x r)), with the picture's centre added.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinesieve.functions.lens import project, unproject
+from kinesieve.functions.lens import project, unprojected
 from kinesieve.functions.rotation import let, qconj, qexp, qmul, qrotate, vec
-from kinesieve.operators.fits import Unknown, fit_groups
+from kinesieve.operators.fits import Batched, Unknown, fit_groups
 from kinesieve.operators.rotfit import fit_rotation
 from kinesieve.sources.rounds import settled
 
@@ -59,20 +62,35 @@ def fit_render(matches: DataFrame, keys: list[str], lens: Column, height: float,
     spin and focal length together. Matches behind the camera or missing take no part.
     """
     seen = matches.filter("source is not null and render is not null")
-    ray = unproject(F.col("source"), lens)
+    ray = F.pandas_udf(unprojected, "x double, y double, z double")(F.col("source.u"), F.col("source.v"), *[lens[k] for k in ("fx", "fy", "cx", "cy", "k1", "k2", "k3", "k4")])
     other = vec((F.col("render.u") - centre[0]) / focal, (F.col("render.v") - centre[1]) / focal, F.lit(1.0))
     rows = seen.select(*keys, "render", ray.alias("ray"), other.alias("other"), row_share(F.col("source.v"), height).alias("tau"))
-    rows = settled(rows, "rays").filter(F.col("ray.z") > 0.08)
+    rows = settled(rows, "rays").filter((F.col("ray.z") > 0.08) & ~F.isnan("ray.z"))
     first = fit_rotation(rows, keys, "ray", "other", 4 * c / focal).select(*keys, F.col("q").alias("first"))
     first = settled(first, "first-turns")
-    rows = settled(rows.join(first, keys).drop("other"), "matches")
-
-    def model(v: list[Column]) -> list[Column]:
-        turn = let(qexp(vec(v[0], v[1], v[2])), lambda e: qmul(e, F.col("first")))
-        there = let(turn, lambda q: shown_at(F.col("ray"), F.col("tau"), q, vec(v[3], v[4], v[5]), focal * F.exp(v[6]), centre))
-        return [F.col("render.u") - there.u, F.col("render.v") - there.v]
-
+    columns = {**{x: F.col(f"ray.{x}") for x in "xyz"}, "tau": F.col("tau"), "u": F.col("render.u"), "v": F.col("render.v"), **{f"first_{x}": F.col("first")[x] for x in "wxyz"}}
     unknowns = [*[Unknown(f"turn_{x}", step=1e-6) for x in "xyz"], *[Unknown(f"spin_{x}", step=1e-5, prior=0.0, sigma=0.1) for x in "xyz"], Unknown("scale", step=1e-6)]
-    found = fit_groups(rows, keys, model, unknowns, c, rounds).join(first, keys)
+    found = fit_groups(rows.drop("other").join(first, keys), keys, Batched(columns, left_over(focal, centre)), unknowns, c, rounds).join(first, keys)
     v = [F.col("best")[i] for i in range(7)]
-    return found.select(*keys, "n", qmul(qexp(vec(v[0], v[1], v[2])), F.col("first")).alias("q"), vec(v[3], v[4], v[5]).alias("spin"), (focal * F.exp(v[6])).alias("focal"), "cost", "move")
+    return found.select(*keys, "n", let(qexp(vec(v[0], v[1], v[2])), lambda e: qmul(e, F.col("first"))).alias("q"), vec(v[3], v[4], v[5]).alias("spin"), (focal * F.exp(v[6])).alias("focal"), "cost", "move")
+
+
+def left_over(focal: float, centre: tuple[float, float]) -> Callable[[dict[str, np.ndarray], list[np.ndarray]], list[np.ndarray]]:
+    """What shown_at() leaves over of matches, for many at once: the unknowns are a turn before the first one, spin
+    and the logarithm of the focal length's share."""
+
+    def residuals(m: dict[str, np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+        turn, spin, ray = values[:3], values[3:6], [m[x] for x in "xyz"]
+        angle = np.sqrt(sum(t * t for t in turn))
+        share = np.where(angle > 0, np.sin(angle / 2) / np.where(angle > 0, angle, 1.0), 0.5)
+        e, f = (np.cos(angle / 2), *[share * t for t in turn]), [m[f"first_{x}"] for x in "wxyz"]
+        w = e[0] * f[0] - e[1] * f[1] - e[2] * f[2] - e[3] * f[3]
+        q = [e[0] * f[i] + e[i] * f[0] + a - b for i, a, b in zip((1, 2, 3), *zip(*[(e[j] * f[k], e[k] * f[j]) for j, k in ((2, 3), (3, 1), (1, 2))]))]
+        cross = lambda a, b: [a[j] * b[k] - a[k] * b[j] for j, k in ((1, 2), (2, 0), (0, 1))]
+        s = [r + m["tau"] * d for r, d in zip(ray, cross(spin, ray))]
+        h = cross(q, s)
+        x, y, z = (a + 2 * (w * b + d) for a, b, d in zip(s, h, cross(q, h)))
+        scale = focal * np.exp(values[6]) / np.where(z > 1e-6, z, np.nan)
+        return [m["u"] - scale * x - centre[0], m["v"] - scale * y - centre[1]]
+
+    return residuals

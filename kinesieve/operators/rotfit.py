@@ -8,10 +8,12 @@ for each group; robust fits repeat it with weights by what the last one left ove
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinesieve.functions.rotation import cauchy_weight, let, qlog, qrotate, quat, vec
+from kinesieve.functions.rotation import let, matrix_of, qlog, quat
+from kinesieve.operators.partial import added
 from kinesieve.sources.rounds import settled
 
 AXES = ("x", "y", "z")
@@ -54,18 +56,39 @@ def turned(m: dict[str, Column]) -> Column:
     return let(flat, lambda k: let(size(k), lambda s: leading(F.transform(k, lambda c, i: F.when(i % 5 == 0, c + s).otherwise(c)))))
 
 
-def sums(rows: DataFrame, keys: list[str], a: str, b: str, weight: Column) -> DataFrame:
-    """(keys, n, weight, left, q): the best rotation of each group, and the weighted mean of |b - Q a|^2 of
-    unit directions."""
-    w = F.coalesce(weight, F.lit(0.0))
-    products = [F.sum(w * F.col(a)[p] * F.col(b)[q]).alias(p + q) for p in AXES for q in AXES]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(w).alias("weight"), *products)
-    out = out.withColumn("q", F.when(F.col("weight") > 0, turned({p + q: F.col(p + q) for p in AXES for q in AXES})))
-    return out.select(*keys, "n", "weight", "q")
+def unit(v: list[np.ndarray]) -> list[np.ndarray]:
+    size = np.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    return [x / size for x in v]
 
 
-def unit(v: Column) -> Column:
-    return let(F.sqrt(v.x * v.x + v.y * v.y + v.z * v.z), lambda n: F.when(n > 0, vec(v.x / n, v.y / n, v.z / n)))
+def compared(rows: DataFrame, keys: list[str], found: DataFrame | None, c: float, quality: bool = False) -> DataFrame:
+    """Sums over rows (keys, given, a_x .. b_z), weighted by how far b is from a as found(keys, q) turns it:
+    (n, weight, nine products), or with `quality` (n, weight, of squared distances, inliers)."""
+    if found is not None:
+        turn = found.select(*keys, matrix_of(F.col("q")).alias("__m")).select(*keys, *[F.col("__m")[i].alias(f"__m{i}") for i in range(9)])
+        rows = rows.join(turn, keys)
+
+    def parts(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        w, a, b = columns[0], unit(columns[1:4]), unit(columns[4:7])
+        fine = (w > 0) & np.isfinite(sum(a)) & np.isfinite(sum(b))
+        if not fine.all():
+            columns, w, a, b = [x[fine] for x in columns], w[fine], [x[fine] for x in a], [x[fine] for x in b]
+        r = np.zeros(len(w))
+        if len(columns) > 7:
+            m = columns[7:]
+            r = sum((m[3 * i] * a[0] + m[3 * i + 1] * a[1] + m[3 * i + 2] * a[2] - b[i]) ** 2 for i in range(3))
+            w = w / (1 + r / (c * c))
+        if quality:
+            return fine, [np.ones(len(w)), w, w * r, (np.sqrt(r) < 3 * c).astype(float)]
+        return fine, [np.ones(len(w)), w, *[w * x * y for x in a for y in b]]
+
+    return added(rows, keys, 4 if quality else 11, parts)
+
+
+def best_turns(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, q) from the sums of compared()."""
+    named = sums.select(*keys, F.col("s0").cast("long").alias("n"), *[F.col(f"s{2 + 3 * i + j}").alias(p + q) for i, p in enumerate(AXES) for j, q in enumerate(AXES)])
+    return named.select(*keys, "n", turned({p + q: F.col(p + q) for p in AXES for q in AXES}).alias("q"))
 
 
 def fit_rotation(rows: DataFrame, keys: list[str], a: str, b: str, c: float, weight: str | None = None, rounds: int = 5) -> DataFrame:
@@ -76,18 +99,12 @@ def fit_rotation(rows: DataFrame, keys: list[str], a: str, b: str, c: float, wei
     Rows with a null, zero or not finite direction take no part; a group without any is missing. Keys
     must not be null. Of less than two different directions some rotation is returned.
     """
-    own = rows.select(*keys, unit(F.col(a)).alias("__a"), unit(F.col(b)).alias("__b"), F.lit(1.0).alias("__w") if weight is None else F.col(weight).cast("double").alias("__w"))
-    size = lambda v: F.abs(F.col(v).x) + F.abs(F.col(v).y) + F.abs(F.col(v).z)
-    own = own.filter((size("__a") < 2) & (size("__b") < 2) & (F.col("__w") > 0))
-
-    def away(q: Column) -> Column:
-        return let(qrotate(q, F.col("__a")), lambda r: F.sqrt(F.pow(r.x - F.col("__b").x, 2) + F.pow(r.y - F.col("__b").y, 2) + F.pow(r.z - F.col("__b").z, 2)))
-
-    found = settled(sums(own, keys, "__a", "__b", F.col("__w")), "rotations")
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))
+    parts = {f"__{name}{p}": F.col(v)[p] for name, v in (("a", a), ("b", b)) for p in AXES}
+    given = F.lit(1.0) if weight is None else F.col(weight)
+    own = rows.select(*keys, number(given).alias("__given"), *[number(v).alias(k) for k, v in parts.items()])
+    found = settled(best_turns(compared(own, keys, None, c), keys), "rotations")
     for _ in range(rounds - 1):
-        near = own.join(found.select(*keys, "q"), keys).withColumn("__r", away(F.col("q"))).drop("q")
-        found = settled(sums(near, keys, "__a", "__b", F.col("__w") * cauchy_weight(F.col("__r"), c)), "rotations")
-    left = own.join(found.select(*keys, "q"), keys).withColumn("__r", away(F.col("q")))
-    w = F.col("__w") * cauchy_weight(F.col("__r"), c)
-    quality = left.groupBy(*keys).agg(F.sqrt(F.sum(w * F.col("__r") * F.col("__r")) / F.sum(w)).alias("rms"), F.avg((F.col("__r") < 3 * c).cast("double")).alias("inliers"))
-    return found.join(quality, keys).select(*keys, "n", "q", qlog(F.col("q")).alias("rotvec"), "rms", "inliers")
+        found = settled(best_turns(compared(own, keys, found, c), keys), "rotations")
+    left = compared(own, keys, found, c, quality=True).select(*keys, F.sqrt(F.col("s2") / F.col("s1")).alias("rms"), (F.col("s3") / F.col("s0")).alias("inliers"))
+    return found.join(left, keys).select(*keys, "n", "q", qlog(F.col("q")).alias("rotvec"), "rms", "inliers")

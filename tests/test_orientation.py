@@ -1,10 +1,15 @@
 """Filters and rates of orientations, and render models, against plain NumPy."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from kinesieve.functions.lens import unproject, unprojected
 from kinesieve.functions.rotation import qexp, vec
 from kinesieve.operators import orientation, rendering, solve
+from kinesieve.plans import rotations
+from tests.conftest import SMALL
 from tests.test_rotations import matrix
 
 
@@ -77,3 +82,20 @@ def test_render_models_are_found_and_inverted(spark):
     good = [i for i in range(400) if i % 12]
     found = df.filter("source is not null").select("source", back.alias("b")).collect()
     assert max(abs(found[i].b.u - found[i].source.u) + abs(found[i].b.v - found[i].source.v) for i in good) < 0.6
+
+
+def test_render_query_ends(spark):
+    """At this size the fits gave no result in 130 s when each row's expressions were not compiled."""
+    begin = time.time()
+    rows = rotations.fitted_render(spark, SMALL).collect()
+    assert len(rows) == 6 and time.time() - begin < 100
+    assert all(r.n > 9000 and abs(r.q_w**2 + r.q_x**2 + r.q_y**2 + r.q_z**2 - 1) < 1e-3 for r in rows)
+
+
+def test_many_pixels_at_once(spark):
+    rows = [(float(u), float(v)) for u in range(0, 1920, 320) for v in range(0, 1080, 180)] + [(959.5, 539.5), (None, 1.0)]
+    lens = F.struct(*[F.lit(v).alias(k) for k, v in LENS.items()])
+    df = spark.createDataFrame(rows, "u double, v double")
+    fast = F.pandas_udf(unprojected, "x double, y double, z double")("u", "v", *[lens[k] for k in ("fx", "fy", "cx", "cy", "k1", "k2", "k3", "k4")])
+    for r in df.select(unproject(F.struct("u", "v"), lens).alias("a"), fast.alias("b")).collect():
+        assert np.allclose([r.b.x, r.b.y, r.b.z], [np.nan if x is None else x for x in (r.a.x, r.a.y, r.a.z)], atol=1e-12, equal_nan=True)
