@@ -186,9 +186,9 @@ def fit_shared(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, g, loss, n = np.zeros((k, k)), np.zeros(k), 0.0, 0
             for pdf in batches:
-                for r in pdf.to_dict("records"):
-                    s, right, lam, held = eliminated(r, k, own, damping)
-                    a, g, loss, n = a + s, g + right, loss + lam + held, n + int(r["n"])
+                if len(pdf):
+                    s, right, lost = eliminated(pdf, k, own, damping)
+                    a, g, loss, n = a + s, g + right, loss + lost, n + int(pdf["n"].sum())
             yield pd.DataFrame({"a": [a.ravel()], "g": [g], "loss": [loss], "n": [n]})
 
         return run
@@ -196,7 +196,8 @@ def fit_shared(
     def following(shift: np.ndarray, damping: float) -> Callable:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pdf[keys].assign(own=[own_step(r, k, own, damping, shift) for r in pdf.to_dict("records")])
+                if len(pdf):
+                    yield pdf[keys].assign(own=list(own_steps(pdf, k, own, damping, shift)))
 
         return run
 
@@ -227,22 +228,31 @@ def fit_shared(
     return best, begun.join(found, keys, "left").select(*keys, F.coalesce("__found", "own").alias("own"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def split(r: dict, k: int, own: list[Unknown], damping: float) -> tuple:
-    """A group's equations in blocks, the own ones with priors and damping."""
+def split(groups: pd.DataFrame, k: int, own: list[Unknown], damping: float) -> tuple:
+    """The equations of many groups in blocks, the own ones with priors and damping, and the own ones' inverse."""
     m = len(own)
-    full, g = matrix(r["a"], k + m), np.array(r["g"])
-    mine, right, held = with_prior(full[k:, k:], g[k:], np.array(r["own"]), own)
-    size = np.maximum(np.diag(mine), 1e-12)
-    return full[:k, :k], full[:k, k:], mine + damping * np.diag(size), g[:k], right, held
-
-
-def eliminated(r: dict, k: int, own: list[Unknown], damping: float) -> tuple[np.ndarray, np.ndarray, float, float]:
-    a, across, mine, g, right, held = split(r, k, own, damping)
-    solved = np.linalg.lstsq(mine, np.column_stack((across.T, right)), rcond=None)[0]
-    return a - across @ solved[:, :k], g - across @ solved[:, k], r["loss"], held
-
-
-def own_step(r: dict, k: int, own: list[Unknown], damping: float, shift: np.ndarray) -> list[float]:
-    _, across, mine, _, right, _ = split(r, k, own, damping)
-    step = -np.linalg.lstsq(mine, right + across.T @ shift, rcond=None)[0]
-    return clipped(np.array(r["own"]) + step, own).tolist()
+    i, j = np.triu_indices(k + m)
+    full = np.zeros((len(groups), k + m, k + m))
+    full[:, i, j] = full[:, j, i] = np.stack(groups["a"])
+    g = np.stack(groups["g"])
+    hold = np.array([0.0 if u.prior is None else u.sigma**-2 for u in own])
+    off = np.stack(groups["own"]) - np.array([u.prior or 0.0 for u in own])
+    mine = full[:, k:, k:] + np.diag(hold)
+    size = np.maximum(np.diagonal(mine, axis1=1, axis2=2), 1e-12)
+    # the least solution where an own unknown is not determined
+    inverse = np.linalg.pinv(mine + damping * size[:, :, None] * np.eye(m), rcond=np.finfo(float).eps * m)
+    return full[:, :k, :k], full[:, :k, k:], inverse, g[:, :k], g[:, k:] + hold * off, off**2 @ hold
+
+
+def eliminated(groups: pd.DataFrame, k: int, own: list[Unknown], damping: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Equations of the shared unknowns and the cost, added up over groups."""
+    a, across, inverse, g, right, held = split(groups, k, own, damping)
+    back = across @ inverse
+    a = (a - back @ across.transpose(0, 2, 1)).sum(axis=0)
+    return a, (g - (back @ right[:, :, None])[:, :, 0]).sum(axis=0), float(groups["loss"].sum() + held.sum())
+
+
+def own_steps(groups: pd.DataFrame, k: int, own: list[Unknown], damping: float, shift: np.ndarray) -> np.ndarray:
+    _, across, inverse, _, right, _ = split(groups, k, own, damping)
+    step = -(inverse @ (right + shift @ across)[:, :, None])[:, :, 0]
+    return clipped(np.stack(groups["own"]) + step, own)

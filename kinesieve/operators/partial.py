@@ -48,7 +48,7 @@ def added(rows: DataFrame, keys: list[str], count: int, parts: Callable[[list[np
     A group of which no row takes part is missing. Keys must not be null.
     """
     names = [f"s{i}" for i in range(count)]
-    values = [c for c in rows.columns if c not in keys]
+    values, most = [c for c in rows.columns if c not in keys], HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = 0, []  # `held`: groups of the first part, which was merged before
@@ -62,7 +62,7 @@ def added(rows: DataFrame, keys: list[str], count: int, parts: Callable[[list[np
             if sum(len(x[1][0]) for x in waiting) >= max(2 * held, 1 << 16):
                 waiting = [merged(waiting)]
                 held = len(waiting[0][1][0])
-                if held * count > HELD:
+                if held * count > most:
                     yield pa.RecordBatch.from_arrays([*waiting[0][0], *map(pa.array, waiting[0][1])], [*keys, *names])
                     held, waiting = 0, []
         if waiting:
