@@ -98,4 +98,5 @@ def test_many_pixels_at_once(spark):
     df = spark.createDataFrame(rows, "u double, v double")
     fast = F.pandas_udf(unprojected, "x double, y double, z double")("u", "v", *[lens[k] for k in ("fx", "fy", "cx", "cy", "k1", "k2", "k3", "k4")])
     for r in df.select(unproject(F.struct("u", "v"), lens).alias("a"), fast.alias("b")).collect():
-        assert np.allclose([r.b.x, r.b.y, r.b.z], [np.nan if x is None else x for x in (r.a.x, r.a.y, r.a.z)], atol=1e-12, equal_nan=True)
+        b, a = (np.array([v.x, v.y, v.z], float) for v in (r.b, r.a))
+        assert np.allclose(b, a, atol=1e-12, equal_nan=True)
