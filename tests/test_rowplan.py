@@ -94,3 +94,16 @@ def test_windows_of_exposures(spark):
     e = [None, float("nan"), -1.0, 0.002, 0.00275, 0.0035, 0.01, 9.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in e], "e double").coalesce(1).select(rowplan.averaged_time(F.col("e"))).collect()]
     assert np.allclose(got, [0, 0, 0, 0, 0.001375, 0.0035, 0.01, 0.05])
+
+
+def test_the_largest_tie_counts_on_both_sides_and_taps_are_not_moved(spark):
+    turns = [tuple(map(float, q)) for q in turn_of(np.array([[0.0, 0.0, x] for x in (0.0, 0.1, 0.2, 0.9, 0.4)]))]
+    samples = spark.createDataFrame([(1, t, tie, q) for (t, tie), q in zip(((0.0, 1), (0.0, 2), (1.0, 9), (1.0, 3), (1.0, 4)), turns)], SAMPLES)
+    frames = spark.createDataFrame([(1, 0, 0.5, None, (1.0, 0.0, 0.0, 0.0))], FRAMES)
+    for cell in (8.0, 0.4):
+        got = rowplan.row_matrices(frames, samples, "clip", 720, 2, cell=cell)
+        for r in got.collect():
+            assert np.allclose(np.reshape(r.m, (3, 3)), rotation(turn_of(np.array([[0.0, 0.0, 0.15]]))[0]).T, atol=1e-12)
+    # what is shuffled are frames and samples: nothing explodes to the times of a row
+    plan = rowplan.row_matrices(frames, samples, "clip", 720, 2, rate=1000.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "tap" not in plan
