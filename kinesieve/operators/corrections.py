@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinesieve.functions.rotation import qexp, qlog, qmul, quat, vec
-from kinesieve.operators.solve import guarded_jumps, limited_steps, pair_weights, weighted_integral, zero_phase4
-from kinesieve.operators.windows import STRETCH, solve_windows
+from kinesieve.operators.solve import guarded_paths, limited_paths, pair_weights, weighted_integrals, zero_phase4
+from kinesieve.operators.windows import STRETCH, equally_long, solve_windows
 
 
 @dataclass(frozen=True)
@@ -36,40 +36,52 @@ class Folding:
 
 
 def averaged(x: np.ndarray, half: int) -> np.ndarray:
-    """Running mean over `half` rows to either side, at the ends over those that there are."""
-    total = np.concatenate(([0.0], np.cumsum(x)))
-    at = np.arange(len(x))
-    low, high = np.maximum(at - half, 0), np.minimum(at + half + 1, len(x))
-    return (total[high] - total[low]) / (high - low)
+    """Running mean along the last axis over `half` rows to either side, at the ends over those that there are."""
+    total = np.concatenate((np.zeros((*x.shape[:-1], 1)), np.cumsum(x, axis=-1)), axis=-1)
+    at = np.arange(x.shape[-1])
+    low, high = np.maximum(at - half, 0), np.minimum(at + half + 1, x.shape[-1])
+    return (total[..., high] - total[..., low]) / (high - low)
+
+
+def known_median(x: np.ndarray) -> np.ndarray:
+    """Median along the last axis of what is not NaN; NaN where all is."""
+    ordered, n = np.sort(x, axis=-1), (~np.isnan(x)).sum(axis=-1)[..., None]
+    low, high = (np.take_along_axis(ordered, i, axis=-1)[..., 0] for i in (np.maximum(n - 1, 0) // 2, n // 2))
+    return (low + high) / 2
 
 
 def strays(error: np.ndarray, weight: np.ndarray, times: float) -> np.ndarray:
-    """Errors (rows, axes) that are further from the median of the nine around them than `times` the usual
-    distance of trusted ones."""
-    if len(error) < 9:
-        return np.zeros(len(error), bool)
-    known = np.where((weight > 0)[:, None], error, np.nan)
-    wide = np.lib.stride_tricks.sliding_window_view(np.pad(known, ((4, 4), (0, 0)), constant_values=np.nan), 9, axis=0)
-    some = np.isfinite(wide).any(axis=2)
-    usual = np.where(some, np.nanmedian(np.where(some[:, :, None], wide, 0.0), axis=2), 0.0)
-    away = np.sqrt(((error - usual) ** 2).sum(axis=1))
-    good = away[weight > 0]
-    return (weight > 0) & (away > times * 1.4826 * max(np.median(good), 1e-12)) if len(good) else np.zeros(len(error), bool)
+    """Errors (runs, rows, axes) that are further from the median of the nine around them than `times` the usual
+    distance of the run's trusted ones."""
+    if error.shape[1] < 9:
+        return np.zeros(weight.shape, bool)
+    known = np.where((weight > 0)[:, :, None], error, np.nan)
+    wide = np.lib.stride_tricks.sliding_window_view(np.pad(known, ((0, 0), (4, 4), (0, 0)), constant_values=np.nan), 9, axis=1)
+    usual = np.nan_to_num(known_median(wide))
+    away = np.sqrt(((error - usual) ** 2).sum(axis=2))
+    typical = known_median(np.where(weight > 0, away, np.nan))
+    return (weight > 0) & (away > times * 1.4826 * np.maximum(typical, 1e-12)[:, None])
 
 
 def correction(error: np.ndarray, trust: np.ndarray, f: Folding) -> np.ndarray:
     """The correction (rows, axes) of one run of rows: error[i] is that of the step from row i - 1 to i,
     missing at the first row."""
-    n = len(error)
-    known = np.isfinite(error).all(axis=1) & np.isfinite(trust)
+    return corrected(error[None], trust[None], f)[0]
+
+
+def corrected(error: np.ndarray, trust: np.ndarray, f: Folding) -> np.ndarray:
+    """correction() of many runs of one length: errors and result (runs, rows, axes)."""
+    n, out = error.shape[1], np.zeros(error.shape)
+    known = np.isfinite(error).all(axis=2) & np.isfinite(trust)
     weight = np.where(known, pair_weights(np.nan_to_num(trust)), 0.0)
-    weight[:1] = 0.0
-    error = np.where(known[:, None], error, 0.0)
-    if n < 3 or (weight > 0).sum() < 2:
-        return np.zeros_like(error)
+    weight[:, :1] = 0.0
+    some = (weight > 0).sum(axis=1) >= 2
+    if n < 3 or not some.any():
+        return out
+    error, weight = np.where(known[:, :, None], error, 0.0)[some], weight[some]
     weight = np.where(strays(error, weight, f.stray), 0.0, weight)
-    path = np.stack([weighted_integral(e[1:], weight[1:], rate=f.rate) for e in error.T], axis=1)
-    path = np.stack([p - (zero_phase4(p, f.slow, f.rate) if n >= 16 else p.mean()) for p in path.T], axis=1)
+    path = np.swapaxes(weighted_integrals(error[:, 1:], weight[:, 1:], rate=f.rate), 1, 2)  # (runs, axes, rows)
+    path = path - (zero_phase4(path, f.slow, f.rate) if n >= 16 else path.mean(axis=2, keepdims=True))
     held = averaged(weight, max(1, round(f.rate / 8)))
     fade = averaged(np.clip((held - 0.15) / 0.2, 0.0, 1.0), max(1, round(0.15 * f.rate / 2)))
     path = path * fade[:, None]
@@ -79,8 +91,9 @@ def correction(error: np.ndarray, trust: np.ndarray, f: Folding) -> np.ndarray:
     path = path * (soft / np.maximum(size, 1e-300))[:, None]
     half = max(2, round(0.05 * f.rate))
     support = averaged(weight, 2)
-    out = [guarded_jumps(limited_steps(p, half, f.step), support, f.jump, least=f.support) for p in path.T]
-    return np.stack(out, axis=1)
+    guarded = [guarded_paths(limited_paths(path[:, a], half, f.step), support, f.jump, least=f.support) for a in range(path.shape[1])]
+    out[some] = np.stack(guarded, axis=2)
+    return out
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], errors: list[str], trust: str, out: list[str], folding: Folding, core: int = 4096, overlap: int = 1024, stretch: int = STRETCH) -> DataFrame:
@@ -90,8 +103,10 @@ def fold(df: DataFrame, keys: list[str], order: list[str], errors: list[str], tr
 
     def solve(offsets: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
         error = np.stack(values[:-1], axis=1)
-        found = [correction(error[i:j], values[-1][i:j], folding) for i, j in zip(offsets, offsets[1:])]
-        return list(np.concatenate(found).T) if found else [np.zeros(0)] * len(out)
+        found = np.zeros(error.shape)
+        for index in equally_long(offsets):
+            found[index] = corrected(error[index], values[-1][index], folding)
+        return list(found.T)
 
     return solve_windows(df, keys, order, [*errors, trust], out, solve, core, overlap, stretch)
 

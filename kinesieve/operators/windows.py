@@ -82,3 +82,12 @@ def alike(offsets: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray
         mask = reach < lengths[part][:, None]
         yield offsets[part][:, None] + np.minimum(reach, lengths[part][:, None] - 1), mask, part
         i = j
+
+
+def equally_long(offsets: np.ndarray, most: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Windows of one length together: index (windows, rows) into the flat arrays."""
+    lengths = np.diff(offsets)
+    for size in np.unique(lengths):
+        starts, some = offsets[:-1][lengths == size], max(1, most // max(int(size), 1))
+        for i in range(0, len(starts), some):
+            yield starts[i : i + some, None] + np.arange(size)

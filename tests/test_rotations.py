@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinesieve.operators import corrections, rotfit
 from kinesieve.operators.corrections import Folding
+from kinesieve.operators.solve import solve_systems, weighted_integrals
 
 
 def matrix(v):
@@ -125,3 +126,40 @@ def test_rounds_are_accepted_by_window(spark):
     out = {(r.clip, r.place): r for r in corrections.blended(df, windows, ["clip"], "place", turn, 100).collect()}
     assert out[1, 20].share == 1.0 and out[1, 250].share == 0.0 and abs(out[1, 99].share - out[1, 100].share) < 0.05
     assert out[1, 20].rotvec.z == -2.0 and out[2, 0].share == 0.0
+
+
+def test_runs_of_one_length_are_corrected_at_once():
+    rng = np.random.default_rng(8)
+    f = Folding(rate=8.0, slow=0.4, bound=0.4, step=0.15, jump=0.3)
+    for n in (1, 2, 7, 8, 15, 16, 40):
+        error, trust = rng.normal(0, 0.2, (12, n, 3)), rng.random((12, n))
+        error[rng.random((12, n)) < 0.1], trust[0], trust[1] = np.nan, 0.0, np.nan
+        many = corrections.corrected(error, trust, f)
+        assert (many[:2] == 0).all()
+        for e, t, got in zip(error, trust, many):
+            assert np.allclose(got, corrections.correction(e, t, f), atol=1e-11)
+
+
+def test_many_short_segments_are_not_solved_one_by_one(spark, monkeypatch):
+    from kinesieve.operators import windows
+
+    calls = []
+    error = np.random.default_rng(9).normal(0, 0.1, (300, 12, 4))
+    error[:, :, 3] = 1.0  # trust
+    monkeypatch.setattr(corrections, "solve_windows", lambda df, keys, order, columns, out, solve, *more: calls.append(solve))
+    f = Folding(rate=8.0, slow=0.4, bound=0.4, step=0.15, jump=0.3)
+    corrections.fold(None, ["clip"], ["t"], ["x", "y", "z"], "trust", ["a", "b", "c"], f)
+    runs = []
+    monkeypatch.setattr(corrections, "weighted_integrals", lambda v, *more, **named: runs.append(len(v)) or weighted_integrals(v, *more, **named))
+    found = calls[0](np.arange(0, 3601, 12), *error.reshape(-1, 4).T)
+    assert [len(x) for x in found] == [3600] * 3 and runs == [300]
+    offsets = np.array([0, 2, 5, 7, 8])
+    assert sorted(i.tolist() for i in windows.equally_long(offsets)) == [[[0, 1], [5, 6]], [[2, 3, 4]], [[7]]]
+
+
+def test_integrals_are_right_to_rounding():
+    """A run whose steps are mostly missing has a system that is nearly singular."""
+    rng = np.random.default_rng(10)
+    v, w = rng.normal(0, 0.1, (9, 40, 2)), np.where(rng.random((9, 40)) < 0.6, 0.0, rng.random((9, 40)))
+    exact = weighted_integrals(v, w, rate=8.0, by=lambda bands, right: solve_systems(bands.astype(np.longdouble), right.astype(np.longdouble)))
+    assert np.abs(weighted_integrals(v, w, rate=8.0) - exact).max() < 1e-10
