@@ -16,13 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
+from kinesieve.operators.solve import solve_systems
 from kinesieve.operators.windows import STRETCH, alike, solve_windows
 
 #: Coefficients of the first to third difference (fixed values).
 DIFFERENCES = {1: (-1.0, 1.0), 2: (1.0, -2.0, 1.0), 3: (-1.0, 3.0, -3.0, 1.0)}
 BAND = 3
-#: Rows of a block of the elimination.
-ROWS = 12
+#: Rows of a block of the elimination; from so many windows on rows are eliminated one by one over all of them.
+ROWS, MANY = 12, 8
 #: Room of a locked row, and of a row without limit.
 LOCKED, FREE = 1e-3, 1e6
 
@@ -66,6 +67,8 @@ def add_band(bands: np.ndarray, weight: np.ndarray, k: int) -> None:
 def eliminate(bands: np.ndarray, joint: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Solves (band per axis + joint (windows, rows, axes, axes) per row) x = right, for each window."""
     count, n, d = right.shape
+    if count >= MANY:
+        return eliminate_rows(bands, joint, right)
     m, more = ROWS * d, -n % ROWS
     blocks = (n + more) // ROWS
     wide = np.concatenate((bands, np.zeros((*bands.shape[:3], more))), axis=3).reshape(count, d, BAND + 1, blocks, ROWS)
@@ -92,6 +95,19 @@ def eliminate(bands: np.ndarray, joint: np.ndarray, right: np.ndarray) -> np.nda
     return out.reshape(count, blocks * ROWS, d)[:, :n]
 
 
+def eliminate_rows(bands: np.ndarray, joint: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """As eliminate(), row by row over all windows at once: a row's axes are neighbours in one band."""
+    count, n, d = right.shape
+    wide = np.zeros((BAND * d + 1, n * d, count))
+    for b in range(BAND + 1):
+        wide[b * d] = bands[:, :, b].transpose(2, 1, 0).reshape(n * d, count)
+    for a in range(d):
+        for b in range(a + 1):
+            wide[a - b, a::d] += joint[:, :, a, b].T
+    out = solve_systems(wide, right.reshape(count, n * d).T[:, None])
+    return out[:, 0].T.reshape(count, n, d)
+
+
 def terms(calm: Calm, x: np.ndarray, u: np.ndarray, trust: np.ndarray, inside: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the objective at x + u, and the bands of a curvature that bounds it."""
     count, n, d = u.shape

@@ -128,3 +128,19 @@ def test_odd_segments(spark):
 def test_query(spark):
     df = plans.planned_path(spark, TINY)
     assert df.count() == 1000 and df.filter("path_value is null").count() == 0
+
+
+def test_many_windows_are_eliminated_together_as_alone(monkeypatch):
+    rng = np.random.default_rng(12)
+    for d in (1, 2, 3):
+        count, n = 520, 17
+        bands = rng.normal(size=(count, d, paths.BAND + 1, n))
+        bands[:, :, 0] = 30
+        for b in range(paths.BAND + 1):
+            bands[:, :, b, :b] = 0
+        half = rng.normal(size=(count, n, d, d))
+        joint, right = half @ np.swapaxes(half, 2, 3), rng.normal(size=(count, n, d))
+        few = np.concatenate([paths.eliminate(bands[i : i + 4], joint[i : i + 4], right[i : i + 4]) for i in range(0, count, 4)])
+        with monkeypatch.context() as patch:
+            patch.setattr(np.linalg, "inv", None)  # no dense blocks
+            assert np.allclose(paths.eliminate(bands, joint, right), few, atol=1e-12)
