@@ -1,7 +1,8 @@
 """Robust non-linear least squares whose normal equations are sums in Spark.
 
 A model gives a row's residuals as expressions of the unknowns, which are columns or numbers. Derivatives
-are differences at given steps. A model of many parts may be written over arrays instead (Batched). Residuals count by a Cauchy loss, log(1 + |r|^2 / c^2), through its weights;
+are differences at given steps. A model of many parts may be written over arrays instead (Batched), also of rows
+that hold many observations (Packed). Residuals count by a Cauchy loss, log(1 + |r|^2 / c^2), through its weights;
 unknowns are held near a prior. Every round is one aggregation of the rows, with partial sums before the
 shuffle, so a group of any share of the rows is fine; what follows works on one row a group. Steps are
 damped after Levenberg and Marquardt and only taken where they lower the cost.
@@ -49,6 +50,16 @@ class Batched:
     residuals: Callable[[dict[str, np.ndarray], list[np.ndarray]], list[np.ndarray]]
 
 
+@dataclass(frozen=True)
+class Packed:
+    """A model over rows that hold many observations each. opened(columns) gives arrays of observations by name and
+    each observation's row, those of a row one after another; residuals() as of Batched, by observations."""
+
+    columns: dict[str, Column]
+    opened: Callable[[list[np.ndarray]], tuple[dict[str, np.ndarray], np.ndarray]]
+    residuals: Callable[[dict[str, np.ndarray], list[np.ndarray]], list[np.ndarray]]
+
+
 def products(r: np.ndarray, step: np.ndarray, c: float) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which rows take part, and what each adds to (n, loss, a, g); r: residuals (set, residual, row)."""
     j = (r[1:] - r[0]) / step[:, None, None]
@@ -72,21 +83,49 @@ def over_arrays(names: list[str], residuals: Callable, step: np.ndarray) -> Call
     return run
 
 
-def sums(rows: DataFrame, keys: list[str], model: Model | Batched, values: list[Column], unknowns: list[Unknown], c: float) -> DataFrame:
+def over_packed(count: int, opened: Callable, residuals: Callable, step: np.ndarray, c: float, part: Callable | None) -> Callable[[list[np.ndarray]], tuple]:
+    """From `count` columns and the unknowns: what stretches of observations of one row and part add to the sums."""
+
+    def run(columns: list[np.ndarray]) -> tuple:
+        own, row = opened(columns[:count])
+        at = [x[row] for x in columns[count:]]
+        r = np.array([residuals(own, [v + step[j] if i == j else v for j, v in enumerate(at)]) for i in range(-1, len(at))])
+        fine, found = products(r, step, c)
+        row, of = row[fine], part(own)[fine] if part else np.zeros(int(fine.sum()), np.int64)
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(first)
+        return row[first], [np.add.reduceat(x, first) if len(first) else x for x in found], *([of[first]] if part else [])
+
+    return run
+
+
+def sums(rows: DataFrame, keys: list[str], model: Model | Batched | Packed, values: list[Column], unknowns: list[Unknown], c: float, part: Callable | None = None) -> DataFrame:
     """(keys, n, loss, a, g): per group the upper triangle of J'WJ by rows and J'Wr, at `values`.
 
-    Rows with a residual that is null or not finite take no part.
+    Rows with a residual that is null or not finite take no part. part(arrays): whole numbers by which the
+    observations of a packed model are told apart further, as `part` beside the keys.
     """
     k, step = len(unknowns), np.array([u.step for u in unknowns])
     number = lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))
+    p = 2 + k * (k + 1) // 2 + k
+    more = {"part": "long"} if part else {}
+    if isinstance(model, Packed):
+        given = [*model.columns.values(), *map(number, values)]
+        found = added(rows.select(*keys, *[x.alias(f"__{i}") for i, x in enumerate(given)]), keys, p, over_packed(len(model.columns), model.opened, model.residuals, step, c, part), more)
+        return equations(found, [*keys, *more], k)
     if isinstance(model, Batched):
         given, residuals = [*model.columns.values(), *values], over_arrays(list(model.columns), model.residuals, step)
     else:
         tried = [model([v + u.step if i == j else v for j, (u, v) in enumerate(zip(unknowns, values))]) for i in range(-1, k)]
         given, residuals = [x for one in tried for x in one], lambda columns: np.array(columns).reshape(k + 1, -1, len(columns[0]))
     flat = rows.select(*keys, *[number(x).alias(f"__{i}") for i, x in enumerate(given)])
+    return equations(added(flat, keys, p, lambda columns: products(residuals(columns), step, c)), keys, k)
+
+
+def equations(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The sums by name."""
     p = 2 + k * (k + 1) // 2 + k
-    found = added(flat, keys, p, lambda columns: products(residuals(columns), step, c))
     total = [F.col(f"s{i}") for i in range(p)]
     return found.select(*keys, total[0].cast("long").alias("n"), total[1].alias("loss"), F.array(*total[2 : p - k]).alias("a"), F.array(*total[p - k :]).alias("g"))
 
@@ -113,10 +152,33 @@ def damped_step(a: np.ndarray, g: np.ndarray, damping: float) -> np.ndarray:
     return -np.linalg.lstsq(a + damping * np.diag(size) + 1e-12 * size.max() * np.eye(len(a)), g, rcond=None)[0]
 
 
+def damped_steps(a: np.ndarray, g: np.ndarray, damping: np.ndarray) -> np.ndarray:
+    """As damped_step(), of many groups."""
+    k = a.shape[1]
+    size = np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-12)
+    u, s, v = np.linalg.svd(a + (damping[:, None] * size + 1e-12 * size.max(axis=1, keepdims=True))[:, :, None] * np.eye(k))
+    share = np.where(s > np.finfo(float).eps * k * s[:, :1], 1 / np.where(s > 0, s, 1.0), 0.0)
+    return -np.einsum("nij,ni->nj", v, share * np.einsum("nij,ni->nj", u, g))
+
+
+def matrices(upper: np.ndarray, k: int) -> np.ndarray:
+    """As matrix(), of many groups."""
+    i, j = np.triu_indices(k)
+    out = np.zeros((len(upper), k, k))
+    out[:, i, j] = out[:, j, i] = upper
+    return out
+
+
+def stacked(lists: pd.Series, size: int) -> np.ndarray:
+    """Lists as rows, zeros where there is none."""
+    none = np.zeros(size)
+    return np.stack([none if x is None else x for x in lists]) if len(lists) else np.zeros((0, size))
+
+
 STATE = "x array<double>, best array<double>, cost double, a array<double>, g array<double>, n long, damping double, move double"
 
 
-def fit_groups(rows: DataFrame, keys: list[str], model: Model | Batched, unknowns: list[Unknown], c: float, rounds: int = 12, starts: DataFrame | None = None) -> DataFrame:
+def fit_groups(rows: DataFrame, keys: list[str], model: Model | Batched | Packed, unknowns: list[Unknown], c: float, rounds: int = 12, starts: DataFrame | None = None) -> DataFrame:
     """(keys, best, cost, n, a, g, move): each group's unknowns; a and g are the equations there, move
     the last step tried. starts: (keys, x) in place of the unknowns' own starts.
 
@@ -132,8 +194,8 @@ def fit_groups(rows: DataFrame, keys: list[str], model: Model | Batched, unknown
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [stepped(r, unknowns) for r in pdf.to_dict("records")]
-            yield pdf[keys].assign(**{name: [o[name] for o in out] for name in ("x", "best", "cost", "a", "g", "n", "damping", "move")})
+            if len(pdf):
+                yield pdf[keys].assign(**stepped(pdf, unknowns))
 
     for _ in range(rounds):
         values = [F.col(f"__x{i}") for i in range(k)]
@@ -143,21 +205,29 @@ def fit_groups(rows: DataFrame, keys: list[str], model: Model | Batched, unknown
     return state.drop("x", "damping")
 
 
-def stepped(r: dict, unknowns: list[Unknown]) -> dict:
-    """The state of a group after a round: the new equations are taken if their cost is lower."""
-    k, x, best, cost, damping = len(unknowns), np.array(r["x"]), np.array(r["best"]), r["cost"], r["damping"]
-    a, g, n = r["a"], r["g"], r["n"]
-    if r["new_a"] is not None and r["new_n"] == r["new_n"]:
-        _, _, held = with_prior(np.zeros((k, k)), np.zeros(k), x, unknowns)
-        if r["loss"] + held <= cost:
-            best, cost, a, g, n, damping = x, r["loss"] + held, r["new_a"], r["new_g"], int(r["new_n"]), max(damping / 5, 1e-9)
-        else:
-            damping = min(damping * 8, 1e9)
-    if a is None:
-        return {"x": x.tolist(), "best": best.tolist(), "cost": cost, "a": None, "g": None, "n": 0, "damping": damping, "move": 0.0}
-    full, right, _ = with_prior(matrix(a, k), np.array(g), best, unknowns)
-    x = clipped(best + damped_step(full, right, damping), unknowns)
-    return {"x": x.tolist(), "best": best.tolist(), "cost": cost, "a": list(a), "g": list(g), "n": n, "damping": damping, "move": float(np.abs(x - best).max())}
+def stepped(groups: pd.DataFrame, unknowns: list[Unknown]) -> dict:
+    """The state of many groups after a round: the new equations are taken where their cost is lower."""
+    k = len(unknowns)
+    hold = np.array([0.0 if u.prior is None else u.sigma**-2 for u in unknowns])
+    middle = np.array([u.prior or 0.0 for u in unknowns])
+    size = k * (k + 1) // 2
+    x, best = np.stack(groups["x"]), np.stack(groups["best"])
+    cost, damping = (groups[c].to_numpy(float) for c in ("cost", "damping"))
+    fresh = groups["new_n"].notna().to_numpy()
+    total = groups["loss"].to_numpy(float) + (x - middle) ** 2 @ hold
+    better = fresh & (total <= cost)
+    known = better | groups["a"].notna().to_numpy()
+    a, g, best = (np.where(better[:, None], new, old) for new, old in (
+        (stacked(groups["new_a"], size), stacked(groups["a"], size)), (stacked(groups["new_g"], k), stacked(groups["g"], k)), (x, best),
+    ))
+    n = np.where(better, groups["new_n"].fillna(0).to_numpy(float), groups["n"].to_numpy(float)).astype(np.int64)
+    cost = np.where(better, total, cost)
+    damping = np.where(better, np.maximum(damping / 5, 1e-9), np.where(fresh, np.minimum(damping * 8, 1e9), damping))
+    tried = clipped(best + damped_steps(matrices(a, k) + np.diag(hold), g + hold * (best - middle), damping), unknowns)
+    x = np.where(known[:, None], tried, x)
+    move = np.where(known, np.abs(x - best).max(axis=1), 0.0)
+    given = lambda rows: [r if there else None for r, there in zip(rows, known)]
+    return {"x": list(x), "best": list(best), "cost": cost, "a": given(a), "g": given(g), "n": np.where(known, n, 0), "damping": damping, "move": move}
 
 
 REDUCED = "a array<double>, g array<double>, loss double, n long"

@@ -1,7 +1,9 @@
 """Grouped and shared fits against dense ones, and timing against offsets put in."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinesieve.operators import fits, timing
@@ -123,6 +125,76 @@ def test_samples_near_an_observation(spark):
     assert read.v == 30.5
 
 
+def seen_and_samples(spark, seed=3):
+    """Two clips with gaps, two samples at one time, and observations of which some have no sample near."""
+    rng = np.random.default_rng(seed)
+    at = [(clip, float(t)) for clip in (1, 2) for t in np.concatenate([np.sort(rng.uniform(0, 60, 150)), rng.uniform(200, 230, 40)])]
+    sensor = [(clip, t, float(rng.normal())) for clip, t in at] + [(1, at[0][1], 5.0), (1, None, 1.0), (2, 3.0, None), (3, 1.0, 1.0)]
+    seen = [(clip, "ab"[i % 2], float(t), float(rng.normal()), float(rng.uniform(-0.5, 0.5)), 0.01) for clip in (1, 2) for i, t in enumerate(rng.uniform(-20, 260, 400))]
+    obs = spark.createDataFrame([*seen, (1, None, 5.0, 1.0, 0.0, 0.0), (None, "a", 5.0, 1.0, 0.0, 0.0)], "clip long, track string, t double, y double, row double, exposure double")
+    return seen, sensor, obs, spark.createDataFrame(sensor, "clip long, t double, v double")
+
+
+def test_samples_of_many_cells(spark):
+    seen, sensor, obs, samples = seen_and_samples(spark)
+    got = {(r.clip, r.track, r.t): [tuple(s) for s in r.near] for r in timing.with_samples(obs, samples, ["clip"], 2.0, 1.0).collect()}
+    want = {}
+    for clip, track, t, *_ in seen:
+        own = sorted((a, v) for c, a, v in sensor if c == clip and a is not None and v is not None)
+        if any(np.floor(t - 3.0) <= np.floor(a) <= np.floor(t + 3.0) for a, _ in own):
+            before, after = [s for s in own if t - 3 <= s[0] < t - 2], [s for s in own if t + 2 < s[0] <= t + 3]
+            want[clip, track, t] = before[-1:] + [s for s in own if t - 2 <= s[0] <= t + 2] + after[:1]
+    assert got == want and 0 < len(want) < len(seen)
+
+
+def test_steps_are_held_together(spark):
+    """Many steps a row, cut by batches and by the number that a row holds, leave what each of them leaves by itself."""
+    _, _, obs, samples = seen_and_samples(spark)
+    near = timing.with_samples(obs, samples, ["clip"], 2.0, 1.0).cache()
+    values = [0.3, 0.2, 0.05, 1.5]
+    order = Window.partitionBy("clip", "track").orderBy("t")
+    place = F.col("t") + values[0] + values[1] * F.col("row") + values[3] * F.col("exposure")
+    read = near.withColumn("v", timing.read_at(F.col("near"), place))
+    left = F.col("y") - F.lag("y").over(order) - (1 + values[2]) * (F.col("v") - F.lag("v").over(order))
+    want = sorted((r.clip, r.r) for r in read.select("clip", left.alias("r")).filter("r is not null").collect())
+    for most in (10_000, 90, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            rows = timing.steps(near, ["clip"]).toPandas()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        own, row = timing.opened([rows[c].to_numpy() for c in timing.PACKED])
+        r = timing.residuals(own, values)[0]
+        got = sorted((int(c), float(x)) for c, x in zip(rows["clip"].to_numpy()[row], r) if not np.isnan(x))
+        assert rows["n"].max() <= timing.TOGETHER and len(got) == len(want) and np.allclose(got, want, rtol=0, atol=1e-12)
+        assert most < 90 or len(rows) < len(row) / 8
+
+
+def test_timing_without_samples(spark):
+    _, _, obs, samples = seen_and_samples(spark)
+    found = timing.fit_timing(obs, samples.filter("clip > 2"), ["clip"], timing.Timing(reach=1.0, loss=1.0, block=10.0, rounds=2), 1.0)
+    assert found.count() == 0
+
+
+def test_steps_of_many_groups():
+    """Damped steps and rounds of many groups at once are those of each by itself, also where unknowns are not determined."""
+    rng = np.random.default_rng(6)
+    j = rng.normal(size=(60, 8, 3)) * (1, 1, 0)
+    j[::2, :, 2] = rng.normal(size=(30, 8))
+    a, g, damping = j.transpose(0, 2, 1) @ j, rng.normal(size=(60, 3)) * (1, 1, 0), rng.choice([0.0, 1e-3, 10.0], 60)
+    got = fits.damped_steps(a, g, damping)
+    assert np.allclose(got, [fits.damped_step(*x) for x in zip(a, g, damping)])
+    upper = a[:, *np.triu_indices(3)]
+    groups = pd.DataFrame({
+        "x": list(np.ones((3, 3))), "best": list(np.zeros((3, 3))), "cost": [np.inf, 1.0, np.inf], "a": [None, list(upper[1]), None], "g": [None, list(g[1]), None],
+        "n": [0, 4, 0], "damping": [1e-3] * 3, "new_n": [5.0, 6.0, None], "loss": [2.0, 2.0, None], "new_a": [list(upper[0]), list(upper[2]), None], "new_g": [list(g[0]), list(g[2]), None],
+    })
+    out = fits.stepped(groups, [Unknown(c, low=-9.0, high=9.0) for c in "xyz"])
+    assert [list(x) for x in out["best"]] == [[1.0] * 3, [0.0] * 3, [0.0] * 3] and list(out["n"]) == [5, 4, 0] and out["a"][2] is None
+    assert np.allclose(out["damping"], [2e-4, 8e-3, 1e-3]) and list(out["cost"]) == [2.0, 1.0, np.inf] and out["move"][2] == 0 and list(out["x"][2]) == [1.0] * 3
+    assert np.allclose(out["x"][0], 1 + fits.damped_step(a[0], g[0], 2e-4)) and np.allclose(out["x"][1], fits.damped_step(a[1], g[1], 8e-3))
+
+
 def test_queries(spark):
     assert calibration.fitted_timing(spark, TINY).count() == 15
     rows = calibration.shared_curve(spark, SMALL).collect()
