@@ -9,14 +9,14 @@ from kinesieve.operators import boards as B
 from kinesieve.operators import seq
 from kinesieve.plans.sequences import KEYS, ORDER, O, S, events
 from kinesieve.sources.rounds import settled
-from kinesieve.sources.tables import table
+from kinesieve.sources.tables import stored_by, table
 
 SIGMA = 0.02
 
 
 def windows(spark, sf_dir):
     """Per supplier: metrics of this and the other configuration, calm ones from 60 lines on."""
-    df = table(spark, sf_dir, "lineitem")
+    df = stored_by(spark, sf_dir, "lineitem", "l_suppkey")  # a mean on a limit is decided by the order of its sum
     this, calm = F.col("l_returnflag") == "N", F.col("l_discount") < 0.05
     of = lambda flag, x: F.avg(F.when(flag, F.col(x)))
     out = df.groupBy(F.col("l_suppkey").alias("window")).agg(
