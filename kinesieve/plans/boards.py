@@ -74,7 +74,7 @@ def streak_summary(spark, sf_dir):
 
 def offset_reasons(spark, sf_dir):
     """Why a supplier's mean discount is not taken as its offset, and what is decided."""
-    df = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("offset"), (F.stddev_samp("l_discount") / F.sqrt(F.count("*"))).alias("sigma"), F.count("*").alias("n"), F.avg("l_tax").alias("gain"))
+    df = stored_by(spark, sf_dir, "lineitem", "l_suppkey").groupBy("l_suppkey").agg(F.avg("l_discount").alias("offset"), (F.stddev_samp("l_discount") / F.sqrt(F.count("*"))).alias("sigma"), F.count("*").alias("n"), F.avg("l_tax").alias("gain"))
     checks = {
         "sigma too large": F.col("sigma") > F.greatest(F.lit(0.0012), 0.025 * F.abs("offset")),
         "outside its bound": F.abs(F.col("offset") - 0.05) > 0.001,

@@ -35,7 +35,7 @@ def tied(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["board_fails", "board_summary"])
+@pytest.mark.parametrize("name", ["board_fails", "board_summary", "offset_reasons"])
 def test_sums_are_in_stored_order(name, spark, tied):
     found = boards.QUERIES[name](spark, str(tied)).toPandas()
     one = duckdb.connect()
